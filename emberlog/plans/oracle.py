@@ -172,12 +172,13 @@ grp AS (SELECT {comma}signature, arg_min(message, (source_ord, line)) AS sample,
 
 def rfc3339_sql(col: str) -> str:
     return (
-        f"concat(strftime({col}, '%Y-%m-%dT%H:%M:%S'), regexp_replace(strftime({col}, '.%f'), '\\.?0+$', ''), 'Z')"
+        f"CASE WHEN {col} IS NOT NULL THEN concat(strftime({col}, '%Y-%m-%dT%H:%M:%S'),"
+        f" regexp_replace(strftime({col}, '.%f'), '\\.?0+$', ''), 'Z') END"
     )
 
 
 def escape_sql(json: str) -> str:
-    return f"replace(replace(replace({json}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+    return f"replace(replace(replace(cast({json} AS varchar), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
 
 
 __all__ = [n for n in globals() if not n.startswith("__")] + ["_DUCKDB_SLOTS"]

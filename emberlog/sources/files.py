@@ -71,7 +71,7 @@ def resolve(spark: SparkSession, paths: list[str]) -> list[LogFile]:
         for status in sorted(statuses, key=lambda s: s.getPath().toUri().getPath().split("/")):
             if status.isFile():
                 path, uri = status.getPath().toUri().getPath(), status.getPath().toString()
-                key = status.getPath().toUri().toString()
+                key = re.sub("^file:/+", "file:/", status.getPath().toUri().toString())
                 found.append(LogFile(text if plain else _name(text, path, uri), uri, key, status.getLen()))
     return found
 
@@ -149,7 +149,7 @@ def _scan_text(spark: SparkSession, files: list[LogFile]) -> DataFrame:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     literal = sorted({re.sub(r"([*?\[\]{}\\])", r"\\\1", f.uri) for f in files})
     scan = spark.read.text(literal, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("key"),
+        F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("key"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("text"),
