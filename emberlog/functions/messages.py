@@ -17,12 +17,13 @@ def trim_space(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
 
-def message(raw: Column, rest: Column, cut: Column) -> Column:
-    """Message of a line: ``rest`` (the text after the timestamp) from 0-based ``cut`` on.
-
-    A ``cut`` that is null or leaves nothing keeps the whole rest; a message that is empty once trimmed
-    becomes the trimmed line.
-    """
-    tail = F.when((cut > 0) & (cut < F.char_length(rest)), F.substring(rest, cut + 1, F.lit(1 << 30))).otherwise(rest)
-    bare = F.ltrim(F.ltrim(trim_space(tail), F.lit(LEADING_PUNCTUATION)), F.lit(WHITE_SPACE))
-    return F.coalesce(F.nullif(bare, F.lit("")), trim_space(raw))
+def tail(rest: str, cut: str) -> str:
+    """SQL text: ``rest`` from 0-based ``cut`` on; all of it when ``cut`` is null or leaves nothing."""
+    return f"CASE WHEN {cut} > 0 AND {cut} < char_length({rest}) THEN substr({rest}, {cut} + 1) ELSE {rest} END"
+
+
+def message(raw: str, tail: str) -> str:
+    """SQL text: the tail of a line without white space and leading punctuation; the line if that leaves nothing."""
+    space = f"'{WHITE_SPACE}'"
+    bare = f"trim(LEADING {space} FROM trim(LEADING '{LEADING_PUNCTUATION}' FROM trim(BOTH {space} FROM {tail})))"
+    return f"coalesce(nullif({bare}, ''), trim(BOTH {space} FROM {raw}))"

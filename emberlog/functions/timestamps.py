@@ -1,13 +1,14 @@
-"""Timestamp formats found in log lines, as column expressions.
+"""Timestamp formats found in log lines, as SQL text over columns given as SQL text.
 
-Every format has two parts: ``*_match`` cuts the first candidate text out of a line ('' when there is
-none) and ``*_value`` turns a candidate into a timestamp (null when it is not a valid moment).  All values
-are UTC; an hour or day out of range gives null.
+``candidate`` cuts the first text that looks like a format out of a line ('' when there is none) and the
+format's value function turns it into a timestamp (null when it is not a valid moment).  All values are
+UTC; an hour or day out of range gives null.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,119 +19,115 @@ MONTH_CHOICE = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 SPACE = r"[\t\n\f\r ]"
 ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 DATE_SPACE = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?"
-SYSLOG = rf"(?:{MONTH_CHOICE}){SPACE}+\d{{1,2}}{SPACE}+\d{{2}}:\d{{2}}:\d{{2}}"
+SYSLOG = rf"(?=[JFMASOND])(?:{MONTH_CHOICE}){SPACE}+\d{{1,2}}{SPACE}+\d{{2}}:\d{{2}}:\d{{2}}"
 APACHE = rf"\d{{2}}/(?:{MONTH_CHOICE})/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}{SPACE}+\+\d{{4}}"
 EPOCH = r"^\d{10}"
 
 _DAY_MICROS = 24 * 3600 * 1_000_000
 
 
+def micros_of(moment: datetime) -> int:
+    """Microseconds since 1970; a datetime without a zone is UTC."""
+    aware = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    return (aware - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def now_sql(now: datetime | None) -> str:
+    """The moment "now" as SQL text; None is the query's start."""
+    return "current_timestamp()" if now is None else f"timestamp_micros({micros_of(now)}L)"
+
+
 def now_column(now: datetime | Column | None) -> Column:
-    """The moment "now" as a column; a naive datetime is UTC, None is the query's start."""
-    if now is None:
-        return F.current_timestamp()
-    if isinstance(now, Column):
-        return now
-    aware = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
-    delta = aware - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return F.timestamp_micros(F.lit((delta.days * 86400 + delta.seconds) * 1_000_000 + delta.microseconds))
+    return now if isinstance(now, Column) else F.expr(now_sql(now))
 
 
-def _moment(text: Column) -> Column:
-    return F.concat(text, F.lit("Z")).try_cast("timestamp")
+def candidate(raw: str, pattern: str) -> str:
+    return f"regexp_extract({raw}, r'{pattern}', 0)"
 
 
-def _minus_minutes(ts: Column, minutes: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) - minutes.cast("bigint") * 60_000_000)
+def _moment(text: str) -> str:
+    return f"try_cast(concat({text}, 'Z') AS timestamp)"
 
 
-def _offset_minutes(hours: Column, minutes: Column) -> Column:
-    """Zone offset in minutes; null beyond 24 hours or 60 minutes."""
-    h, m = hours.try_cast("int"), minutes.try_cast("int")
-    return F.when((h <= 24) & (m <= 60), h * 60 + m)
+def _minus_minutes(ts: str, minutes: str) -> str:
+    return f"timestamp_micros(unix_micros({ts}) - ({minutes}) * 60000000L)"
 
 
-def _micros(rest: Column) -> Column:
-    """Fraction of a second, cut to the six digits a timestamp holds."""
-    return F.regexp_extract(rest, r"^\.[0-9]{1,6}", 0)
+def _offset_minutes(hours: str, minutes: str) -> str:
+    """Zone offset in minutes; null beyond 24 hours or 60 minutes."""
+    h, m = f"try_cast({hours} AS int)", f"try_cast({minutes} AS int)"
+    return f"CASE WHEN {h} <= 24 AND {m} <= 60 THEN {h} * 60 + {m} END"
 
 
-def iso_match(raw: Column) -> Column:
-    return F.regexp_extract(raw, ISO, 0)
+def _micros(rest: str) -> str:
+    """Fraction of a second, cut to the six digits a timestamp holds."""
+    return f"regexp_extract({rest}, r'^\.[0-9]{{1,6}}', 0)"
 
 
-def iso_value(match: Column) -> Column:
+def iso_value(match: str) -> str:
     """ISO-8601; no zone is UTC, a zone without its colon is not accepted."""
-    rest = F.substring(match, 20, 1 << 30)
-    base = _moment(F.concat(F.substring(match, 1, 19), _micros(rest)))
-    zone = F.regexp_extract(rest, r"[+-].*$", 0)
-    offset = _offset_minutes(F.substring(zone, 2, 2), F.substring(zone, 5, 2))
-    signed = F.when(F.startswith(zone, F.lit("-")), -offset).otherwise(offset)
+    rest = f"substr({match}, 20)"
+    base = _moment(f"substr({match}, 1, 19), {_micros(rest)}")
+    colon_zone = rf"{match} RLIKE r'[+-][0-9]{{2}}:[0-9]{{2}}\z'"
+    bare_zone = rf"{match} RLIKE r'T.*[+-][0-9]{{4}}\z'"
+    offset = _offset_minutes(f"substr({match}, -5, 2)", f"substr({match}, -2, 2)")
+    sign = f"CASE substr({match}, -6, 1) WHEN '-' THEN -1 ELSE 1 END"
     return (
-        F.when(match == "", None)
-        .when(zone == "", base)
-        .when(F.char_length(zone) == 6, _minus_minutes(base, signed))
+        f"CASE WHEN {match} = '' OR {bare_zone} THEN NULL"
+        f" WHEN {colon_zone} THEN {_minus_minutes(base, f'({sign}) * ({offset})')} ELSE {base} END"
     )
 
 
-def date_space_match(raw: Column) -> Column:
-    return F.regexp_extract(raw, DATE_SPACE, 0)
-
-
-def date_space_value(match: Column) -> Column:
+def date_space_value(match: str) -> str:
     """Date and time with one space between."""
-    rest = F.substring(match, 20, 1 << 30)
-    return F.when(match != "", _moment(F.concat(F.substring(match, 1, 19), _micros(rest))))
-
-
-def _month(name: Column) -> Column:
-    number = (F.instr(F.lit(MONTHS), name) + 2) / 3
-    return F.lpad(number.cast("int").cast("string"), 2, "0")
+    rest = f"substr({match}, 20)"
+    return f"CASE WHEN {match} <> '' THEN {_moment(f'substr({match}, 1, 19), {_micros(rest)}')} END"
 
 
-def syslog_match(raw: Column) -> Column:
-    return F.regexp_extract(raw, SYSLOG, 0)
+def _month(name: str) -> str:
+    return f"lpad(cast((instr('{MONTHS}', {name}) + 2) DIV 3 AS string), 2, '0')"
 
 
-def syslog_value(match: Column, now: Column) -> Column:
-    """Month, day and time without a year: this year, or last year when that is over a day ahead."""
-    day = F.lpad(F.regexp_extract(match, rf"{SPACE}(\d{{1,2}}){SPACE}", 1), 2, "0")
-    clock = F.substring(match, -8, 8)
-    tail = F.concat(F.lit("-"), _month(F.substring(match, 1, 3)), F.lit("-"), day, F.lit(" "), clock)
+def syslog_value(match: str, now: str) -> str:
+    """Month, day and time without a year: this year, or last year when that is over a day ahead of now."""
+    day = f"lpad(regexp_extract({match}, r'{SPACE}([0-9]{{1,2}}){SPACE}', 1), 2, '0')"
+    clock = f"substr({match}, -8, 8)"
+    date = f"'-', {_month(f'substr({match}, 1, 3)')}, '-', {day}, ' ', {clock}"
 
-    def in_year(year: Column, rest: Column) -> Column:
-        return _moment(F.concat(F.lpad(year.cast("string"), 4, "0"), rest))
+    def in_year(year: str, rest: str) -> str:
+        return _moment(f"lpad(cast({year} AS string), 4, '0'), {rest}")
 
-    year = F.year(now)
-    here = in_year(year, tail)
+    here = in_year(f"year({now})", date)
     # 29 February has no counterpart a year earlier; it moves on to 1 March.
-    before = F.coalesce(in_year(year - 1, tail), in_year(year - 1, F.concat(F.lit("-03-01 "), clock)))
-    ahead = F.unix_micros(here) > F.unix_micros(now) + _DAY_MICROS
-    return F.when(match == "", None).when(ahead, before).otherwise(here)
-
-
-def apache_match(raw: Column) -> Column:
-    return F.regexp_extract(raw, APACHE, 0)
+    last = f"year({now}) - 1"
+    before = f"coalesce({in_year(last, date)}, {in_year(last, f"'-03-01 ', {clock}")})"
+    return (
+        f"CASE WHEN {match} = '' THEN NULL WHEN unix_micros({here}) > unix_micros({now}) + {_DAY_MICROS}L"
+        f" THEN {before} ELSE {here} END"
+    )
 
 
-def apache_value(match: Column) -> Column:
+def apache_value(match: str) -> str:
     """Common log format; only spaces may stand before the (always positive) zone."""
     base = _moment(
-        F.concat(
-            F.substring(match, 8, 4), F.lit("-"), _month(F.substring(match, 4, 3)), F.lit("-"),
-            F.substring(match, 1, 2), F.lit(" "), F.substring(match, 13, 8),
-        )
+        f"substr({match}, 8, 4), '-', {_month(f'substr({match}, 4, 3)')}, '-', substr({match}, 1, 2), ' ',"
+        f" substr({match}, 13, 8)"
     )
-    zone = F.regexp_extract(match, r" \+(\d{4})$", 1)
-    offset = _offset_minutes(F.substring(zone, 1, 2), F.substring(zone, 3, 2))
-    only_spaces = F.regexp_extract(match, r":\d{2}( +)\+", 1) != ""
-    return F.when((match != "") & only_spaces, _minus_minutes(base, offset))
-
-
-def epoch_match(raw: Column) -> Column:
-    return F.regexp_extract(raw, EPOCH, 0)
+    offset = _offset_minutes(f"substr({match}, -4, 2)", f"substr({match}, -2, 2)")
+    return f"CASE WHEN {match} RLIKE r':[0-9]{{2}} +[+]' THEN {_minus_minutes(base, offset)} END"
 
 
-def epoch_value(match: Column) -> Column:
+def epoch_value(match: str) -> str:
     """Ten digits at the start of the line: seconds since 1970."""
-    return F.when(match != "", F.timestamp_seconds(match.try_cast("bigint")))
+    return f"CASE WHEN {match} <> '' THEN timestamp_seconds(try_cast({match} AS bigint)) END"
+
+
+def formats(now: str) -> dict[str, tuple[str, Callable[[str], str]]]:
+    """Formats in order of preference: name -> (pattern, value function)."""
+    return {
+        "iso": (ISO, iso_value),
+        "date_space": (DATE_SPACE, date_space_value),
+        "syslog": (SYSLOG, lambda match: syslog_value(match, now)),
+        "apache": (APACHE, apache_value),
+        "epoch": (EPOCH, epoch_value),
+    }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
 from emberlog.functions import timestamps as tm
-from emberlog.functions.messages import message
+from emberlog.functions.messages import message, tail
 
 EVENT_COLUMNS = ["ts", "level", "level_name", "source", "source_ord", "message", "raw", "line"]
 
@@ -28,65 +28,65 @@ def as_lines(df: DataFrame, text: str = "text", source: str = "stdin") -> DataFr
     return out.withColumns({k: v for k, v in defaults.items() if k not in out.columns})
 
 
-def with_timestamp(df: DataFrame, now: datetime | Column | None = None, raw: str = "text") -> DataFrame:
-    """Add ``ts``, ``ts_format`` and ``ts_match`` (the text of the timestamp, '' when there is none).
+def _timestamp_columns(now: datetime | None, raw: str) -> list[str]:
+    """Select list for ``ts``, ``ts_format`` and ``ts_match``, the timestamp's text ('' when there is none).
 
-    Formats are tried in a fixed order of preference and a candidate that is no valid moment falls through
-    to the next one.  Each step is its own projection, so no candidate search is planned twice.
+    Formats are tried in their order of preference; a candidate that is no valid moment falls through to
+    the next one.  Each column builds on the ones before, so no candidate is searched for twice.
     """
-    col, at = F.col(raw), tm.now_column(now)
-    steps = [
-        ("iso", tm.iso_match, tm.iso_value),
-        ("date_space", tm.date_space_match, tm.date_space_value),
-        ("syslog", tm.syslog_match, lambda m: tm.syslog_value(m, at)),
-        ("apache", tm.apache_match, tm.apache_value),
-        ("epoch", tm.epoch_match, tm.epoch_value),
+    names = tm.formats(tm.now_sql(now))
+    columns, before = [], []
+    for name, (pattern, value) in names.items():
+        search = tm.candidate(raw, pattern)
+        if before:
+            search = f"CASE WHEN coalesce({', '.join(before)}) IS NULL THEN {search} ELSE '' END"
+        columns += [f"{search} AS _m_{name}", f"{value(f'_m_{name}')} AS _v_{name}"]
+        before.append(f"_v_{name}")
+    cases = "CASE" + "".join(f" WHEN _v_{n} IS NOT NULL THEN {{{n}}}" for n in names)
+    return columns + [
+        f"nullif(coalesce({', '.join(before)}), TIMESTAMP '{_ZERO_MOMENT}') AS ts",
+        cases.format(**{n: f"'{n}'" for n in names}) + " END AS ts_format",
+        cases.format(**{n: f"_m_{n}" for n in names}) + " ELSE '' END AS ts_match",
     ]
-    out = df.withColumns({"ts": F.lit(None).cast("timestamp"), "ts_format": F.lit(None).cast("string"), "_m": F.lit("")})
-    for name, match, value in steps:
-        pending = F.col("ts").isNull()
-        out = out.withColumn("_c", F.when(pending, match(col)).otherwise(F.lit("")))
-        out = out.withColumn("_v", value(F.col("_c")))
-        hit = F.col("_v").isNotNull()
-        out = out.withColumns({
-            "ts": F.coalesce("ts", "_v"),
-            "ts_format": F.when(hit, name).otherwise(F.col("ts_format")),
-            "_m": F.when(hit, F.col("_c")).otherwise(F.col("_m")),
-        })
-    zero = F.col("ts") == F.lit(_ZERO_MOMENT).cast("timestamp")
-    return out.withColumns({
-        "ts": F.when(~zero, F.col("ts")), "ts_match": F.col("_m"),
-    }).drop("_c", "_v", "_m")
+
+
+def _sealed(df: DataFrame, carried: list[str], computed: list[str]) -> DataFrame:
+    """The same rows, the computed columns handed on through a generator of one row each.
+
+    The optimizer copies a column's definition into every filter on it, but never through a generator, so
+    what was computed is not computed again.  Generated code is cut into one method per generator, too,
+    which keeps each below the size the JVM still compiles.
+    """
+    fields = ", ".join(f"'{c}', {c}" for c in computed)
+    return df.selectExpr(*carried, f"inline(array(named_struct({fields})))")
 
 
 def parse_events(
-    lines: DataFrame, now: datetime | Column | None = None, compat: bool = True, keep_format: bool = False
+    lines: DataFrame, now: datetime | None = None, compat: bool = True, keep_format: bool = False
 ) -> DataFrame:
     """Events ``(ts, level, level_name, source, source_ord, message, raw, line)`` of a table of lines.
 
-    ``compat`` cuts the message after as many characters as the level's own name has, even when the
-    keyword was a longer alias (``WARNING: x`` gives ``ING: x``); otherwise the whole keyword is cut.
+    ``now`` (UTC; the query's start if not given) settles the year of timestamps without one.  ``compat``
+    cuts the message after as many characters as the level's own name has, even when the keyword was a
+    longer alias (``WARNING: x`` gives ``ING: x``); otherwise the whole keyword is cut.
     """
-    lines = as_lines(lines)
-    out = with_timestamp(lines, now)
-    end = F.instr(F.col("text"), F.col("ts_match")) + F.char_length("ts_match")
-    out = out.withColumn(
-        "_rest", F.when(F.col("ts_match") == "", F.col("text")).otherwise(F.substring(F.col("text"), end, F.lit(1 << 30)))
-    )
-    out = out.withColumn("_up", lv.fold_case(F.col("_rest"))).withColumn("_hit", lv.find_keyword(F.col("_up")))
-    # One generated row per line keeps the optimizer from copying the whole chain above into every filter
-    # on ts or level: a predicate on a generator's output stays above it.
-    parsed = F.struct(
-        F.col("ts"), F.col("ts_format"), F.col("_rest"),
-        F.coalesce(F.col("_hit.level"), F.lit(lv.INFO).cast("tinyint")).alias("level"),
-        F.col("_hit.pos").alias("_pos"), F.col("_hit.width").alias("_width"),
-    )
-    carried = [c for c in lines.columns]
-    out = out.select(*carried, F.inline(F.array(parsed)))
-    width = F.char_length(lv.level_name(F.col("level"))) if compat else F.col("_width")
-    cut = F.col("_pos") - 1 + width
-    extra = ["ts_format"] if keep_format else []
-    return out.select(
-        "ts", "level", lv.level_name(F.col("level")).alias("level_name"), "source", "source_ord",
-        message(F.col("text"), F.col("_rest"), cut).alias("message"), F.col("text").alias("raw"), "line", *extra,
+    carried = ["source", "source_ord", "line", "text"]
+    width = f"char_length({lv.name_of('level')})" if compat else "char_length(_keyword)"
+    # A text that cannot be null keeps the generated code short enough to be compiled to machine code.
+    known = as_lines(lines).selectExpr("source", "source_ord", "line", "coalesce(text, '') AS text")
+    dated = _sealed(known.selectExpr(
+        *carried, *_timestamp_columns(now, "text"),
+        "CASE WHEN ts_match = '' THEN text ELSE substr(text, instr(text, ts_match) + char_length(ts_match)) END AS _rest",
+    ), carried, ["ts", "ts_format", "_rest"])
+    parsed = _sealed(dated.selectExpr(
+        *carried, "ts", "ts_format", "_rest",
+        f"{lv.fold_case('_rest')} AS _up",
+        f"{lv.find_keyword('_up')} AS _keyword",
+        f"{lv.rank_of('_keyword')} AS level",
+        f"instr(_up, _keyword) - 1 + {width} AS _cut",
+    ), [*carried, "ts", "ts_format"], ["level", "_rest", "_cut"])
+    return parsed.selectExpr(
+        "ts", "level", f"{lv.name_of('level')} AS level_name", "source", "source_ord",
+        f"{message('text', tail('_rest', '_cut'))} AS message", "text AS raw", "line",
+        *(["ts_format"] if keep_format else []),
     )

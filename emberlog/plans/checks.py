@@ -22,7 +22,7 @@ from emberlog.operators import aggregate as agg
 from emberlog.operators import filters as flt
 from emberlog.operators.fold import fold
 from emberlog.operators.paging import first_n, page_with_total
-from emberlog.operators.parse import parse_events, with_timestamp
+from emberlog.operators.parse import parse_events
 from emberlog.plans import commands
 from emberlog.plans import oracle as o
 from emberlog.session import scratch_dir
@@ -137,13 +137,13 @@ STAMPED = {
     "epoch": "concat(CASE cast(event_id % 3 AS int) WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '9' END,"
              " cast(1700000000 + event_id * 977 AS string), CASE cast(user_id % 2 AS int) WHEN 0 THEN '' ELSE '123' END, ' x')",
 }
+_MIDYEAR = datetime(2024, 7, 1)
 _VALUES = {
-    "iso": (tm.iso_match, tm.iso_value, o.ISO, o.iso_sql),
-    "date_space": (tm.date_space_match, tm.date_space_value, o.DATE_SPACE, o.date_space_sql),
-    "syslog": (tm.syslog_match, lambda m: tm.syslog_value(m, tm.now_column(datetime(2024, 7, 1))), o.SYSLOG,
-               lambda m: o.syslog_sql(m, "2024-07-01 00:00:00")),
-    "apache": (tm.apache_match, tm.apache_value, o.APACHE, o.apache_sql),
-    "epoch": (tm.epoch_match, tm.epoch_value, o.EPOCH, o.epoch_sql),
+    "iso": (o.ISO, o.iso_sql),
+    "date_space": (o.DATE_SPACE, o.date_space_sql),
+    "syslog": (o.SYSLOG, lambda m: o.syslog_sql(m, str(_MIDYEAR))),
+    "apache": (o.APACHE, o.apache_sql),
+    "epoch": (o.EPOCH, o.epoch_sql),
 }
 
 
@@ -152,10 +152,11 @@ def _stamped(spark, sf_dir, fmt):
 
 
 def _register_formats():
-    for fmt, (match, value, pattern, value_sql) in _VALUES.items():
-        def run(spark, sf_dir, fmt=fmt, match=match, value=value):
-            lines = _stamped(spark, sf_dir, fmt).withColumn("match", match(F.col("text")))
-            return lines.select("event_id", "text", "match", ts_text(value(F.col("match")), "ts"))
+    for fmt, (pattern, value_sql) in _VALUES.items():
+        def run(spark, sf_dir, fmt=fmt):
+            pattern, value = tm.formats(tm.now_sql(_MIDYEAR))[fmt]
+            found = _stamped(spark, sf_dir, fmt).selectExpr("*", f"{tm.candidate('text', pattern)} AS match")
+            return found.select("event_id", "text", "match", ts_text(F.expr(value("match")), "ts"))
 
         sql = (
             f"SELECT event_id, text, match, {o.ts_text(value_sql('match'))} AS ts FROM (SELECT *,"
@@ -181,17 +182,15 @@ def _ts_precedence(spark, sf_dir):
 @query("level_detect", f"""SELECT line, source, cast(coalesce({o.level_sql('up', 'level')}, 0) AS bigint) AS level,
   cast({o.level_sql('up', 'pos')} AS bigint) AS pos FROM ({o.events_cte()} SELECT line, source, upper(message) AS up FROM ev)""")
 def _level_detect(spark, sf_dir):
-    hit = lv.find_keyword(lv.fold_case(F.col("message")))
-    return events(spark, sf_dir).withColumn("h", hit).select(
-        "line", "source", F.coalesce("h.level", F.lit(0)).cast("bigint").alias("level"),
-        F.col("h.pos").cast("bigint").alias("pos"),
-    )
+    raised = events(spark, sf_dir).selectExpr("line", "source", f"{lv.fold_case('message')} AS up")
+    return raised.selectExpr("line", "source", "up", f"{lv.find_keyword('up')} AS k").selectExpr(
+        "line", "source", f"cast({lv.rank_of('k')} AS bigint) AS level", "cast(instr(up, k) AS bigint) AS pos")
 
 
 @query("level_detect_raw", f"""SELECT source, line, cast(coalesce({o.level_sql('up', 'level')}, 0) AS bigint) AS level,
   {o.level_sql('up', 'level')} IS NOT NULL AS found FROM (SELECT source, line, upper(text) AS up FROM ({log_lines_sql()}))""")
 def _level_detect_raw(spark, sf_dir):
-    return log_lines(spark, sf_dir).select("source", "line", lv.detect_level(F.col("text")).alias("d")).select(
+    return log_lines(spark, sf_dir).select("source", "line", lv.detect_level("text").alias("d")).select(
         "source", "line", F.col("d.level").cast("bigint").alias("level"), "d.found")
 
 
@@ -206,13 +205,13 @@ _ALIAS_CASE = "CASE upper(name) WHEN 'FATAL' THEN 3 WHEN 'CRITICAL' THEN 3 WHEN
   AS found FROM (SELECT event_id, {_ALIAS} AS name FROM events)""")
 def _level_parse(spark, sf_dir):
     named = table(spark, sf_dir, "events").select("event_id", F.expr(_ALIAS).alias("name"))
-    return named.withColumn("d", lv.parse_level(F.col("name"))).select(
+    return named.withColumn("d", lv.parse_level("name")).select(
         "event_id", "name", F.col("d.level").cast("bigint").alias("level"), "d.found")
 
 
 @query("level_name", f"SELECT event_id, {o.level_name_sql('(event_id % 7 - 2)')} AS level_name FROM events")
 def _level_name(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", lv.level_name(F.col("event_id") % 7 - 2).alias("level_name"))
+    return table(spark, sf_dir, "events").select("event_id", lv.level_name("(event_id % 7 - 2)").alias("level_name"))
 
 
 @query("message_extract", f"{o.events_cte(compat=False)} SELECT source, line, raw, message FROM ev")

@@ -73,11 +73,10 @@ def read_report(documents: DataFrame, column: str = "json") -> DataFrame:
     parsed = documents.select(r.alias("r")).select("r.*")
     # Two keys can end up on one level; as the order of keys in a JSON object means nothing, the one that
     # sorts last counts.
-    entries = F.array_sort(F.map_entries("levels"))
-    named = F.transform(entries, lambda e: F.struct(
-        lv.level_name(lv.parse_level(e["key"])["level"]).alias("key"), e["value"].alias("value")))
-    levels = F.map_from_entries(F.filter(
-        named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"])))
+    parsed = parsed.withColumn("_e", F.expr(
+        f"transform(array_sort(map_entries(levels)), e -> struct({lv.known_name('e.key')} AS key, e.value AS value))"))
+    levels = F.expr(
+        "map_from_entries(filter(_e, (e, i) -> NOT exists(slice(_e, i + 2, size(_e)), later -> later.key = e.key)))")
     moment = lambda c: F.when(c != zero, c)
     groups = F.transform("top_errors", lambda g: F.struct(
         *[g[f].alias(f) for f in GROUP_FIELDS[:3]],
