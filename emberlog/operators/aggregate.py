@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
 from emberlog.functions.clock import percent
-from emberlog.functions.normalize import normalize
+from emberlog.functions.normalize import with_signature
 
 TOP = 10
 EXACT, FIRST_K = "exact", "first_k"
@@ -86,8 +86,7 @@ def error_groups(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     return (
-        events.filter(F.col("level") >= lv.ERROR)
-        .withColumn("signature", normalize(F.col("message")))
+        with_signature(events.filter(F.col("level") >= lv.ERROR))
         .groupBy(*by, "signature")
         .agg(F.count("*").alias("count"), F.max("ts").alias("last_seen"), F.min(_arrival()).alias("_first"))
         .select(
@@ -125,7 +124,7 @@ def report(
     keys = [by] if by else []
     is_error = F.col("level") >= lv.ERROR
     grouped = (
-        events.withColumn("signature", F.when(is_error, normalize(F.col("message"))))
+        with_signature(events, f"CASE WHEN level >= {lv.ERROR} THEN message END")
         .groupBy(*keys, "signature")
         .agg(
             F.count("*").alias("n"),

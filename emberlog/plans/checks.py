@@ -16,7 +16,7 @@ from emberlog.functions import timestamps as tm
 from emberlog.functions.clients import client_key
 from emberlog.functions.clock import rfc3339, short_duration
 from emberlog.functions.markdown import strip_markdown
-from emberlog.functions.normalize import RULES, apply_rule, normalize
+from emberlog.functions.normalize import RULES, rewrite, with_signature
 from emberlog.operators import admission as adm
 from emberlog.operators import aggregate as agg
 from emberlog.operators import filters as flt
@@ -272,7 +272,7 @@ _VOLATILE_SQL = f"SELECT source, line, {_VOLATILE} AS text FROM (SELECT source,
 def _register_rules():
     for rule in RULES:
         def run(spark, sf_dir, rule=rule):
-            return _volatile(spark, sf_dir).select("source", "line", apply_rule(F.col("text"), rule).alias("text"))
+            return _volatile(spark, sf_dir).selectExpr("source", "line", f"{rewrite('text', rule)} AS text")
 
         query(f"norm_{rule}", f"SELECT source, line, {o.normalize_sql('text', [rule])} AS text FROM ({_VOLATILE_SQL})")(run)
 
@@ -282,7 +282,7 @@ _register_rules()
 
 @query("normalize", f"SELECT source, line, {o.normalize_sql('text')} AS signature FROM ({_VOLATILE_SQL})")
 def _normalize(spark, sf_dir):
-    return _volatile(spark, sf_dir).select("source", "line", normalize(F.col("text")).alias("signature"))
+    return with_signature(_volatile(spark, sf_dir), "text").drop("text")
 
 
 # Marks put into document text, at line starts and inside words.
