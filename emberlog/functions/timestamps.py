@@ -61,7 +61,7 @@ def _offset_minutes(hours: str, minutes: str) -> str:
 
 def _micros(rest: str) -> str:
     """Fraction of a second, cut to the six digits a timestamp holds."""
-    return f"regexp_extract({rest}, r'^\.[0-9]{{1,6}}', 0)"
+    return rf"regexp_extract({rest}, r'^\.[0-9]{{1,6}}', 0)"
 
 
 def iso_value(match: str) -> str:

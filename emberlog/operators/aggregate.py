@@ -111,74 +111,76 @@ def top_errors(events: DataFrame, k: int = TOP, mode: str = EXACT) -> DataFrame:
     return (ordered.limit(k) if k > 0 else ordered).select(*GROUP_FIELDS)
 
 
+def report_groups(events: DataFrame, by: str | None = None) -> DataFrame:
+    """Events summed up per signature, all non-errors under one null signature.
+
+    One pass over the events with partial aggregation; everything a report holds follows from these rows.
+    Works on a stream as well.
+    """
+    counts = [f"count_if(level = {lv.RANKS[n]}) AS {n}" for n in _NAMES]
+    first = f"min(CASE WHEN level >= {lv.ERROR} THEN struct(source_ord, line, ts, message) END) AS first"
+    return (
+        with_signature(events, f"CASE WHEN level >= {lv.ERROR} THEN message END")
+        .groupBy(*([by] if by else []), "signature")
+        .agg(*map(F.expr, ["count(*) AS n", *counts, "min(ts) AS first_ts", "max(ts) AS last_ts", first]))
+    )
+
+
 def report(
     events: DataFrame, k: int = TOP, mode: str = EXACT, by: str | None = None,
     source: str = "stdin", sources: list[str] | None = None,
 ) -> DataFrame:
-    """One report over all events, or one per value of ``by`` (then also its source label).
+    """One report over all events, or one per value of ``by``, which is then its source label.
 
-    One pass over the events: they are grouped by signature, all non-errors under one null signature, and
-    everything a report holds is summed up from those groups.  The best groups are picked in shares of a
-    report first, so neither many signatures nor a large report meet in one task.
+    ``sources`` are all inputs the report names, ``source`` the first.  ``k`` and ``mode`` choose the error
+    groups as in ``top_errors``.
+    """
+    return report_of_groups(report_groups(events, by), k, mode, by, source, sources)
+
+
+def report_of_groups(
+    grouped: DataFrame, k: int = TOP, mode: str = EXACT, by: str | None = None,
+    source: str = "stdin", sources: list[str] | None = None,
+) -> DataFrame:
+    """Reports from the rows of ``report_groups``.
+
+    The best groups of a report are picked in shares first, so neither many signatures nor one large
+    report meet in one task; the last step holds k groups per share at most.
     """
     keys = [by] if by else []
-    is_error = F.col("level") >= lv.ERROR
-    grouped = (
-        with_signature(events, f"CASE WHEN level >= {lv.ERROR} THEN message END")
-        .groupBy(*keys, "signature")
-        .agg(
-            F.count("*").alias("n"),
-            *[_count_of(name).alias(name) for name in _NAMES],
-            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-            F.min(F.when(is_error, _arrival())).alias("first"),
-        )
-        .withColumn("_share", F.pmod(F.xxhash64("signature"), F.lit(_SHARES)))
-    )
-    named = F.col("signature").isNotNull()
-    arrival = F.struct(F.col("first.source_ord"), F.col("first.line"))
-    order = [arrival] if mode == FIRST_K else [F.desc("n"), F.col("signature")]
-    w = Window.partitionBy(*keys, "_share").orderBy(F.desc(named), *order)
-    kept = named if k == 0 else named & (F.row_number().over(w) <= k)
-    ranked = grouped.withColumn("_kept", kept)
-    rank_by = arrival if mode == FIRST_K else F.struct((-F.col("n")).alias("a"), F.col("signature").alias("b"))
-    candidate = F.struct(
-        rank_by.alias("rank"), "signature", F.col("first.message").alias("sample"), F.col("n").alias("count"),
-        F.col("first.ts").alias("first_seen"), F.col("last_ts").alias("last_seen"),
+    rank = "struct(first.source_ord, first.line)" if mode == FIRST_K else "struct(-n AS a, signature AS b)"
+    ranked = grouped.selectExpr(
+        "*", f"pmod(xxhash64(signature), {_SHARES}) AS share", f"{rank} AS rank",
     )
-    # Each share of a report first gathers its own candidates, then the shares of a report meet.
-    partial = ranked.groupBy(*keys, "_share").agg(
-        F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in _NAMES],
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        F.collect_list(F.when(F.col("_kept"), candidate)).alias("candidates"),
+    if k > 0:
+        within = ", ".join([*keys, "share"])
+        place = f"row_number() OVER (PARTITION BY {within} ORDER BY signature IS NULL, rank)"
+        ranked = ranked.selectExpr("*", f"{place} AS place")
+    kept = "signature IS NOT NULL" + (" AND place <= " + str(k) if k > 0 else "")
+    group = (
+        "struct(rank, signature, first.message AS sample, n AS count, first.ts AS first_seen, last_ts AS last_seen)"
     )
-    total = partial.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _NAMES],
-        F.min("first_ts").alias("first_line"), F.max("last_ts").alias("last_line"),
-        F.flatten(F.collect_list("candidates")).alias("candidates"),
+    sums = [f"sum({c}) AS {c}" for c in ["n", *_NAMES]]
+    ends = ["min(first_ts) AS first_ts", "max(last_ts) AS last_ts"]
+    per_share = ranked.groupBy(*keys, "share").agg(
+        *map(F.expr, [*sums, *ends, f"collect_list(CASE WHEN {kept} THEN {group} END) AS best"])
     )
-    best = F.array_sort("candidates")
-    if k > 0:
-        best = F.slice(best, 1, k)
-    elif k < 0:
-        best = F.slice(best, 1, 0)
+    totals = per_share.groupBy(*keys).agg(*map(F.expr, [*sums, *ends, "flatten(collect_list(best)) AS best"]))
+
+    best = "array_sort(best)"
+    if k != 0:
+        best = f"slice({best}, 1, {max(k, 0)})"
     if mode == FIRST_K:
-        best = F.array_sort(
-            F.transform(best, lambda g: F.struct(
-                F.struct((-g["count"]).alias("a"), g["signature"].alias("b")).alias("rank"),
-                *[g[f].alias(f) for f in GROUP_FIELDS],
-            ))
-        )
-    fields = F.transform(best, lambda g: F.struct(*[g[f].alias(f) for f in GROUP_FIELDS]))
-    counts = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("count")) for n in _NAMES]),
-        lambda c: c["count"] > 0,
-    )
+        fields = ", ".join(f"g.{f} AS {f}" for f in GROUP_FIELDS)
+        best = f"array_sort(transform({best}, g -> struct(struct(-g.count AS a, g.signature AS b) AS rank, {fields})))"
+    top = f"transform({best}, g -> struct({', '.join(f'g.{f} AS {f}' for f in GROUP_FIELDS)}))"
+    counts = ", ".join(f"struct('{n}' AS level, {n} AS count)" for n in _NAMES)
     label = F.col(by).cast("string") if by else F.lit(source)
     all_sources = F.array(label) if by or sources is None else F.array(*[F.lit(s) for s in sources])
-    return total.select(
-        label.alias("source"), all_sources.alias("sources"), "total_lines",
-        F.map_from_entries(counts).alias("levels"), fields.alias("top_errors"), "first_line", "last_line",
+    return totals.select(
+        label.alias("source"), all_sources.alias("sources"), F.expr("coalesce(n, 0) AS total_lines"),
+        F.expr(f"map_from_entries(filter(array({counts}), c -> c.count > 0)) AS levels"),
+        F.expr(f"{top} AS top_errors"), F.col("first_ts").alias("first_line"), F.col("last_ts").alias("last_line"),
     )
 
 
