@@ -59,9 +59,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log text of the ``events`` table: eight sources, each with its lines numbered from 1 without gaps."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.expr(_BODY).alias("body"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    events = events.select("event_id", "ts", "user_id", F.expr(_BODY).alias("body"))
     source_ord = F.col("event_id") % SOURCES
     return events.select(
         "event_id",

@@ -7,15 +7,15 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class _Gate(StatefulProcessor):
     """State per key: the admitted times still inside the window, at most ``limit`` of them."""
 
-    def __init__(self, limit: int, window: int, order: list[str], ttl_ms: int | None):
-        self.limit, self.window, self.order, self.ttl_ms = limit, window, order, ttl_ms
+    def __init__(self, columns: list[str], ts: str, limit: int, window: int, order: list[str], ttl_ms: int | None):
+        self.columns, self.ts, self.order = columns, ts, order
+        self.limit, self.window, self.ttl_ms = limit, window, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", "times array<bigint>", self.ttl_ms)
@@ -23,7 +23,10 @@ class _Gate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.recent.get()
         recent = list(held[0]) if held else []
-        frame = pd.concat(list(rows)).sort_values(["_at", *self.order])
+        frame = pd.concat(list(rows))
+        frame.columns = self.columns  # computed columns arrive without their names
+        frame["_at"] = frame[self.ts].astype("datetime64[us]").astype("int64")
+        frame = frame.sort_values(["_at", *self.order])
         admitted = []
         for at in frame["_at"]:
             recent = [t for t in recent if t > at - self.window]
@@ -45,5 +48,6 @@ def admission_stream(
     micros = window // timedelta(microseconds=1)
     ttl_ms = None if idle_ttl is None else idle_ttl // timedelta(milliseconds=1)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.withColumn("_at", F.unix_micros(ts)).groupBy(key).transformWithStateInPandas(
-        _Gate(limit, micros, tie_break, ttl_ms), f"{fields}, admitted boolean", "Update", "ProcessingTime")
+    gate = _Gate(events.columns, ts, limit, micros, tie_break, ttl_ms)
+    return events.groupBy(key).transformWithStateInPandas(
+        gate, f"{fields}, admitted boolean", "Update", "ProcessingTime" if ttl_ms else "None")

@@ -24,7 +24,9 @@ class _Folder(StatefulProcessor):
         self.pending = handle.getValueState("pending", "line bigint, text string, continued int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(list(rows)).sort_values("line")
+        lines = pd.concat(list(rows))
+        lines.columns = ["source_ord", "source", "line", "text"]  # computed columns arrive without their names
+        lines = lines.sort_values("line")
         held = self.pending.get()
         head, parts, continued = (held[0], [held[1]], held[2]) if held else (None, [], 0)
         done = []
