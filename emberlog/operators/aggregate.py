@@ -119,8 +119,10 @@ def report_groups(events: DataFrame, by: str | None = None) -> DataFrame:
     """
     counts = [f"count_if(level = {lv.RANKS[n]}) AS {n}" for n in _NAMES]
     first = f"min(CASE WHEN level >= {lv.ERROR} THEN struct(source_ord, line, ts, message) END) AS first"
+    # Only errors carry their message into the aggregation.
+    errors_only = F.when(F.col("level") >= lv.ERROR, F.col("message"))
     return (
-        with_signature(events, f"CASE WHEN level >= {lv.ERROR} THEN message END")
+        with_signature(events.withColumn("message", errors_only))
         .groupBy(*([by] if by else []), "signature")
         .agg(*map(F.expr, ["count(*) AS n", *counts, "min(ts) AS first_ts", "max(ts) AS last_ts", first]))
     )

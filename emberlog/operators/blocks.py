@@ -17,6 +17,16 @@ _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
 SOURCE_KEYS = ["source_ord", "source"]
 
 
+def keyed(lines: DataFrame) -> DataFrame:
+    """Lines whose source and number cannot be null.
+
+    With nullable keys each use of a summary of the lines gets null checks of its own; without them the
+    summary is planned the same everywhere, and its exchange computed once and reused.
+    """
+    known = {"source_ord": F.lit(0), "source": F.lit(""), "line": F.lit(0).cast("bigint")}
+    return lines.withColumns({c: F.coalesce(c, default) for c, default in known.items()})
+
+
 def block_of(ordinal: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(ordinal.cast("bigint"), bits)
 
@@ -44,7 +54,8 @@ def before(blocks: DataFrame, keys: list[str], values: dict[str, str]) -> DataFr
 def block_offsets(lines: DataFrame, across_sources: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
     """``(source_ord, source, block, n, base)`` of every block of lines.
 
-    ``base`` counts the lines before the block: in its source, or in all earlier sources as well.
+    ``base`` counts the lines before the block: in its source, or in all earlier sources as well.  Lines
+    should be ``keyed``.
     """
     counts = lines.groupBy(*SOURCE_KEYS, block_of(F.col("line"), bits).alias("block")).agg(F.count("*").alias("n"))
     out = before(counts, SOURCE_KEYS, {"n": "sum"}).withColumnRenamed("n_before", "base")
@@ -64,6 +75,7 @@ def with_ordinal(
     lines: DataFrame, across_sources: bool = False, name: str = "ordinal", bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Number lines from 0 in arrival order, per source or over all sources; line numbers may have gaps."""
+    lines = keyed(lines)
     offsets = block_offsets(lines, across_sources, bits).drop("n")
     w = Window.partitionBy(*SOURCE_KEYS, "block").orderBy("line")
     return (

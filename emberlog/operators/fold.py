@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.blocks import BLOCK_BITS, SOURCE_KEYS, before, block_of, with_ordinal
+from emberlog.operators.blocks import BLOCK_BITS, SOURCE_KEYS, before, block_of, keyed, with_ordinal
 from emberlog.operators.parse import as_lines
 
 MAX_LINES = 50
@@ -31,7 +31,7 @@ def fold(
     into the next one, by ``max_lines`` lines at most, so those first lines of a block are sent to the block
     before it as well; each block then holds all of every event that starts in it and text moves once.
     """
-    lines = as_lines(lines).select(*SOURCE_KEYS, "line", "text")
+    lines = keyed(as_lines(lines).select(*SOURCE_KEYS, "line", "text"))
     bits = max(block_bits, (max_lines + 1).bit_length())
     keys = [] if cross_source else SOURCE_KEYS
     if cross_source or not contiguous:

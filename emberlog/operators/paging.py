@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.blocks import BLOCK_BITS, SOURCE_KEYS, block_of, block_offsets
+from emberlog.operators.blocks import BLOCK_BITS, SOURCE_KEYS, block_of, block_offsets, keyed
 
 PAGE = 100
 MAX_LIMIT = 1000
@@ -42,6 +42,7 @@ def page(
     offset, limit = page_bounds(offset, limit)
     if offset + limit <= shallow:
         return events.orderBy(*ARRIVAL).offset(offset).limit(limit)
+    events = keyed(events)
     offsets = block_offsets(events, across_sources=True, bits=bits)
     # Every block holds an event, so at most ``limit`` blocks reach into the page.
     wanted = offsets.filter((F.col("base") < offset + limit) & (F.col("base") + F.col("n") > offset)).limit(limit)

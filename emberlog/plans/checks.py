@@ -30,7 +30,8 @@ from emberlog.sinks import events as ev_out
 from emberlog.sinks import reports as rep_out
 from emberlog.sources.files import read_lines
 from emberlog.sources.lines import split_lines
-from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, table
+from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table
+from emberlog.streaming.watch import watch_events, watch_report
 
 NOW = datetime(2024, 12, 31)
 SINCE, UNTIL = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -590,6 +591,29 @@ def _cmd_analyze(spark, sf_dir):
     return event_rows(commands.analyze(log_lines(spark, sf_dir), options, "app", NOW))
 
 
+# --- streams ---------------------------------------------------------------------------------------------
+
+@query("watch_live", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev WHERE level >= 1 AND {PATTERN_SQL}")
+def _watch_live(spark, sf_dir):
+    """Matching events of a stream, appended to files and read back."""
+    path = scratch_dir(spark)
+    found = watch_events(log_lines_stream(spark, sf_dir), flt.LogFilter(lv.WARN, PATTERN), now=NOW)
+    writer = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return event_rows(spark.read.schema(found.schema).parquet(path))
+
+
+@query("watch_report", f"{_selected()}{report_cte(source='app-0.log')} SELECT {REPORT_ROWS} FROM rep")
+def _watch_report(spark, sf_dir):
+    """Last report of a watched stream."""
+    path = scratch_dir(spark)
+    watch_report(
+        watch_events(log_lines_stream(spark, sf_dir), now=NOW),
+        lambda report, number: report.write.mode("overwrite").parquet(path), path + "-progress", sources=_sources(),
+    ).awaitTermination()
+    return _report_rows(spark.read.parquet(path))
+
+
 # --- sinks -----------------------------------------------------------------------------------------------
 
 _SPAN_JSON = "to_json({'first': " + o.rfc3339_sql("first_line") + ", 'last': " + o.rfc3339_sql("last_line") + \

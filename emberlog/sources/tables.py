@@ -52,22 +52,34 @@ _DUCKDB_SLOTS = {
 SOURCES = 8
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table; zone-less timestamps are read as UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when a scan has fewer splits than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One test table; zone-less timestamps are read as UTC."""
+    return _utc(spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+
+
+def _utc(df: DataFrame) -> DataFrame:
+    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log text of the ``events`` table: eight sources, each with its lines numbered from 1 without gaps."""
-    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    return _as_log(table(spark, sf_dir, "events"))
+
+
+def log_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as a stream of the table's files."""
+    path = f"{sf_dir}/events.parquet"
+    return _as_log(_utc(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)))
+
+
+def _as_log(events: DataFrame) -> DataFrame:
     events = events.select("event_id", "ts", "user_id", F.expr(_BODY).alias("body"))
     source_ord = F.col("event_id") % SOURCES
     return events.select(
