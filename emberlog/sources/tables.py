@@ -75,8 +75,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines as a stream of the table's files."""
-    path = f"{sf_dir}/events.parquet"
-    return _as_log(_utc(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A stream's plain path must be a folder; a pattern may name a single file as well.
+    return _as_log(_utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque?")))
 
 
 def _as_log(events: DataFrame) -> DataFrame:
