@@ -21,7 +21,7 @@ def _micros(span: timedelta) -> int:
     return span // timedelta(microseconds=1)
 
 
-def _segments(instants: DataFrame, key: str, window: int) -> DataFrame:
+def _segments(instants: DataFrame, window: int) -> DataFrame:
     """Add ``_segment``: the start of the stretch of activity an instant of its key belongs to.
 
     A pause of at least one window empties the window, so what follows depends on nothing before it.
@@ -29,17 +29,17 @@ def _segments(instants: DataFrame, key: str, window: int) -> DataFrame:
     """
     at = F.col("_at")
     instants = instants.withColumn("block", F.floor(at / F.lit(window * _WINDOWS_PER_BLOCK)).cast("bigint"))
-    ends = instants.groupBy(key, "block").agg(F.max("_at").alias("last"))
-    instants = instants.join(before(ends, [key], {"last": "max"}).drop("last"), [key, "block"])
-    in_block = Window.partitionBy(key, "block").orderBy("_at")
+    ends = instants.groupBy("_key", "block").agg(F.max("_at").alias("last"))
+    instants = instants.join(before(ends, ["_key"], {"last": "max"}).drop("last"), ["_key", "block"])
+    in_block = Window.partitionBy("_key", "block").orderBy("_at")
     previous = F.coalesce(F.lag("_at").over(in_block), "last_before")
     fresh = F.when(F.col("_prev").isNull() | (at - F.col("_prev") >= window), at)
     instants = instants.withColumn("_prev", previous).withColumn("_fresh", fresh)
-    starts = instants.groupBy(key, "block").agg(F.max("_fresh").alias("start"))
-    carried = before(starts, [key], {"start": "max"}).drop("start")
+    starts = instants.groupBy("_key", "block").agg(F.max("_fresh").alias("start"))
+    carried = before(starts, ["_key"], {"start": "max"}).drop("start")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    return instants.join(carried, [key, "block"]).select(
-        key, "_at", "_n", F.coalesce(F.max("_fresh").over(so_far), "start_before").alias("_segment")
+    return instants.join(carried, ["_key", "block"]).select(
+        "_key", "_at", "_n", F.coalesce(F.max("_fresh").over(so_far), "start_before").alias("_segment")
     )
 
 
@@ -51,40 +51,50 @@ def admission(
     Rejected events do not count, so each decision depends on the ones before it.  Events of one key at one
     instant are counted together first, with map-side combining; the decisions then run over instants, in
     order, one stretch of activity at a time, and hold at most ``limit`` instants in memory.  ``tie_break``
-    orders events of the same instant.
+    orders events of the same instant.  A null key is a key like any other; an event without a time is not
+    admitted and does not count.
     """
     span = _micros(window)
-    numbered = events.withColumn("_at", F.unix_micros(ts))
-    instants = numbered.groupBy(key, "_at").agg(F.count("*").alias("_n"))
+    # A key in a struct is never null, so it joins and groups whatever it holds.
+    numbered = events.withColumns({"_key": F.struct(F.col(key).alias("k")), "_at": F.unix_micros(ts)})
+    instants = (
+        numbered.filter(F.col("_at").isNotNull())
+        .groupBy("_key", F.coalesce("_at", F.lit(0)).alias("_at")).agg(F.count("*").alias("_n"))
+    )
     ordered = (
-        _segments(instants, key, span)
-        .repartition(key, "_segment")
-        .sortWithinPartitions(key, "_segment", "_at")
+        _segments(instants, span).withColumn("_k", F.col("_key.k"))
+        .repartition("_key", "_segment")
+        .sortWithinPartitions("_key", "_segment", "_at")
+        .select("_k", F.col("_k").isNull().alias("_none"), "_segment", "_at", "_n")
     )
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stretch, recent, held = None, deque(), 0
         for batch in batches:
             granted = []
-            for k, segment, at, n in zip(batch[key], batch["_segment"], batch["_at"], batch["_n"]):
-                if (k, segment) != stretch:
-                    stretch, recent, held = (k, segment), deque(), 0
+            for k, none, segment, at, n in zip(
+                batch["_k"], batch["_none"], batch["_segment"], batch["_at"], batch["_n"]
+            ):
+                here = (None if none else k, segment)
+                if here != stretch:
+                    stretch, recent, held = here, deque(), 0
                 while recent and recent[0][0] <= at - span:
                     held -= recent.popleft()[1]
-                taken = min(n, limit - held)
-                if taken > 0:
+                taken = max(min(n, limit - held), 0)
+                if taken:
                     recent.append((at, taken))
                     held += taken
-                granted.append(max(taken, 0))
-            yield pd.DataFrame({key: batch[key], "_at": batch["_at"], "_granted": granted})
+                granted.append(taken)
+            yield batch[["_k", "_at"]].assign(_granted=granted)
 
     key_type = events.schema[key].dataType.simpleString()
-    granted = ordered.mapInPandas(decide, f"`{key}` {key_type}, _at bigint, _granted bigint")
-    w = Window.partitionBy(key, "_at").orderBy(*tie_break)
+    granted = ordered.mapInPandas(decide, f"_k {key_type}, _at bigint, _granted bigint")
+    granted = granted.select(F.struct(F.col("_k").alias("k")).alias("_key"), "_at", "_granted")
+    w = Window.partitionBy("_key", "_at").orderBy(*tie_break)
     return (
         numbered.withColumn("_rank", F.row_number().over(w))
-        .join(granted, [key, "_at"])
-        .select(*events.columns, (F.col("_rank") <= F.col("_granted")).alias("admitted"))
+        .join(granted, ["_key", "_at"], "left")
+        .select(*events.columns, F.coalesce(F.col("_rank") <= F.col("_granted"), F.lit(False)).alias("admitted"))
     )
 
 

@@ -31,6 +31,8 @@ def fold(
     into the next one, by ``max_lines`` lines at most, so those first lines of a block are sent to the block
     before it as well; each block then holds all of every event that starts in it and text moves once.
     """
+    if "line" not in lines.columns:
+        raise ValueError("folding needs the order of lines: a column named line")
     lines = keyed(as_lines(lines).select(*SOURCE_KEYS, "line", "text"))
     bits = max(block_bits, (max_lines + 1).bit_length())
     keys = [] if cross_source else SOURCE_KEYS

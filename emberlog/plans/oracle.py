@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.sources.tables import _DUCKDB_SLOTS, log_lines_sql
+from emberlog.sources.tables import log_lines_sql
 
 NOW = "2024-12-31 00:00:00"
 
@@ -179,6 +179,3 @@ def rfc3339_sql(col: str) -> str:
 
 def escape_sql(json: str) -> str:
     return f"replace(replace(replace(cast({json} AS varchar), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
-
-
-__all__ = [n for n in globals() if not n.startswith("__")] + ["_DUCKDB_SLOTS"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import logging
+import zlib
 from typing import Iterator
 
 import pandas as pd
@@ -110,23 +111,32 @@ class TailSource(DataSource):
         return _RangeStream(json.loads(self.options["paths"]), self.options["from_end"] == "true")
 
 
-def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zlib
+def _whole_lines(path: str, start: int, stop: int, gzip: bool) -> Iterator[list[bytes]]:
+    """Lines of a range in lists; what follows the last newline is left."""
+    decoder, rest = zlib.decompressobj(31), b""
+    with _open_file(path) as file:
+        file.seek(start)
+        left = stop - start
+        while left > 0 and (piece := file.read(min(_PIECE_BYTES, left))):
+            left -= len(piece)
+            while piece:
+                data, piece = (decoder.decompress(piece), decoder.unused_data) if gzip else (piece, b"")
+                if gzip and decoder.eof:
+                    decoder = zlib.decompressobj(31)
+                *lines, rest = (rest + data).split(b"\n")
+                if lines:
+                    yield lines
 
+
+def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            with _open_file(row.source) as file:
-                file.seek(row.start)
-                data = file.read(row.stop - row.start)
-            if row.gzip:
-                data = zlib.decompressobj(31).decompress(data)
-            texts = data.split(b"\n")[:-1]
-            for at in range(0, len(texts), 10_000):
-                some = [t.removesuffix(b"\r").decode("utf-8", "replace") for t in texts[at:at + 10_000]]
-                first = row.first_line + at
-                yield pd.DataFrame({
-                    "source_ord": row.source_ord, "source": row.source, "line": range(first, first + len(some)), "text": some,
-                })
+            first = row.first_line
+            for some in _whole_lines(row.source, row.start, row.stop, row.gzip):
+                texts = [t.removesuffix(b"\r").decode("utf-8", "replace") for t in some]
+                numbers = range(first, first + len(texts))
+                yield pd.DataFrame({"source_ord": row.source_ord, "source": row.source, "line": numbers, "text": texts})
+                first += len(texts)
 
 
 def tail_lines(spark: SparkSession, paths: list[str], from_end: bool = True) -> DataFrame:

@@ -47,6 +47,12 @@ def test_hot_and_cold_keys_against_the_sequential_model(spark, seed, monkeypatch
     assert out == model(rows, 3, 17)
 
 
+def test_null_keys_and_times(spark):
+    df = frame(spark, [(None, 0, 1), (None, 1, 2), ("a", 0, 3), ("a", None, 4)])
+    out = decisions(adm.admission(df, "key", "ts", 1, timedelta(seconds=1), ["event"]))
+    assert out == {1: True, 2: False, 3: True, 4: False}
+
+
 def test_keys_and_expiry(spark):
     df = frame(spark, [("a", 0, 1), ("a", 50_000_000, 2), ("b", 10_000_000, 3), ("c", 20_000_000, 4)])
     admitted = adm.admission(df, "key", "ts", 5, timedelta(seconds=60), ["event"])
