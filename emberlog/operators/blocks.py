@@ -80,7 +80,7 @@ def with_ordinal(
     w = Window.partitionBy(*SOURCE_KEYS, "block").orderBy("line")
     return (
         lines.withColumn("block", block_of(F.col("line"), bits))
-        .join(offsets, [*SOURCE_KEYS, "block"])
+        .join(offsets.hint("shuffle_hash"), [*SOURCE_KEYS, "block"])
         .withColumn(name, F.col("base") + F.row_number().over(w) - 1)
         .select(*lines.columns, name)
     )

@@ -53,7 +53,8 @@ def fold(
     own = block_of(at, bits)
     spills = F.pmod(at, F.lit(1 << bits)) < max_lines
     targets = F.when(spills, F.array(own, own - 1)).otherwise(F.array(own))
-    sent = lines.withColumn("block", F.explode(targets)).join(blocks, [*keys, "block"])
+    # Block rows are few in each partition: hashing them spares the lines a sort by block.
+    sent = lines.withColumn("block", F.explode(targets)).join(blocks.hint("shuffle_hash"), [*keys, "block"])
 
     so_far = Window.partitionBy(*keys, "block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     head = F.coalesce(F.max(head_at).over(so_far), "head_before", "_first")
