@@ -21,7 +21,7 @@ from emberlog.operators import admission as adm
 from emberlog.operators import aggregate as agg
 from emberlog.operators import filters as flt
 from emberlog.operators.fold import fold
-from emberlog.operators.paging import first_n, page_with_total
+from emberlog.operators.paging import first_n, page, page_with_total
 from emberlog.operators.parse import parse_events
 from emberlog.plans import commands
 from emberlog.plans import oracle as o
@@ -546,6 +546,12 @@ def _events_page(spark, sf_dir):
     return event_rows(page_with_total(events(spark, sf_dir), 200, 50), "total")
 
 
+@query("events_page_deep", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev ORDER BY source_ord, ev.line LIMIT 60 OFFSET 700")
+def _events_page_deep(spark, sf_dir):
+    """A page found by block counts, the way of pages too far down to sort up to."""
+    return event_rows(page(events(spark, sf_dir), 700, 60, shallow=0))
+
+
 # --- commands --------------------------------------------------------------------------------------------
 
 def _sources() -> list[str]:
