@@ -363,4 +363,6 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     joined = roots.join(smallest, "node").groupBy("root").agg(F.min("own").alias("component_id"))
     named = roots.join(joined, "root").select("node", "component_id")
     names = smallest.join(named, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
+    # Written, so that the last join reads both sides from exchanges of its own and can split a hot fingerprint.
+    names = checkpoint(names)
     return rows.join(names, rows[node] == names["node"]).select("doc_id", "text_key", "sig", "component_id")
