@@ -5,24 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import load, text_hash
-from emberlog.llm.simhash import CORPUS, near_duplicates
+from emberlog.llm.common import load
+from emberlog.llm.decontaminate import clean_documents
+from emberlog.llm.language import fit, identify
+from emberlog.llm.line_dedup import without_repeated_lines
+from emberlog.llm.mixing import mixed_documents
+from emberlog.llm.simhash import one_of_each_group
 from emberlog.session import scratch_dir
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest ``doc_id``; without ids, any one row."""
-    groups = near_duplicates(docs, CORPUS)
-    names = groups.select("doc_id", "text_key", "component_id").distinct()
-    chosen = names.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("_d"), F.col("first.text_key").alias("_k"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), text_hash(F.col("text")).alias("_key"))
-    kept = packed.join(chosen, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    return kept.select("_row.*")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned; texts without letters or far from every language go."""
+    return identify(docs, fit(docs)).filter(~F.col("rejected")).select("_row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier document has."""
+    return without_repeated_lines(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, five-word shingles at a similarity of 0.8 or more."""
+    return one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return clean_documents(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix of sources takes, with the number of ``copies``."""
+    return mixed_documents(docs, F.sqrt("size"))
 
 
 STAGES = [
-    ("simhash_near_dedup", one_of_each_group),
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
 ]
 
 # No SQL: fingerprints, samples and trained classes are outside it.

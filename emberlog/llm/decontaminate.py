@@ -61,7 +61,7 @@ def benchmark_fingerprints(items: DataFrame, span: int = SPAN, k: int = K) -> Da
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans)`` per row of ``docs (doc_id, text)`` against ``benchmark (item_id, text)``.
+    """``(doc_id, text_key, n_words, n_hit, items, spans)`` per row of ``docs (doc_id, text)`` against ``benchmark (item_id, text)``.
 
     A window is ``span`` consecutive words of an item, or all words of an item with fewer; a document word inside
     any occurrence of a window is hit.  ``spans`` are the hit passages as word ranges, end exclusive; ``items`` the
@@ -104,7 +104,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K
            concat(s, array(named_struct('first', x.pos, 'end', x.pos + x.length)))))""")
     out = grouped.withColumn("spans", merged).withColumn(
         "n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.first)"))
-    rows = out.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = out.select("doc_id", "text_key", F.col("n_words").cast("bigint").alias("n_words"), "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.drop("col")
 
 
@@ -115,3 +115,12 @@ def _short_hits(known: DataFrame, items: DataFrame, own: list[str], m: int) -> D
     whole = items.withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).selectExpr("item", "w AS other", f"{_gram(0, m).replace('pos + ', '')} AS print")
     hits = runs.withColumn("least", F.expr(_gram(0, m))).join(whole, F.expr(f"least = print AND slice(w, pos + 1, {m}) = other"))
     return hits.select(*own, F.lit(None).cast("int").alias("n"), "pos", F.lit(m).alias("length"), "item")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs."""
+    hit = passages(docs, benchmark, span, k).filter("n_hit > 0").select(
+        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_key"))
+    same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d"))
+    return packed.join(hit, same, "left_anti").select("_row.*")

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm.common import checkpoint
 
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
 
 
 def identify(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``texts`` packed in ``_row``, with ``lang_pred``, ``score`` (0 to 1) and ``rejected`` by column ``text``.
+    """Every row of ``texts`` packed in ``_row``, with ``lang_pred``, ``score`` (0 to 1) and ``rejected`` by its ``text``.
 
     A null text, and one without a letter, is ``und`` with score 0 and rejected; so is every text if nothing
     could be learned.  Rows are independent of each other, and nothing is shuffled.
@@ -191,11 +192,14 @@ def identify(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, rejected = broadcast.value.predict(batch.column("text").to_pylist())
+            rows = batch.column("_row")
+            langs, scores, rejected = broadcast.value.predict(rows.field("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                [rows, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["_row", "lang_pred", "score", "rejected"])
 
-    packed = texts.select(F.struct("*").alias("_row"), "text")
-    row = packed.schema["_row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"_row {row}, lang_pred string, score double, rejected boolean")
+    packed = texts.select(F.struct("*").alias("_row"))
+    schema = T.StructType([
+        packed.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("rejected", T.BooleanType())])
+    return packed.mapInArrow(run, schema)

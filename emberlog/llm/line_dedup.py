@@ -161,10 +161,25 @@ def kept_text(text: str | None, bitmap: bytes | None) -> str:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Every row of ``docs`` packed in ``_row``, with its ``text`` and its ``bitmap`` (null: all lines stay)."""
+    """Every row of ``docs`` packed in ``_row``, with its ``bitmap`` and ``n_dropped`` (null: all lines stay)."""
     packed = docs.select(
-        F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"),
-        text_hash(F.col("text")).alias("_key"), F.col("text"))
+        F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), text_hash(F.col("text")).alias("_key"))
     bits = bitmaps.select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey"), "bitmap", "n_dropped")
     same = (F.col("_key") == F.col("_bkey")) & F.col("_id").eqNullSafe(F.col("_bid"))
-    return packed.join(bits, same, "left").select("_row", "text", "bitmap", "n_dropped")
+    return packed.join(bits, same, "left").select("_row", "bitmap", "n_dropped")
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the lines gone that ``line_bitmaps`` drops; ``n_chars``, if there is one, counts what is left."""
+
+    def cut(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
+        return pd.Series([t if b is None else kept_text(t, b) for t, b in zip(texts, bitmaps)], dtype=object)
+
+    rows = with_bitmaps(docs, line_bitmaps(docs, min_chars)).withColumn(
+        "_text", F.pandas_udf(cut, "string")(F.col("_row.text"), F.col("bitmap")))
+    fields = {f.name: F.col("_row").getField(f.name) for f in docs.schema.fields}
+    fields["text"] = F.col("_text")
+    if "n_chars" in fields:
+        left = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+        fields["n_chars"] = F.when(F.col("bitmap").isNull(), fields["n_chars"]).otherwise(left)
+    return rows.select(*[column.alias(name) for name, column in fields.items()])

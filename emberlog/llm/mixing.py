@@ -153,3 +153,22 @@ def mix(
     return done.select(
         "doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, importance: Column | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, copies, taken``.
+
+    Columns of ``docs`` with one of these names give way.
+    """
+    own = Window.partitionBy("_key", "_id")
+    made = ["size", "source_size", "target", "copies", "taken"]
+    counted = mix(docs, importance, **options).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *made)
+    # Repeated rows are told apart by a number, the same on both sides.
+    counted = counted.withColumn("_n", F.row_number().over(own.orderBy(F.desc("copies")))).filter("copies > 0")
+    rest = [c for c in docs.columns if c.lower() not in made]
+    packed = docs.select(
+        F.struct(*rest).alias("_row"), F.col("doc_id").cast("bigint").alias("_did"), text_hash(F.col("text")).alias("_dkey"))
+    packed = packed.withColumn("_dn", F.row_number().over(Window.partitionBy("_dkey", "_did").orderBy("_did")))
+    same = F.expr("_key = _dkey AND _n = _dn AND _id <=> _did")
+    return packed.join(counted, same).select("_row.*", *made)

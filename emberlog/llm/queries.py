@@ -107,7 +107,8 @@ cut AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY r ORDER BY pos) = leve
 placed AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS place FROM cut),
 texts AS (SELECT r, conv_id, turn, place, level, body AS unit FROM placed
   UNION ALL SELECT r, conv_id, turn, place, level, string_agg(body, ' ' ORDER BY pos) FROM placed GROUP BY ALL),
-units AS (SELECT DISTINCT r, conv_id, turn, place, level, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g')) AS unit FROM texts),
+units AS (SELECT DISTINCT r, conv_id, turn, place, level, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g')) AS unit FROM texts),
 first AS (SELECT conv_id, unit, min(turn) AS origin FROM units WHERE level = 0 AND unit <> '' GROUP BY ALL),
 linked AS (SELECT q.conv_id, q.turn, q.place, q.level, origin FROM units q JOIN first f ON q.conv_id = f.conv_id AND q.unit = f.unit
   WHERE q.level > 0 AND origin < q.turn),
@@ -139,7 +140,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     found = line_bitmaps(docs)
-    rows = with_bitmaps(docs, found).select("_row.doc_id", "text", "bitmap", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
+    rows = with_bitmaps(docs, found).select("_row.doc_id", "_row.text", "bitmap", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
     return rows.mapInArrow(digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 

@@ -336,11 +336,11 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, plan: SimHash
 
 
 def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
-    """``(doc_id, text_key, sig, component_id)`` per row of ``docs (doc_id, text)``.
+    """``(doc_id, text_key, sig, component_id, node_id)`` per row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest ``doc_id`` that links lead to, itself included.  A null text is empty; texts
     without words have the fingerprint zero and link like any other.  Rows without ``doc_id`` belong to their
-    component but never name it (null if nothing else does).  Repeated rows stay repeated.  Other columns are
+    component but never name it (null if nothing else does; ``node_id`` tells components apart even then).  Repeated rows stay repeated.  Other columns are
     not looked at.
 
     Equal fingerprints (equal texts, where a Jaccard similarity is asked for) are collapsed by a partial
@@ -361,8 +361,24 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     roots = components(links)
     smallest = rows.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("own"))
     joined = roots.join(smallest, "node").groupBy("root").agg(F.min("own").alias("component_id"))
-    named = roots.join(joined, "root").select("node", "component_id")
-    names = smallest.join(named, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
+    named = roots.join(joined, "root")
+    names = smallest.join(named, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("node_id"), F.coalesce("component_id", "own").alias("component_id"))
     # Written, so that the last join reads both sides from exchanges of its own and can split a hot fingerprint.
     names = checkpoint(names)
-    return rows.join(names, rows[node] == names["node"]).select("doc_id", "text_key", "sig", "component_id")
+    return rows.join(names, rows[node] == names["node"]).select("doc_id", "text_key", "sig", "component_id", "node_id")
+
+
+def one_of_each_group(docs: DataFrame, plan: SimHashPlan = CORPUS) -> DataFrame:
+    """Of each group of near duplicates one row of ``docs``: the one with the smallest ``doc_id``, then text key.
+
+    A row without ``doc_id`` stays only if all of its group have none; of repeated rows one stays.
+    """
+    groups = near_duplicates(docs, plan).select("doc_id", "text_key", "node_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
+    chosen = groups.groupBy("node_id").agg(first)
+    chosen = chosen.select(F.col("first.doc_id").alias("_d"), F.col("first.text_key").alias("_k"))
+    packed = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), text_hash(F.col("text")).alias("_key"))
+    kept = packed.join(chosen, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    return kept.dropDuplicates(["_key", "_id"]).select("_row.*")
