@@ -20,11 +20,12 @@ RULES = {
         "contains({0}, 'req') OR contains({0}, 'trace') OR contains({0}, 'span')",
     ),
     "ipv6": (
-        f"{_HEX}{{1,4}}:{_HEX}{{1,4}}:(?:{_HEX}{{1,4}}:){{5}}{_HEX}{{1,4}}|::1(?<={_WORD}::1){_END}", "<ip>",
+        f"(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|::1(?<={_WORD}::1){_END}", "<ip>",
         "contains({0}, '::1') OR octet_length({0}) - octet_length(replace({0}, ':', '')) >= 7",
     ),
     "ipv4": (rf"\d(?<!{_WORD}\d)\d{{0,2}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{_END}", "<ip>", "contains({0}, '.')"),
     "hex": (f"0x(?<!{_WORD}0x){_HEX}+{_END}", "<hex>", "contains({0}, '0x')"),
+    # A quote is spelled \x27 because the pattern stands inside a quoted SQL literal.
     "path": (r'/[^\t\n\f\r "\x27)\]}:,;]*(?::\d+)?', "<path>", "contains({0}, '/')"),
     "hash": (f"{_HEX}(?<!{_WORD}{_HEX}){_HEX}{{39,}}{_END}", "<hash>", "octet_length({0}) >= 40"),
     "number": (rf"\d(?<!{_WORD}\d)\d*{_END}", "<n>", None),

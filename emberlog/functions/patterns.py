@@ -30,7 +30,24 @@ _SETS = {
 _SIMPLE = {"a": r"\x07", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t", "v": r"\x0B"}
 _REPEAT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
 _GROUP = re.compile(r"\(\?(?:P?<(\w+)>|([imsU]*(?:-[imsU]+)?)([:)]))")
-_CATEGORY = re.compile(r"[CLMNPSZ][a-z]?|Any")
+# Unicode categories and scripts by name.
+_CATEGORY = re.compile(r"C[cfos]?|L[lmotu]?|M[cen]?|N[dlo]?|P[cdefios]?|S[ckmo]?|Z[lps]?|Any")
+_SCRIPTS = frozenset("""
+    Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi
+    Braille Buginese Buhid Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Chorasmian Common Coptic Cuneiform
+    Cypriot Cyrillic Deseret Devanagari Dives_Akuru Dogra Duployan Egyptian_Hieroglyphs Elbasan Elymaic Ethiopic Georgian
+    Glagolitic Gothic Grantha Greek Gujarati Gunjala_Gondi Gurmukhi Han Hangul Hanifi_Rohingya Hanunoo Hatran Hebrew Hiragana
+    Imperial_Aramaic Inherited Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kannada Katakana Kayah_Li Kharoshthi
+    Khitan_Small_Script Khmer Khojki Khudawadi Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Makasar
+    Malayalam Mandaic Manichaean Marchen Masaram_Gondi Medefaidrin Meetei_Mayek Mende_Kikakui Meroitic_Cursive
+    Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean Nandinagari New_Tai_Lue Newa Nko Nushu
+    Nyiakeng_Puachue_Hmong Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_Sogdian
+    Old_South_Arabian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi
+    Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham SignWriting Sinhala Sogdian Sora_Sompeng Soyombo Sundanese
+    Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut Telugu Thaana Thai Tibetan Tifinagh
+    Tirhuta Ugaritic Vai Wancho Warang_Citi Yezidi Yi Zanabazar_Square
+""".split())
+_MOST_REPEATS = 1000
 
 
 class _Reader:
@@ -75,6 +92,8 @@ def _property(r: _Reader, negate: bool) -> str:
         name, negate = name[1:], not negate
     if not name:
         raise _bad(r.text, "property without a name")
+    if not _CATEGORY.fullmatch(name) and name not in _SCRIPTS:
+        raise _bad(r.text, f"unknown property {name}")
     if name == "Any":
         return r"\x00-\x{10FFFF}" if not negate else r"&&[^\x00-\x{10FFFF}]"
     spelled = name if _CATEGORY.fullmatch(name) else "Is" + name
@@ -114,6 +133,22 @@ def _escape(r: _Reader, in_class: bool) -> str:
     raise _bad(r.text, f"unknown escape \\{char}")
 
 
+def _one_of_class(r: _Reader) -> tuple[str, int | None]:
+    """The next member of a class and, where it is a single character, its code point."""
+    char = r.take()
+    if char != "\\":
+        return (char if char == "-" else _literal(char)), ord(char)
+    start = r.at
+    spelled = _escape(r, in_class=True)
+    escape = r.text[start:r.at]
+    if escape[0] in _SETS or escape[0] in "pP":
+        return spelled, None
+    if spelled.startswith("\\x{"):
+        return spelled, int(spelled[3:-1], 16)
+    codes = {r"\f": 12, r"\n": 10, r"\r": 13, r"\t": 9, r"\x07": 7, r"\x0B": 11}
+    return spelled, codes.get(spelled, ord(escape[0]))
+
+
 def _char_class(r: _Reader) -> str:
     out = "[" + (r.take() if r.rest("^") else "")
     first = True
@@ -130,20 +165,29 @@ def _char_class(r: _Reader) -> str:
                 raise _bad(r.text, f"unknown class {named[0]}")
             out += f"[^{_POSIX[named[2]]}]" if named[1] else _POSIX[named[2]]
             continue
-        char = r.take()
-        if char == "\\":
-            out += _escape(r, in_class=True)
-        else:
-            out += char if char == "-" else _literal(char)
+        low, low_code = _one_of_class(r)
+        ranged = low_code is not None and r.rest("-") and r.at + 1 < len(r.text) and r.text[r.at + 1] != "]"
+        if not ranged:
+            out += "\\-" if low == "-" else low
+            continue
+        r.take()
+        high, high_code = _one_of_class(r)
+        if high_code is None or high_code < low_code:
+            raise _bad(r.text, "bad range")
+        out += "-".join("\\-" if x == "-" else x for x in (low, high))
 
 
 def to_java(pattern: str) -> str:
     """The pattern for ``rlike``."""
     r, out, scopes = _Reader(pattern), "(?d)", [{"m": False}]
-    repeatable = False
+    repeatable, names = False, set()
     while not r.done():
         flags = scopes[-1]
         repeat = r.match(_REPEAT) if repeatable else None
+        if repeat:
+            low, high = int(repeat[1]), int(repeat[2] or repeat[1])
+            if high < low or high > _MOST_REPEATS or low > _MOST_REPEATS:
+                raise _bad(pattern, "bad repeat count")
         if repeat or (repeatable and r.text[r.at] in "*+?"):
             out += (repeat[0] if repeat else r.take()) + (r.take() if r.rest("?") else "")
             if not r.done() and (r.text[r.at] in "*+?" or _REPEAT.match(r.text, r.at)):
@@ -175,6 +219,10 @@ def to_java(pattern: str) -> str:
             group = r.match(_GROUP)
             if not group:
                 raise _bad(pattern, "unsupported group")
+            if group[1]:
+                if group[1] in names:
+                    raise _bad(pattern, f"duplicate group name {group[1]}")
+                names.add(group[1])
             switch = group[2] or ""
             on, _, off = switch.partition("-")
             scope = {"m": (flags["m"] or "m" in on) and "m" not in off}

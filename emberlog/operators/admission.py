@@ -6,9 +6,10 @@ from collections import deque
 from datetime import datetime, timedelta
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.functions.timestamps import now_column
 from emberlog.operators.blocks import before
@@ -50,7 +51,8 @@ def admission(
 
     Rejected events do not count, so each decision depends on the ones before it.  Events of one key at one
     instant are counted together first, with map-side combining; the decisions then run over instants, in
-    order, one stretch of activity at a time, and hold at most ``limit`` instants in memory.  ``tie_break``
+    order, one stretch of activity at a time, and hold at most ``limit`` instants in memory.  A stretch is decided by
+    one task, so its length in instants bounds what can run at once.  ``tie_break``
     orders events of the same instant.  A null key is a key like any other; an event without a time is not
     admitted and does not count.
     """
@@ -62,22 +64,20 @@ def admission(
         .groupBy("_key", F.coalesce("_at", F.lit(0)).alias("_at")).agg(F.count("*").alias("_n"))
     )
     ordered = (
-        _segments(instants, span).withColumn("_k", F.col("_key.k"))
+        _segments(instants, span)
         .repartition("_key", "_segment")
         .sortWithinPartitions("_key", "_segment", "_at")
-        .select("_k", F.col("_k").isNull().alias("_none"), "_segment", "_at", "_n")
+        .select("_key", (F.col("_at") == F.col("_segment")).alias("_new"), "_at", "_n")
     )
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, recent, held = None, deque(), 0
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Keys pass through as they are; where a stretch starts is told by a column, never by comparing keys here.
+        recent, held = deque(), 0
         for batch in batches:
             granted = []
-            for k, none, segment, at, n in zip(
-                batch["_k"], batch["_none"], batch["_segment"], batch["_at"], batch["_n"]
-            ):
-                here = (None if none else k, segment)
-                if here != stretch:
-                    stretch, recent, held = here, deque(), 0
+            for new, at, n in zip(*(batch.column(c).to_pylist() for c in ("_new", "_at", "_n"))):
+                if new:
+                    recent, held = deque(), 0
                 while recent and recent[0][0] <= at - span:
                     held -= recent.popleft()[1]
                 taken = max(min(n, limit - held), 0)
@@ -85,11 +85,12 @@ def admission(
                     recent.append((at, taken))
                     held += taken
                 granted.append(taken)
-            yield batch[["_k", "_at"]].assign(_granted=granted)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key"), batch.column("_at"), pa.array(granted, pa.int64())], ["_key", "_at", "_granted"])
 
-    key_type = events.schema[key].dataType.simpleString()
-    granted = ordered.mapInPandas(decide, f"_k {key_type}, _at bigint, _granted bigint")
-    granted = granted.select(F.struct(F.col("_k").alias("k")).alias("_key"), "_at", "_granted")
+    schema = T.StructType([
+        ordered.schema["_key"], T.StructField("_at", T.LongType()), T.StructField("_granted", T.LongType())])
+    granted = ordered.mapInArrow(decide, schema)
     w = Window.partitionBy("_key", "_at").orderBy(*tie_break)
     return (
         numbered.withColumn("_rank", F.row_number().over(w))

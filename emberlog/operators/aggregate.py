@@ -14,8 +14,12 @@ EXACT, FIRST_K = "exact", "first_k"
 
 # Alphabetical, the order of keys in a serialized report.
 _NAMES = sorted(lv.RANKS)
-# Error groups of a report are ranked in this many shares before the shares' best are put together.
-_SHARES = 64
+
+# Arrival as one number: sources are this far apart, farther than a line number goes.
+_SOURCE_STEP = "10000000000000000000BD"
+_ARRIVAL_NUMBER = (
+    f"cast(cast(source_ord AS decimal(10,0)) * {_SOURCE_STEP} + cast(line AS decimal(19,0)) AS decimal(38,0))"
+)
 
 GROUP_FIELDS = ["signature", "sample", "count", "first_seen", "last_seen"]
 
@@ -114,8 +118,7 @@ def top_errors(events: DataFrame, k: int = TOP, mode: str = EXACT) -> DataFrame:
 def report_groups(events: DataFrame, by: str | None = None) -> DataFrame:
     """Events summed up per signature, all non-errors under one null signature.
 
-    One pass over the events with partial aggregation; everything a report holds follows from these rows.
-    Works on a stream as well.
+    One pass over the events; everything a report holds follows from these rows, so they can be a stream's state.
     """
     counts = [f"count_if(level = {lv.RANKS[n]}) AS {n}" for n in _NAMES]
     first = f"min(CASE WHEN level >= {lv.ERROR} THEN struct(source_ord, line, ts, message) END) AS first"
@@ -128,6 +131,26 @@ def report_groups(events: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
+def _tallies(events: DataFrame, by: str | None) -> DataFrame:
+    """As ``report_groups`` without message and time of the first arrival, which ``first`` only names.
+
+    All buffers have a fixed width, so the lines are hashed into their groups and never sorted.
+    """
+    counts = [f"count_if(level = {lv.RANKS[n]}) AS {n}" for n in _NAMES]
+    arrival = f"min(CASE WHEN level >= {lv.ERROR} THEN {_ARRIVAL_NUMBER} END) AS _arrival"
+    errors_only = F.when(F.col("level") >= lv.ERROR, F.col("message"))
+    grouped = (
+        with_signature(events.withColumn("message", errors_only))
+        .groupBy(*([by] if by else []), "signature")
+        .agg(*map(F.expr, ["count(*) AS n", *counts, "min(ts) AS first_ts", "max(ts) AS last_ts", arrival]))
+    )
+    first = (
+        f"named_struct('source_ord', cast(_arrival div {_SOURCE_STEP} AS int), 'line', cast(_arrival % {_SOURCE_STEP} AS bigint),"
+        " 'ts', cast(NULL AS timestamp), 'message', cast(NULL AS string)) AS first"
+    )
+    return grouped.selectExpr("*", first).drop("_arrival")
+
+
 def report(
     events: DataFrame, k: int = TOP, mode: str = EXACT, by: str | None = None,
     source: str = "stdin", sources: list[str] | None = None,
@@ -135,24 +158,64 @@ def report(
     """One report over all events, or one per value of ``by``, which is then its source label.
 
     ``sources`` are all inputs the report names, ``source`` the first.  ``k`` and ``mode`` choose the error
-    groups as in ``top_errors``.
+    groups as in ``top_errors``; with ``k=0`` a report holds all of them in one row, so take ``error_groups``
+    where there may be many.
+
+    Events are counted in one hash aggregation.  Only the best groups' first messages are fetched afterwards, by
+    line number: that join sits below the parsing, so no other line is parsed again.
     """
-    return report_of_groups(report_groups(events, by), k, mode, by, source, sources)
+    label = F.col(by).cast("string") if by else F.lit(source)
+    best = _reports(_tallies(events, by), k, mode, by, source, sources)
+    # Handed on whole, so that both uses below read one and the same aggregation.
+    fields = ", ".join(f"'{c}', {c}" for c in best.columns)
+    best = best.selectExpr(f"inline(array(named_struct({fields})))")
+    wanted = best.select(F.col("source").alias("_label"), F.posexplode("top_errors").alias("_place", "_g"))
+    wanted = wanted.select("_label", "_place", "_g", F.col("_g.source_ord").alias("_ord"), F.col("_g.line").alias("_line"))
+    places = wanted.select("_ord", "_line")
+    candidates = events.join(places, (F.col("source_ord") == F.col("_ord")) & (F.col("line") == F.col("_line")), "left_semi")
+    candidates = with_signature(candidates.filter(F.col("level") >= lv.ERROR)).select(
+        label.alias("_l2"), "signature", "source_ord", "line", F.struct("ts", "message").alias("_sample"))
+    same = (
+        F.col("_label").eqNullSafe(F.col("_l2")) & (F.col("_g.signature") == F.col("signature"))
+        & (F.col("_ord") == F.col("source_ord")) & (F.col("_line") == F.col("line"))
+    )
+    filled = wanted.join(candidates, same).groupBy("_label", "_place", "_g").agg(F.min("_sample").alias("_sample"))
+    top = filled.groupBy("_label").agg(F.array_sort(F.collect_list(F.struct(
+        "_place", F.col("_g.signature").alias("signature"), F.col("_sample.message").alias("sample"),
+        F.col("_g.count").alias("count"), F.col("_sample.ts").alias("first_seen"), F.col("_g.last_seen").alias("last_seen"),
+    ))).alias("_top"))
+    fields = ", ".join(f"g.{f} AS {f}" for f in GROUP_FIELDS)
+    none = "cast(array() AS array<struct<signature: string, sample: string, count: bigint, first_seen: timestamp, last_seen: timestamp>>)"
+    joined = best.join(top, F.col("source").eqNullSafe(F.col("_label")), "left")
+    return joined.select(
+        "source", "sources", "total_lines", "levels",
+        F.expr(f"coalesce(transform(_top, g -> struct({fields})), {none}) AS top_errors"), "first_line", "last_line",
+    )
 
 
 def report_of_groups(
     grouped: DataFrame, k: int = TOP, mode: str = EXACT, by: str | None = None,
     source: str = "stdin", sources: list[str] | None = None,
 ) -> DataFrame:
-    """Reports from the rows of ``report_groups``.
+    """Reports from the rows of ``report_groups``."""
+    reports = _reports(grouped, k, mode, by, source, sources)
+    fields = ", ".join(f"g.{f} AS {f}" for f in GROUP_FIELDS)
+    return reports.withColumn("top_errors", F.expr(f"transform(top_errors, g -> struct({fields}))"))
+
+
+def _reports(
+    grouped: DataFrame, k: int, mode: str, by: str | None, source: str, sources: list[str] | None
+) -> DataFrame:
+    """Reports whose error groups have the place of their first arrival besides.
 
-    The best groups of a report are picked in shares first, so neither many signatures nor one large
-    report meet in one task; the last step holds k groups per share at most.
+    The best groups of a report are picked in shares first, as many as the session's shuffle partitions, so neither
+    many signatures nor one large report meet in one task; the last step holds k groups per share at most.
     """
     keys = [by] if by else []
+    shares = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = "struct(first.source_ord, first.line)" if mode == FIRST_K else "struct(-n AS a, signature AS b)"
     ranked = grouped.selectExpr(
-        "*", f"pmod(xxhash64(signature), {_SHARES}) AS share", f"{rank} AS rank",
+        "*", f"pmod(xxhash64(signature), {shares}) AS share", f"{rank} AS rank",
     )
     if k > 0:
         within = ", ".join([*keys, "share"])
@@ -160,7 +223,8 @@ def report_of_groups(
         ranked = ranked.selectExpr("*", f"{place} AS place")
     kept = "signature IS NOT NULL" + (" AND place <= " + str(k) if k > 0 else "")
     group = (
-        "struct(rank, signature, first.message AS sample, n AS count, first.ts AS first_seen, last_ts AS last_seen)"
+        "struct(rank, signature, first.message AS sample, n AS count, first.ts AS first_seen, last_ts AS last_seen,"
+        " first.source_ord AS source_ord, first.line AS line)"
     )
     sums = [f"sum({c}) AS {c}" for c in ["n", *_NAMES]]
     ends = ["min(first_ts) AS first_ts", "max(last_ts) AS last_ts"]
@@ -172,10 +236,11 @@ def report_of_groups(
     best = "array_sort(best)"
     if k != 0:
         best = f"slice({best}, 1, {max(k, 0)})"
+    held = [*GROUP_FIELDS, "source_ord", "line"]
     if mode == FIRST_K:
-        fields = ", ".join(f"g.{f} AS {f}" for f in GROUP_FIELDS)
+        fields = ", ".join(f"g.{f} AS {f}" for f in held)
         best = f"array_sort(transform({best}, g -> struct(struct(-g.count AS a, g.signature AS b) AS rank, {fields})))"
-    top = f"transform({best}, g -> struct({', '.join(f'g.{f} AS {f}' for f in GROUP_FIELDS)}))"
+    top = f"transform({best}, g -> struct({', '.join(f'g.{f} AS {f}' for f in held)}))"
     counts = ", ".join(f"struct('{n}' AS level, {n} AS count)" for n in _NAMES)
     label = F.col(by).cast("string") if by else F.lit(source)
     all_sources = F.array(label) if by or sources is None else F.array(*[F.lit(s) for s in sources])

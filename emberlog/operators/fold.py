@@ -17,15 +17,13 @@ def is_continuation(text: Column) -> Column:
 
 
 def fold(
-    lines: DataFrame, max_lines: int = MAX_LINES, cross_source: bool = False, contiguous: bool = True,
-    block_bits: int = BLOCK_BITS,
+    lines: DataFrame, max_lines: int = MAX_LINES, cross_source: bool = False, block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Append each continuation line to its head line, at most ``max_lines`` per event.
 
     A run of continuations longer than that starts a new event at the first line over the limit.  The
     first line of a source is a head even when indented; with ``cross_source`` it can continue the last
-    event of the source before.  ``contiguous`` says that a source's line numbers have no gaps, as those of
-    the file scan do.
+    event of the source before.  Only the order of line numbers counts: they may have gaps, as after a filter.
 
     Lines meet by block of consecutive lines, never by source.  An event that starts in a block may run on
     into the next one, by ``max_lines`` lines at most, so those first lines of a block are sent to the block
@@ -36,10 +34,7 @@ def fold(
     lines = keyed(as_lines(lines).select(*SOURCE_KEYS, "line", "text"))
     bits = max(block_bits, (max_lines + 1).bit_length())
     keys = [] if cross_source else SOURCE_KEYS
-    if cross_source or not contiguous:
-        lines = with_ordinal(lines, across_sources=cross_source, name="_at", bits=block_bits)
-    else:
-        lines = lines.withColumn("_at", F.col("line"))
+    lines = with_ordinal(lines, across_sources=cross_source, name="_at", bits=block_bits)
 
     at = F.col("_at")
     head_at = F.when(~is_continuation(F.col("text")), at)

@@ -11,8 +11,6 @@ PAGE = 100
 MAX_LIMIT = 1000
 FIRST = 10
 
-# Up to here a page is a plain top-n; further down the rows before it are skipped block by block.
-SHALLOW = 10_000
 ARRIVAL = [*SOURCE_KEYS, "line"]
 
 
@@ -35,15 +33,27 @@ def page_bounds(offset: int | None, limit: int | None) -> tuple[int, int]:
     )
 
 
-def page(
-    events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, shallow: int = SHALLOW, bits: int = BLOCK_BITS
+def page(events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, bits: int = BLOCK_BITS) -> DataFrame:
+    """Events ``offset`` to ``offset + limit`` in arrival order; none beyond the end.
+
+    The rows before a page are skipped block by block: blocks are counted, and only the few that reach into the page
+    are numbered and sorted, however far down it lies.
+    """
+    return _paged(events, offset, limit, bits).drop("total")
+
+
+def page_with_total(
+    events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """Events ``offset`` to ``offset + limit`` in arrival order; none beyond the end."""
+    """A page with the number of all events in column ``total``, which comes from the same counts of blocks."""
+    return _paged(events, offset, limit, bits)
+
+
+def _paged(events: DataFrame, offset: int | None, limit: int | None, bits: int) -> DataFrame:
     offset, limit = page_bounds(offset, limit)
-    if offset + limit <= shallow:
-        return events.orderBy(*ARRIVAL).offset(offset).limit(limit)
     events = keyed(events)
     offsets = block_offsets(events, across_sources=True, bits=bits)
+    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     # Every block holds an event, so at most ``limit`` blocks reach into the page.
     wanted = offsets.filter((F.col("base") < offset + limit) & (F.col("base") + F.col("n") > offset)).limit(limit)
     w = Window.partitionBy(*SOURCE_KEYS, "block").orderBy("line")
@@ -54,11 +64,5 @@ def page(
         .filter(F.col("_at").between(offset, offset + limit - 1))
         .select(*events.columns)
         .orderBy(*ARRIVAL)
+        .withColumn("total", total.scalar())
     )
-
-
-def page_with_total(events: DataFrame, offset: int | None = 0, limit: int | None = PAGE) -> DataFrame:
-    """A page with the number of all events in column ``total``."""
-    rows = page(events, offset, limit)
-    total = events.groupBy().agg(F.count("*").alias("total"))
-    return rows.withColumn("total", total.scalar())

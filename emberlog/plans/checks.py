@@ -83,9 +83,9 @@ _PIECES = "SELECT doc_id, unnest(string_split(t, chr(10))) AS text, generate_sub
           " AS line, len(string_split(t, chr(10))) AS n FROM (SELECT doc_id, {t} AS t FROM documents)"
 
 
-@query("read_lines", f"""SELECT doc_id, line, CASE WHEN right(text, 1) = chr(13) THEN left(text, -1) ELSE text END AS text
+@query("split_lines", f"""SELECT doc_id, line, CASE WHEN right(text, 1) = chr(13) THEN left(text, -1) ELSE text END AS text
 FROM ({_PIECES.format(t=_RETURNS.format(chr13='chr(13)', chr10='chr(10)'))}) WHERE NOT (line = n AND text = '')""")
-def _read_lines(spark, sf_dir):
+def _split_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     text = F.expr(_RETURNS.format(chr13="chr(13)", chr10="chr(10)"))
     return split_lines(docs.select("doc_id", text.alias("text")))
@@ -96,23 +96,44 @@ def _raw_view(spark, sf_dir):
     return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), raw=True)
 
 
-_FILE_LINES = 1000
+def _as_files(lines, path: str, **options) -> None:
+    """One text file per source, its lines in order."""
+    ordered = lines.select("source", "line", "text").repartition("source").sortWithinPartitions("source", "line")
+    ordered.select("source", "text").write.partitionBy("source").text(path, **options)
+
+
+def _source_of(path):
+    return F.regexp_extract(path, "source=([^/]+)/", 1).alias("source")
 
 
 @query("line_numbers", f"SELECT source, line, text FROM ({log_lines_sql()})")
 def _line_numbers(spark, sf_dir):
-    """Lines written as text files, a thousand each, and read back with their numbers."""
+    """Lines written as one text file per source, and read back with their numbers."""
     path = scratch_dir(spark)
-    blk = F.floor((F.col("line") - 1) / _FILE_LINES).alias("blk")
-    (
-        log_lines(spark, sf_dir).select("source", blk, "line", "text")
-        .repartition("source", "blk").sortWithinPartitions("source", "blk", "line")
-        .select("source", "blk", "text").write.partitionBy("source", "blk").text(path)
-    )
-    back = read_lines(spark, [f"{path}/source=*/blk=*/*.txt"])
-    name = F.regexp_extract("source", "source=([^/]+)/blk=", 1)
-    block = F.regexp_extract("source", "/blk=([0-9]+)/", 1).cast("bigint")
-    return back.select(name.alias("source"), (block * _FILE_LINES + F.col("line")).alias("line"), "text")
+    _as_files(log_lines(spark, sf_dir), path)
+    return read_lines(spark, [f"{path}/source=*/*.txt"]).select(_source_of("source"), "line", "text")
+
+
+@query("read_lines", f"""SELECT source_ord, source, line, text FROM ({log_lines_sql()})
+UNION ALL SELECT {SOURCES}, source, line, text FROM ({log_lines_sql()}) WHERE source_ord = 2""")
+def _read_lines(spark, sf_dir):
+    """Plain and compressed files by pattern, in the order of their names; a path named again is read again."""
+    path = scratch_dir(spark)
+    lines = log_lines(spark, sf_dir)
+    _as_files(lines.filter("source_ord % 2 = 0"), f"{path}/plain")
+    _as_files(lines.filter("source_ord % 2 = 1"), f"{path}/packed", compression="gzip")
+    some = [f"{path}/{'packed' if i % 2 else 'plain'}/source=app-{i}.log/part-*" for i in range(SOURCES)]
+    back = read_lines(spark, [*some, f"{path}/nothing/*.log", some[2]])
+    return back.select("source_ord", _source_of("source"), "line", "text")
+
+
+@query("long_lines", f"SELECT source, line, strlen(text) > 60 AS too_long, text FROM ({log_lines_sql()})")
+def _long_lines(spark, sf_dir):
+    """Long lines are kept, and told apart by a column."""
+    path = scratch_dir(spark)
+    _as_files(log_lines(spark, sf_dir), path)
+    back = read_lines(spark, [f"{path}/source=*/*.txt"], max_line_bytes=60)
+    return back.select(_source_of("source"), "line", "too_long", "text")
 
 
 # --- timestamps and levels -------------------------------------------------------------------------------
@@ -225,20 +246,19 @@ def _parse_events(spark, sf_dir):
     return event_rows(events(spark, sf_dir, keep_format=True), "ts_format")
 
 
-_DOC_LINES = f"SELECT 'documents' AS source, 0 AS source_ord, doc_id * 100000 + line AS line, text FROM ({_PIECES.format(t='text')})"
+_DOC_LINES = f"SELECT concat('doc-', doc_id) AS source, 0 AS source_ord, line, text FROM ({_PIECES.format(t='text')})"
 
 
 def _doc_lines(spark, sf_dir):
     lines = split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), raw=True)
     return lines.select(
-        F.lit("documents").alias("source"), F.lit(0).alias("source_ord"),
-        (F.col("doc_id") * 100000 + F.col("line")).alias("line"), "text",
+        F.concat(F.lit("doc-"), "doc_id").alias("source"), F.lit(0).alias("source_ord"), F.col("line"), "text",
     )
 
 
-@query("parse_documents", f"{o.events_cte(_DOC_LINES)} SELECT line, level_name, message FROM ev")
+@query("parse_documents", f"{o.events_cte(_DOC_LINES)} SELECT source, line, level_name, message FROM ev")
 def _parse_documents(spark, sf_dir):
-    return parse_events(_doc_lines(spark, sf_dir), now=NOW).select("line", "level_name", "message")
+    return parse_events(_doc_lines(spark, sf_dir), now=NOW).select("source", "line", "level_name", "message")
 
 
 @query("duration_text", """SELECT event_id, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600
@@ -346,6 +366,12 @@ def _fold_cap(spark, sf_dir):
     return _folded(fold(trace_lines(spark, sf_dir), max_lines=2))
 
 
+@query("fold_gaps", f"SELECT source, line, text FROM ({fold_sql(f'SELECT * FROM ({_TRACE_SQL}) WHERE line % 7 <> 0', 2)})")
+def _fold_gaps(spark, sf_dir):
+    """Every seventh line is missing, so numbers have gaps, inside events too."""
+    return _folded(fold(trace_lines(spark, sf_dir).filter("line % 7 <> 0"), max_lines=2))
+
+
 @query("fold_cross_source", f"SELECT source, line, text FROM ({fold_sql(_TRACE_SQL, 3, '', 'source_ord, line')})")
 def _fold_cross_source(spark, sf_dir):
     return _folded(fold(trace_lines(spark, sf_dir), max_lines=3, cross_source=True))
@@ -502,9 +528,9 @@ def _report_first_k(spark, sf_dir):
     return _report_rows(agg.report(events(spark, sf_dir), k=5, mode=agg.FIRST_K))
 
 
-@query("report_by_source", f"{_selected()}{report_cte(by_source=True, k=0)} SELECT {REPORT_ROWS} FROM rep")
+@query("report_by_source", f"{_selected()}{report_cte(by_source=True, k=10)} SELECT {REPORT_ROWS} FROM rep")
 def _report_by_source(spark, sf_dir):
-    return _report_rows(agg.report(events(spark, sf_dir), k=0, by="source"))
+    return _report_rows(agg.report(events(spark, sf_dir), k=10, by="source"))
 
 
 @query("report_rollup", f"""{_selected()}{report_cte(by_source=True)} SELECT count(*) AS reports,
@@ -548,8 +574,7 @@ def _events_page(spark, sf_dir):
 
 @query("events_page_deep", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev ORDER BY source_ord, ev.line LIMIT 60 OFFSET 700")
 def _events_page_deep(spark, sf_dir):
-    """A page found by block counts, the way of pages too far down to sort up to."""
-    return event_rows(page(events(spark, sf_dir), 700, 60, shallow=0))
+    return event_rows(page(events(spark, sf_dir), 700, 60))
 
 
 # --- commands --------------------------------------------------------------------------------------------
@@ -597,6 +622,29 @@ def _cmd_analyze(spark, sf_dir):
     return event_rows(commands.analyze(log_lines(spark, sf_dir), options, "app", NOW))
 
 
+def _analyzed(command: str):
+    options = commands.AnalyzeOptions(command, "warn", PATTERN if command == "grep" else "", 5, fold=True)
+    return lambda spark, sf_dir: commands.analyze(trace_lines(spark, sf_dir), options, "app", NOW)
+
+
+_FOLDED_SQL = fold_sql(_TRACE_SQL, 50)
+
+
+@query("analyze_scan", f"{_selected('level >= 1', _FOLDED_SQL)}{report_cte(source='app', k=5)} SELECT {REPORT_ROWS} FROM rep")
+def _analyze_scan(spark, sf_dir):
+    return _report_rows(_analyzed("scan")(spark, sf_dir))
+
+
+@query("analyze_top", f"{_selected('level >= 2', _FOLDED_SQL)}{report_cte(source='app', k=5)} SELECT {REPORT_ROWS} FROM rep")
+def _analyze_top(spark, sf_dir):
+    return _report_rows(_analyzed("top")(spark, sf_dir))
+
+
+@query("analyze_grep", f"{o.events_cte(_FOLDED_SQL)} SELECT {EVENT_ROWS} FROM ev WHERE level >= 1 AND {PATTERN_SQL}")
+def _analyze_grep(spark, sf_dir):
+    return event_rows(_analyzed("grep")(spark, sf_dir))
+
+
 # --- streams ---------------------------------------------------------------------------------------------
 
 @query("watch_live", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev WHERE level >= 1 AND {PATTERN_SQL}")
@@ -733,6 +781,18 @@ def _admission(spark, sf_dir):
     return _admitted(spark, sf_dir).select("event_id", "user_id", "admitted")
 
 
+_NULL_KEY = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE 9007199254740993 + user_id END"
+
+
+@query("admission_null_keys", ADMISSION_SQL.replace(
+    "SELECT event_id, user_id, epoch_us(ts) AS t,", f"SELECT event_id, coalesce({_NULL_KEY}, -1) AS user_id, epoch_us(ts) AS t,").replace(
+    "PARTITION BY user_id", f"PARTITION BY {_NULL_KEY}") + " SELECT event_id, admitted FROM a")
+def _admission_null_keys(spark, sf_dir):
+    """Keys beyond what a double can tell apart, some of them null."""
+    keyed = table(spark, sf_dir, "events").select("event_id", "ts", F.expr(_NULL_KEY.replace("9007199254740993", "9007199254740993L")).alias("k"))
+    return adm.admission(keyed, "k", "ts", _LIMIT, _WINDOW, ["event_id"]).select("event_id", "admitted")
+
+
 @query("active_keys", f"""{ADMISSION_SQL} SELECT user_id, strftime(make_timestamp(max(t)), '%Y-%m-%d %H:%M:%S.%f') AS last_admitted
 FROM a WHERE admitted GROUP BY user_id HAVING max(t) > epoch_us(TIMESTAMP '2024-01-30 00:00:00') - 36000000000""")
 def _active_keys(spark, sf_dir):

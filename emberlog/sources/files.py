@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from emberlog.sources.lines import strip_return
 
 PROBE_BYTES = 8192
+# Bytes of a row besides its path, generously.
+_ROW_BYTES = 64
 LINES_SCHEMA = "source_ord int, source string, line bigint, text string"
 
-# A summary row per file split is sent to every task only while there are at most this many.
-_BROADCAST_SPLITS = 1_000_000
-_BROADCAST_FILES = 1_000_000
-
 # Names Spark decompresses by.
 _CODEC_NAME = r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$"
 
@@ -142,11 +140,9 @@ def _scan_text(spark: SparkSession, files: list[LogFile]) -> DataFrame:
 
     A line's number is its place in its split plus the lines of the splits before.  The splits are counted
     by a scan that reads no columns, and only those counts are joined; the text is never shuffled.  Both
-    scans must be cut into the same splits, so the one setting that could move between them (the number of
-    executors seen) is pinned, and a row that fits no counted split stops the query.
+    scans must be cut into the same splits; a row that fits no counted split stops the query.  Set
+    ``spark.sql.files.minPartitionNum`` where executors come and go, which alone could move the splits.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     literal = sorted({re.sub(r"([*?\[\]{}\\])", r"\\\1", f.uri) for f in files})
     scan = spark.read.text(literal, lineSep="\n").select(
         F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("key"),
@@ -158,10 +154,9 @@ def _scan_text(spark: SparkSession, files: list[LogFile]) -> DataFrame:
     w = Window.partitionBy("key").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    count = sum(f.size // split_bytes + 1 for f in files)
     # The split size can be lowered for parallelism, to a share per core at least.
-    if count + spark.sparkContext.defaultParallelism <= _BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
+    count = sum(f.size // split_bytes + 1 for f in files) + spark.sparkContext.defaultParallelism
+    splits = _sent_if_small(spark, splits, count * (_ROW_BYTES + max((len(f.key) for f in files), default=0)))
     place = F.col("_id") - F.col("_first")
     line = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place + 1).otherwise(
         F.raise_error(F.lit("file splits moved between counting and reading lines"))
@@ -171,6 +166,12 @@ def _scan_text(spark: SparkSession, files: list[LogFile]) -> DataFrame:
     )
 
 
+def _sent_if_small(spark: SparkSession, df: DataFrame, size: int) -> DataFrame:
+    """A broadcast hint where the rows take no more than the session broadcasts by itself; else the join is left to Spark."""
+    limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return F.broadcast(df) if size <= limit else df
+
+
 def _bytes(text: str) -> int:
     units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
     number = text.rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -198,8 +199,8 @@ def read_lines(
 ) -> DataFrame:
     """Lines ``(source_ord, source, line, text)`` of log files.
 
-    Missing and binary files are skipped.  ``max_line_bytes`` leaves longer lines out (their numbers stay
-    used); without it a line may have any length.  ``probe_files=False`` skips the look at each file's
+    Missing and binary files are skipped.  Lines of any length are kept whole; ``max_line_bytes`` adds a column
+    ``too_long`` that tells which are longer.  ``probe_files=False`` skips the look at each file's
     first bytes where it is known that there are only plain files and files named ``.gz``.
     """
     files = resolve(spark, [paths] if isinstance(paths, str) else list(paths))
@@ -219,12 +220,10 @@ def read_lines(
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     named = [(i, f.source, f.key) for i, f in enumerate(files)]
     names = spark.createDataFrame(named, "source_ord int, source string, key string")
-    if len(named) <= _BROADCAST_FILES:
-        names = F.broadcast(names)
+    names = _sent_if_small(spark, names, sum(_ROW_BYTES + len(s) + len(k) for _, s, k in named))
     lines = lines.join(names, "key", "left").withColumn("source_ord", F.coalesce(
         "source_ord", F.raise_error(F.concat(F.lit("unexpected file: "), F.col("key"))).cast("int")))
+    lines = lines.select("source_ord", "source", "line", "text")
     if max_line_bytes is not None:
-        lines = lines.observe(
-            "line_length", F.count_if(F.octet_length("text") > max_line_bytes).alias("dropped")
-        ).filter(F.octet_length("text") <= max_line_bytes)
-    return lines.select("source_ord", "source", "line", "text")
+        lines = lines.withColumn("too_long", F.octet_length("text") > max_line_bytes)
+    return lines

@@ -52,15 +52,9 @@ _DUCKDB_SLOTS = {
 SOURCES = 8
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; zone-less timestamps are read as UTC."""
-    return _utc(spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+    return _utc(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _utc(df: DataFrame) -> DataFrame:

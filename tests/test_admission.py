@@ -70,3 +70,14 @@ def test_client_keys(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f string, a string")
     got = [r.k for r in df.select("i", client_key(F.col("f"), F.col("a")).alias("k")).orderBy("i").collect()]
     assert got == list(cases.values())
+
+
+def test_keys_that_are_null_or_not_a_number(spark):
+    """Nulls turn no key into a rounded one, and NaN is a key like any other."""
+    big = 2**53
+    rows = [(None, 0, 0), (big + 1, 0, 1), (big + 3, 0, 2), (big + 1, 1, 3), (None, 1, 4), (big + 2, 1, 5)]
+    df = spark.createDataFrame(rows, "key bigint, at bigint, event bigint").select("key", F.timestamp_micros("at").alias("ts"), "event")
+    assert decisions(adm.admission(df, "key", "ts", 1, timedelta(seconds=1), ["event"])) == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True}
+    nan = spark.createDataFrame([(float("nan"), 0, 0), (float("nan"), 1, 1), (0.5, 1, 2)], "key double, at bigint, event bigint")
+    out = decisions(adm.admission(nan.select("key", F.timestamp_micros("at").alias("ts"), "event"), "key", "ts", 1, timedelta(seconds=2), ["event"]))
+    assert out == {0: True, 1: False, 2: True}

@@ -43,7 +43,7 @@ def test_fold_cases(lines, texts, max_lines, want):
 def test_continuation_of_the_source_before(lines):
     df = lines([(0, "app.log", 42, "error"), (1, "ignored.log", 99, "  continuation")])
     assert result(fold(df, cross_source=True)) == [(0, "app.log", 42, "error\n  continuation")]
-    assert len(result(fold(df, contiguous=False))) == 2
+    assert len(result(fold(df))) == 2
 
 
 @pytest.mark.parametrize("seed,max_lines,share", [(1, 0, 0.5), (2, 1, 0.9), (3, 2, 0.99), (4, 50, 1.0), (5, 5, 0.95)])
@@ -59,3 +59,8 @@ def test_fold_over_many_blocks(lines, seed, max_lines, share, cross):
     for parts in (1, 7):
         df = lines(shuffled).repartition(parts)
         assert result(fold(df, max_lines, cross_source=cross, block_bits=2)) == want
+
+
+def test_gaps_in_line_numbers(lines):
+    df = lines([(0, "a", 1, "head"), (0, "a", 2, " cont"), (0, "a", 4, " cont"), (0, "a", 900_000, " over"), (0, "a", 900_001, "next")])
+    assert result(fold(df, 2)) == [(0, "a", 1, "head\n cont\n cont"), (0, "a", 900_000, " over"), (0, "a", 900_001, "next")]

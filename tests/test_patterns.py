@@ -16,9 +16,11 @@ PATTERNS = [
     r"\bé?1\b", r"\d+\b", r"\Bb", r"\s", r"x\Sy", r"[\s]x", r"[^\S]x", "^next", "(?m)^next", "e$", "(?m)e$", r"e\z", "a.b",
     "(?s)e.n", "(?P<name>b)c", "(?i)abc$", "(?i:ABC) d", "[]a]b", "[^]]b", "a]b[[]", "x&&y", "[x&&y]{3}", "[[:alpha:]]+1",
     "[[:^alpha:]]", r"\pL\d", r"\p{Greek}", r"\PN$", r"\Q%\E$", r"\x41", r"\x{e9}t", r"\0101", r"\v", "{,3}", "a{2}", r"\w-\w",
-    r"[\w-]+c", "a|^$", "(a|b)+$", "a*?b", "(?U)a+", r"[\D]9|^9", r"\\", "#", r"\a", "(?m)^$", "(?-s)e.n", "(?im)^AB$",
+    r"[\w-]+c", r"[\d-z]+", "[a-c-]b", "[+--]", "a{2,}", r"[\t-\r]", r"\p{Han}|x", "a|^$", "(a|b)+$", "a*?b", "(?U)a+", r"[\D]9|^9", r"\\", "#", r"\a", "(?m)^$", "(?-s)e.n", "(?im)^AB$",
 ]
-BAD = ["(?=a)", "(?!a)", "(?<=a)b", r"(a)\1", "a++", "a**", "(?>a)", "(", ")", "[a", "*a", r"\Z", r"\h", "a{1}{2}", "\\", r"\k<n>"]
+BAD = [
+    "a{2,1}", "a{1001}", "a{1001,}", "[z-a]", r"[\x{62}-a]", r"[a-\d]", r"\p{Foo}", r"[\p{Latn}]", "(?P<n>a)(?P<n>b)", r"\pQ",
+    "(?=a)", "(?!a)", "(?<=a)b", r"(a)\1", "a++", "a**", "(?>a)", "(", ")", "[a", "*a", r"\Z", r"\h", "a{1}{2}", "\\", r"\k<n>"]
 
 
 def test_patterns_match_like_re2(spark):

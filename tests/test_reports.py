@@ -149,9 +149,8 @@ def test_pages(spark):
     df = events(spark, [(i, 0, f"m{i:03}") for i in range(130)])
     want = [f"m{i:03}" for i in range(130)]
     for offset, limit in ((0, 10), (5, 7), (120, 50), (130, 10), (500, 10), (63, 2)):
-        for shallow in (10_000, 0):
-            rows = paging.page(df, offset, limit, shallow=shallow, bits=2).collect()
-            assert [r.message for r in rows] == want[offset:offset + limit], (offset, limit, shallow)
+        rows = paging.page(df, offset, limit, bits=2).collect()
+        assert [r.message for r in rows] == want[offset:offset + limit], (offset, limit)
     assert paging.page_bounds(-1, 0) == (0, 100) and paging.page_bounds(3, 1001) == (3, 100) and paging.page_bounds(0, 1000) == (0, 1000)
     assert [r.message for r in flt.search_messages(df, "M00", page_only=True, offset=5, limit=10).collect()] == want[5:10]
     assert {r.total for r in paging.page_with_total(df, 0, 5).collect()} == {130}
@@ -189,3 +188,10 @@ def test_event_files(spark, lines, tmp_path):
     assert next(Path(tmp_path / "j").glob("*.txt")).read_text() == (
         '{"timestamp":"2026-07-08T10:12:33.5Z","level":"ERROR","source":"a","message":"say \\"hi\\" \\u003cx\\u003e","line":1}\n')
     assert ev_out.event_text(df.filter("line = 1")).first().text == '2026-07-08 10:12:33 ERROR a:1 say "hi" <x>'
+
+
+def test_report_never_sorts_lines(spark, sample):
+    """Below the first exchange of a report's aggregation there is no sort, and what is hashed has fixed-width buffers."""
+    df = events(spark, [(i, i % 5 - 1, f"m{i} failed") for i in range(50)])
+    plan = agg._tallies(df, None)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
