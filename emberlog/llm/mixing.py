@@ -21,6 +21,8 @@ SHARE = 1.5
 MOST_COPIES = 2
 _SEED = 20_240_229
 _BINS = 4096
+# A row of a source takes some hundred bytes; more sources than this are joined by a shuffle that splits hot ones.
+_BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -101,6 +103,10 @@ def mix(
     named = targets.withColumnRenamed("source", "_source")
     rates = named.join(_rates(weighed, named, most), F.expr("source <=> _source"), "left").select(
         "_source", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("_rate"))
+    # One row per source.  Small enough, it is sent to every task, so that rows of a hot source stay where they are.
+    rates = checkpoint(rates)
+    if rates.count() <= _BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     u = (F.xxhash64("doc_id", "text_key", F.lit(seed)).bitwiseAND((1 << 52) - 1).cast("double") + 0.5) / float(1 << 52)
     expected = weighed.join(rates, F.expr("source <=> _source")).withColumn(
         "_e", F.least(F.lit(float(most)), F.col("_rate") * F.col("importance")))
