@@ -33,9 +33,9 @@ _STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-# Words of letters, each in one case or capitalised, with a number behind, joined by - _ / or a change of case.
-_IDENTIFIER = re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])\d{0,4}[-_/=+]*)+")
-_RARE_PARTS = 4
+# What an identifier is made of: words in one case or capitalised, and numbers; on average they are this long at least.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_PART_CHARS = 4
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -59,10 +59,8 @@ def is_known(text: str) -> bool:
         return True
     if sum(any(map(kind, text)) for kind in (str.isdigit, str.isupper, str.islower)) < 2:
         return True
-    if not _IDENTIFIER.fullmatch(text):
-        return False
-    # Random letters change their case all the time; names seldom do.
-    return len(re.findall(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[A-Z][a-z]", text)) <= max(_RARE_PARTS, len(text) // 5)
+    # Random letters change their kind all the time; names seldom do.
+    return len(text) >= _PART_CHARS * len(_PART.findall(text))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
