@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-_SUPER_BITS = 12
+SUPER_BITS = 12
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
 
 SOURCE_KEYS = ["source_ord", "source"]
@@ -31,17 +31,19 @@ def block_of(ordinal: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(ordinal.cast("bigint"), bits)
 
 
-def before(blocks: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+def before(
+    blocks: DataFrame, keys: list[str], values: dict[str, str], order: str = "block", run_bits: int = SUPER_BITS
+) -> DataFrame:
     """Add ``<name>_before`` per value: its sum, max or min over all earlier blocks of the same keys.
 
     ``values`` maps a column to ``sum``, ``max`` or ``min``.  Two levels keep every window short: blocks
-    within a run of 4096 blocks, and the runs of a key.
+    within a run, whose ``order`` agrees above the lowest ``run_bits``, and the runs of a key.
     """
-    run = F.shiftright("block", _SUPER_BITS).alias("_run")
+    run = F.shiftright(order, run_bits).alias("_run")
     runs = blocks.groupBy(*keys, run).agg(*[getattr(F, how)(v).alias(v) for v, how in values.items()])
     w_run = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*keys, "_run", *[getattr(F, how)(v).over(w_run).alias(f"_{v}_r") for v, how in values.items()])
-    w_in = Window.partitionBy(*keys, "_run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = blocks.withColumn("_run", run).withColumns(
         {f"_{v}_b": getattr(F, how)(v).over(w_in) for v, how in values.items()}
     )
@@ -58,7 +60,13 @@ def block_offsets(lines: DataFrame, across_sources: bool = False, bits: int = BL
     should be ``keyed``.
     """
     counts = lines.groupBy(*SOURCE_KEYS, block_of(F.col("line"), bits).alias("block")).agg(F.count("*").alias("n"))
+    return with_base(counts, across_sources)
+
+
+def with_base(counts: DataFrame, across_sources: bool = False) -> DataFrame:
+    """Add ``base`` to blocks with their number of lines ``n``; other columns stay."""
     out = before(counts, SOURCE_KEYS, {"n": "sum"}).withColumnRenamed("n_before", "base")
+    out = out.withColumn("base", F.coalesce("base", F.lit(0)))
     if not across_sources:
         return out
     # One row per source: the only table here whose order is settled in a single task.
@@ -66,21 +74,4 @@ def block_offsets(lines: DataFrame, across_sources: bool = False, bits: int = BL
     offsets = counts.groupBy(*SOURCE_KEYS).agg(F.sum("n").alias("_n")).select(
         *SOURCE_KEYS, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset")
     )
-    return out.join(offsets, SOURCE_KEYS).select(
-        *SOURCE_KEYS, "block", "n", (F.col("base") + F.col("_offset")).alias("base")
-    )
-
-
-def with_ordinal(
-    lines: DataFrame, across_sources: bool = False, name: str = "ordinal", bits: int = BLOCK_BITS
-) -> DataFrame:
-    """Number lines from 0 in arrival order, per source or over all sources; line numbers may have gaps."""
-    lines = keyed(lines)
-    offsets = block_offsets(lines, across_sources, bits).drop("n")
-    w = Window.partitionBy(*SOURCE_KEYS, "block").orderBy("line")
-    return (
-        lines.withColumn("block", block_of(F.col("line"), bits))
-        .join(offsets.hint("shuffle_hash"), [*SOURCE_KEYS, "block"])
-        .withColumn(name, F.col("base") + F.row_number().over(w) - 1)
-        .select(*lines.columns, name)
-    )
+    return out.join(offsets, SOURCE_KEYS).withColumn("base", F.col("base") + F.col("_offset")).select(*out.columns)

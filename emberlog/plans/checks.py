@@ -30,7 +30,8 @@ from emberlog.sinks import events as ev_out
 from emberlog.sinks import reports as rep_out
 from emberlog.sources.files import read_lines
 from emberlog.sources.lines import split_lines
-from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table
+from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table, table_stream
+from emberlog.streaming.admission import admission_stream
 from emberlog.streaming.watch import watch_events, watch_report
 
 NOW = datetime(2024, 12, 31)
@@ -219,6 +220,7 @@ def _level_detect_raw(spark, sf_dir):
 _ALIAS = """CASE cast(event_id % 12 AS int) WHEN 0 THEN 'fatal' WHEN 1 THEN 'Critical' WHEN 2 THEN 'PANIC' WHEN 3 THEN event_type
   WHEN 4 THEN 'Warn' WHEN 5 THEN 'WARNING' WHEN 6 THEN 'info' WHEN 7 THEN 'Debug' WHEN 8 THEN 'trace' WHEN 9 THEN ''
   WHEN 10 THEN ' ERROR' ELSE 'UNKNOWN' END"""
+# Level names and their aliases.
 _ALIAS_CASE = "CASE upper(name) WHEN 'FATAL' THEN 3 WHEN 'CRITICAL' THEN 3 WHEN 'PANIC' THEN 3 WHEN 'ERROR' THEN 2" \
               " WHEN 'WARN' THEN 1 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 0 WHEN 'DEBUG' THEN -1 WHEN 'TRACE' THEN -1 END"
 
@@ -793,6 +795,18 @@ def _admission_null_keys(spark, sf_dir):
     return adm.admission(keyed, "k", "ts", _LIMIT, _WINDOW, ["event_id"]).select("event_id", "admitted")
 
 
+@query("admission_stream", f"{ADMISSION_SQL} SELECT event_id, user_id, admitted FROM a")
+def _admission_stream(spark, sf_dir):
+    """The same decisions over a stream of the table's files, written batch by batch and read back."""
+    path = scratch_dir(spark)
+    events = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    decided = admission_stream(events, "user_id", "ts", _LIMIT, _WINDOW, ["event_id"])
+    writer = decided.writeStream.outputMode("update").option("checkpointLocation", path + "-progress")
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(decided.schema).parquet(path).select("event_id", "user_id", "admitted")
+
+
 @query("active_keys", f"""{ADMISSION_SQL} SELECT user_id, strftime(make_timestamp(max(t)), '%Y-%m-%d %H:%M:%S.%f') AS last_admitted
 FROM a WHERE admitted GROUP BY user_id HAVING max(t) > epoch_us(TIMESTAMP '2024-01-30 00:00:00') - 36000000000""")
 def _active_keys(spark, sf_dir):

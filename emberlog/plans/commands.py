@@ -30,7 +30,11 @@ def scan(
 ) -> DataFrame:
     """Report over all levels."""
     label = sources[0] if sources else "stdin"
-    return aggregate.report(events_of(lines, where, **options), k, mode, by, label, sources or [label])
+    events = events_of(lines, where, **options)
+    if options.get("fold"):
+        # Folding again for a few sample messages costs more than carrying the messages along.
+        return aggregate.report_of_groups(aggregate.report_groups(events, by), k, mode, by, label, sources or [label])
+    return aggregate.report(events, k, mode, by, label, sources or [label])
 
 
 def errors(lines: DataFrame, where: LogFilter = LogFilter(), n: int = paging.FIRST, **options) -> DataFrame:

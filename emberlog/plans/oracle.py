@@ -32,6 +32,7 @@ MARKDOWN = [
     (r"`(.+?)`", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^-{3,}$", ""),
 ]
 
+# Level names and their aliases.
 _KEYWORDS = {
     "FATAL": 3, "CRITICAL": 3, "PANIC": 3, "ERROR": 2, "WARN": 1, "WARNING": 1, "INFO": 0, "DEBUG": -1, "TRACE": -1,
 }

@@ -67,11 +67,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_log(table(spark, sf_dir, "events"))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One test table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # A stream's plain path must be a folder; a pattern may name a single file as well.
+    return _utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque?"))
+
+
 def log_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines as a stream of the table's files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # A stream's plain path must be a folder; a pattern may name a single file as well.
-    return _as_log(_utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque?")))
+    return _as_log(table_stream(spark, sf_dir, "events"))
 
 
 def _as_log(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import deque
 from datetime import timedelta
 from typing import Iterator
 
@@ -9,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
 class _Gate(StatefulProcessor):
     """State per key: the admitted times still inside the window, at most ``limit`` of them."""
 
@@ -22,18 +23,19 @@ class _Gate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.recent.get()
-        recent = list(held[0]) if held else []
+        recent = deque(held[0] if held else [])  # oldest first
         frame = pd.concat(list(rows))
         frame.columns = self.columns  # computed columns arrive without their names
         frame["_at"] = frame[self.ts].astype("datetime64[us]").astype("int64")
         frame = frame.sort_values(["_at", *self.order])
         admitted = []
         for at in frame["_at"]:
-            recent = [t for t in recent if t > at - self.window]
+            while recent and recent[0] <= at - self.window:
+                recent.popleft()
             admitted.append(len(recent) < self.limit)
             if admitted[-1]:
-                recent.append(int(at))
-        self.recent.update((recent,))
+                insort(recent, int(at))  # in order even when an event comes late
+        self.recent.update((list(recent),))
         yield frame.drop(columns="_at").assign(admitted=admitted)
 
     def close(self) -> None:
@@ -44,7 +46,14 @@ def admission_stream(
     events: DataFrame, key: str, ts: str, limit: int, window: timedelta, tie_break: list[str],
     idle_ttl: timedelta | None = None,
 ) -> DataFrame:
-    """As ``admission``, over events that arrive in order; a key's state ends after ``idle_ttl`` without an event."""
+    """As ``admission``, over events that arrive in order; a key's state ends after ``idle_ttl`` without an event.
+
+    The time to live runs by the clock, so it must not be shorter than the window, or a key's events would be
+    forgotten while they count.  A stream that runs on needs one; without it keys are kept for ever, which suits a
+    stream that ends, as one with a time to live never does (``availableNow`` waits for its timers).
+    """
+    if idle_ttl is not None and idle_ttl < window:
+        raise ValueError("a key's state must live as long as the window")
     micros = window // timedelta(microseconds=1)
     ttl_ms = None if idle_ttl is None else idle_ttl // timedelta(milliseconds=1)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)

@@ -9,6 +9,7 @@ from emberlog.operators.parse import parse_events
 NOW = datetime(2026, 12, 31)
 
 # raw -> (timestamp, level, message)
+# Lines and what they parse to.
 PARSED = {
     "2026-07-08T10:12:33Z ERROR database timeout": ("2026-07-08 10:12:33", "ERROR", "database timeout"),
     "2026-07-08 10:12:33 WARN disk 85%": ("2026-07-08 10:12:33", "WARN", "disk 85%"),
@@ -87,6 +88,7 @@ def test_level_detection_on_whole_lines(spark):
     assert {r.raw: (r.d.level, r.d.found) for r in df.collect()} == cases
 
 
+# Messages and their signatures.
 NORMALIZED = {
     "550e8400-e29b-41d4-a716-446655440000": "<uuid>",
     "connection from 192.168.1.1": "connection from <ip>",

@@ -15,6 +15,7 @@ from emberlog.sinks import reports as rep_out
 EVENT = "ts timestamp, level int, level_name string, source string, source_ord int, message string, raw string, line bigint"
 NAMES = {-1: "DEBUG", 0: "INFO", 1: "WARN", 2: "ERROR", 3: "FATAL"}
 
+# A sample log.
 SAMPLE = """2026-07-08T10:12:33Z ERROR database connection timeout after 30s on host 10.0.0.5
 2026-07-08T10:12:34Z ERROR database connection timeout after 30s on host 10.0.0.5
 2026-07-08T10:12:35Z WARN disk usage at 85%, cleaning old logs
