@@ -39,17 +39,21 @@ def page(events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, bi
     The rows before a page are skipped block by block: blocks are counted, and only the few that reach into the page
     are numbered and sorted, however far down it lies.
     """
-    return _paged(events, offset, limit, bits).drop("total")
+    return page_and_count(events, offset, limit, bits)[0]
 
 
 def page_with_total(
     events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """A page with the number of all events in column ``total``, which comes from the same counts of blocks."""
-    return _paged(events, offset, limit, bits)
+    rows, total = page_and_count(events, offset, limit, bits)
+    return rows.withColumn("total", total.scalar())
 
 
-def _paged(events: DataFrame, offset: int | None, limit: int | None, bits: int) -> DataFrame:
+def page_and_count(
+    events: DataFrame, offset: int | None = 0, limit: int | None = PAGE, bits: int = BLOCK_BITS
+) -> tuple[DataFrame, DataFrame]:
+    """A page, and one row with the number of all events; rows need ``source_ord, source, line`` only."""
     offset, limit = page_bounds(offset, limit)
     events = keyed(events)
     offsets = block_offsets(events, across_sources=True, bits=bits)
@@ -57,12 +61,12 @@ def _paged(events: DataFrame, offset: int | None, limit: int | None, bits: int)
     # Every block holds an event, so at most ``limit`` blocks reach into the page.
     wanted = offsets.filter((F.col("base") < offset + limit) & (F.col("base") + F.col("n") > offset)).limit(limit)
     w = Window.partitionBy(*SOURCE_KEYS, "block").orderBy("line")
-    return (
+    rows = (
         events.withColumn("block", block_of(F.col("line"), bits))
         .join(F.broadcast(wanted.drop("n")), [*SOURCE_KEYS, "block"])
         .withColumn("_at", F.col("base") + F.row_number().over(w) - 1)
         .filter(F.col("_at").between(offset, offset + limit - 1))
         .select(*events.columns)
         .orderBy(*ARRIVAL)
-        .withColumn("total", total.scalar())
     )
+    return rows, total

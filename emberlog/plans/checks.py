@@ -21,7 +21,7 @@ from emberlog.operators import admission as adm
 from emberlog.operators import aggregate as agg
 from emberlog.operators import filters as flt
 from emberlog.operators.fold import fold
-from emberlog.operators.paging import first_n, page, page_with_total
+from emberlog.operators.paging import first_n, page
 from emberlog.operators.parse import parse_events
 from emberlog.plans import commands
 from emberlog.plans import oracle as o
@@ -137,6 +137,14 @@ def _long_lines(spark, sf_dir):
     return back.select(_source_of("source"), "line", "too_long", "text")
 
 
+@query("raw_view_files", f"SELECT source, line, text FROM ({log_lines_sql()}) ORDER BY source_ord, line LIMIT 40 OFFSET 325")
+def _raw_view_files(spark, sf_dir):
+    """A window of the numbered lines of compressed files."""
+    path = scratch_dir(spark)
+    _as_files(log_lines(spark, sf_dir), path, compression="gzip")
+    return page(read_lines(spark, [f"{path}/source=*/*.gz"]), 325, 40).select(_source_of("source"), "line", "text")
+
+
 # --- timestamps and levels -------------------------------------------------------------------------------
 
 _MON = f"substr('{tm.MONTHS}', cast(event_id % 12 * 3 + 1 AS int), 3)"
@@ -388,10 +396,16 @@ _FILTERS = {
     "filter_until": (lambda: flt.until(UNTIL), UNTIL_SQL),
     "filter_all": (lambda: flt.LogFilter(lv.ERROR, PATTERN, SINCE, UNTIL).condition(),
                    f"level >= 2 AND {PATTERN_SQL} AND {SINCE_SQL} AND {UNTIL_SQL}"),
-    "events_level_eq": (lambda: F.col("level_name") == "WARN", "level_name = 'WARN'"),
+    "filter_options": (lambda: flt.LogFilter.from_options("warn", PATTERN, "36h", "2024-01-20T12:00:00+02:00", datetime(2024, 1, 12)).condition(),
+                       f"level >= 1 AND {PATTERN_SQL} AND (ts IS NULL OR (ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts <= TIMESTAMP '2024-01-20 10:00:00'))"),
 }
 
 
+@query("events_level_eq", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev WHERE level_name = 'WARN'")
+def _events_level_eq(spark, sf_dir):
+    return event_rows(flt.level_is(events(spark, sf_dir), "WARN"))
+
+
 def _register_filters():
     for name, (condition, where) in _FILTERS.items():
         def run(spark, sf_dir, condition=condition):
@@ -571,7 +585,20 @@ def _first_n(spark, sf_dir):
 @query("events_page", f"""{o.events_cte()} SELECT {EVENT_ROWS}, (SELECT count(*) FROM ev) AS total FROM ev
 ORDER BY source_ord, ev.line LIMIT 50 OFFSET 200""")
 def _events_page(spark, sf_dir):
-    return event_rows(page_with_total(events(spark, sf_dir), 200, 50), "total")
+    return event_rows(commands.page(log_lines(spark, sf_dir), offset=200, limit=50, now=NOW), "total")
+
+
+@query("events_page_level", f"""{o.events_cte()} SELECT {EVENT_ROWS}, (SELECT count(*) FROM ev WHERE level >= 1 AND {PATTERN_SQL}) AS total
+FROM ev WHERE level >= 1 AND {PATTERN_SQL} ORDER BY source_ord, ev.line LIMIT 30 OFFSET 10""")
+def _events_page_level(spark, sf_dir):
+    where = flt.LogFilter(lv.WARN, PATTERN)
+    return event_rows(commands.page(log_lines(spark, sf_dir), where, 10, 30, NOW), "total")
+
+
+@query("events_page_regex", f"""{o.events_cte()} SELECT {EVENT_ROWS}, (SELECT count(*) FROM ev WHERE {PATTERN_SQL}) AS total
+FROM ev WHERE {PATTERN_SQL} ORDER BY source_ord, ev.line LIMIT 30 OFFSET 10""")
+def _events_page_regex(spark, sf_dir):
+    return event_rows(commands.page(log_lines(spark, sf_dir), flt.LogFilter(pattern=PATTERN), 10, 30, NOW), "total")
 
 
 @query("events_page_deep", f"{o.events_cte()} SELECT {EVENT_ROWS} FROM ev ORDER BY source_ord, ev.line LIMIT 60 OFFSET 700")

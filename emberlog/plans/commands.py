@@ -6,12 +6,13 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
 from emberlog.operators import aggregate, paging
 from emberlog.operators.filters import LogFilter
 from emberlog.operators.fold import fold as fold_lines
-from emberlog.operators.parse import parse_events
+from emberlog.operators.parse import as_lines, parse_events
 
 
 def events_of(
@@ -55,6 +56,23 @@ def grep(
     return paging.first_n(events_of(lines, only, **options), n)
 
 
+def page(
+    lines: DataFrame, where: LogFilter = LogFilter(), offset: int | None = 0, limit: int | None = paging.PAGE,
+    now: datetime | None = None, compat: bool = True,
+) -> DataFrame:
+    """A page of matching events in arrival order, with the number of all of them in ``total``.
+
+    Where nothing parsed decides what matches, lines are counted and paged as they are and only the page is parsed.
+    """
+    lines = as_lines(lines)
+    if where.level > lv.DEBUG or where.since is not None or where.until is not None:
+        return paging.page_with_total(where.apply(parse_events(lines, now=now, compat=compat)), offset, limit)
+    if where.pattern is not None:
+        lines = where.apply(lines.withColumn("raw", F.col("text"))).drop("raw")
+    rows, total = paging.page_and_count(lines, offset, limit)
+    return parse_events(rows, now=now, compat=compat).withColumn("total", total.scalar())
+
+
 @dataclass(frozen=True)
 class AnalyzeOptions:
     """An analysis request with every option as text, as a service receives it."""
