@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,23 @@ _SQL_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that they need no copy of their own."""
+    application, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if application in _SHIPPED or not root.is_dir():
+        return
+    # The driver hands the file out itself; nobody else looks into this folder.
+    packed = Path(tempfile.mkdtemp(prefix="emberlog-code-")) / "emberlog_package.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _SHIPPED.add(application)
+
+
 def build_session(app: str = "emberlog", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; ``master=None`` leaves the choice to spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -27,11 +46,14 @@ def build_session(app: str = "emberlog", master: str | None = None, **conf: str)
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in {**_SQL_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session that exists already."""
+    """Apply the SQL settings to a session that exists already, and send it the package's code."""
+    ship_package(spark)
     for key, value in _SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
