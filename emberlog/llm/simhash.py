@@ -39,8 +39,8 @@ _BLOCK_PIVOTS, _FULL_PIVOTS = 12, 32
 class SimHashPlan:
     """Shingle length in words, fingerprint length in 64-bit words, Hamming radius, cell tables.
 
-    ``tables`` is the number of 16-bit blocks drawn at random, or 0 for the pairs of fixed blocks, which miss
-    nothing up to radius 2.  ``jaccard`` is the similarity that a link must have besides, or None.
+    ``tables`` is the number of blocks of ``block_bits`` bits drawn at random, or 0 for the pairs of fixed 16-bit
+    blocks, which miss nothing up to radius 2.  ``jaccard`` is the similarity that a link must have besides, or None.
     """
 
     shingle: int = 3
@@ -48,6 +48,7 @@ class SimHashPlan:
     radius: int = 2
     tables: int = 0
     jaccard: float | None = None
+    block_bits: int = BLOCK_BITS
     blocks: tuple = field(init=False)
 
     def __post_init__(self):
@@ -56,7 +57,7 @@ class SimHashPlan:
         bits = 64 * self.length
         if self.tables:
             rng = np.random.default_rng(_SEED)
-            chosen = [(tuple(int(b) for b in rng.choice(bits, BLOCK_BITS, replace=False)),) for _ in range(self.tables)]
+            chosen = [(tuple(int(b) for b in rng.choice(bits, self.block_bits, replace=False)),) for _ in range(self.tables)]
         else:
             fixed = [tuple(range(i, i + BLOCK_BITS)) for i in range(0, bits, BLOCK_BITS)]
             chosen = list(combinations(fixed, len(fixed) - self.radius))
@@ -65,9 +66,9 @@ class SimHashPlan:
 
 # Links at two bits or fewer over three-word shingles.
 EXACT = SimHashPlan()
-# Five-word shingles and a Jaccard similarity of 0.8: about 36 of 256 bits differ there, and a pair that
-# similar shares one of the 64 cells with a probability above 0.98.
-CORPUS = SimHashPlan(shingle=5, length=4, radius=56, tables=64, jaccard=0.8)
+# Five-word shingles and a Jaccard similarity of 0.8, where about 39 of 256 bits differ, 52 or fewer in 98 of 100
+# pairs, and a pair shares one of the 64 cells with a probability of about 0.99.
+CORPUS = SimHashPlan(shingle=5, length=4, radius=52, tables=64, jaccard=0.8, block_bits=14)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def cells(sigs: DataFrame, plan: SimHashPlan) -> DataFrame:
         blocks = [b for table in plan.blocks for b in table]
         weights = np.zeros((64 * plan.length, len(blocks)), np.float32)
         for j, block in enumerate(blocks):
-            weights[list(block), j] = 2.0 ** np.arange(BLOCK_BITS)
+            weights[list(block), j] = 2.0 ** np.arange(len(block))
         per_table = len(plan.blocks[0])
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -197,21 +198,37 @@ def _spanning(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return child, label[child]
 
 
+def _most_central(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of near pairs of rows: each row, the most central row near it, and how many rows that has near it.
+
+    A row is more central the more rows are near it; the most central of all hang on none.
+    """
+    degree = np.bincount(first, minlength=n) + np.bincount(second, minlength=n)
+    rows, others = np.concatenate([first, second]), np.concatenate([second, first])
+    up = (degree[others] > degree[rows]) | ((degree[others] == degree[rows]) & (others < rows))
+    rows, others = rows[up], others[up]
+    order = np.lexsort((-others, degree[others], rows))
+    rows, others = rows[order], others[order]
+    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else np.empty(0, np.int64)
+    return rows[last], others[last], degree[others[last]]
+
+
 class _Stars:
     """Rows of one large cell, hung on centres: those nearest to the many around them."""
 
     def __init__(self, radius: int):
-        self.radius, self.centres = radius, None
+        self.radius, self.centres, self.degrees = radius, None, np.empty(0, np.int64)
 
-    def add(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of linked rows."""
+    def add(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Linked rows, their centres, and how many rows are near those."""
         if self.centres is not None:
             for at in range(0, len(self.centres), _CELL):
                 centres = self.centres[at : at + _CELL]
                 d = _distances(words, centres)
                 best = d.argmin(axis=1)
                 hit = d[np.arange(len(words)), best] <= self.radius
-                yield words[hit], centres[best[hit]]
+                np.add.at(self.degrees, at + best[hit], 1)
+                yield words[hit], centres[best[hit]], self.degrees[at + best[hit]]
                 words = words[~hit]
         while len(words):
             d = _distances(words, words)
@@ -219,18 +236,21 @@ class _Stars:
             centre = int((np.where(near, self.radius + 1 - d, 0).sum(axis=1)).argmax())
             mine = near[centre].copy()
             mine[centre] = False
-            yield words[mine], np.broadcast_to(words[centre], (int(mine.sum()), words.shape[1]))
+            n = int(mine.sum())
+            yield words[mine], np.broadcast_to(words[centre], (n, words.shape[1])), np.full(n, n)
             new = words[centre : centre + 1]
             self.centres = new if self.centres is None else np.concatenate([self.centres, new])
+            self.degrees = np.append(self.degrees, n)
             mine[centre] = True
             words = words[~mine]
 
 
 def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
-    """``(a, b)`` of fingerprints within the radius that share a cell; ``(a, null)`` for those of crowded cells.
+    """``(a, b, degree)`` of fingerprints within the radius that share a cell; ``(a, null)`` for those of crowded cells.
 
     Cells arrive sorted and are streamed.  Without a Jaccard test a crowded cell is only marked, for
-    ``links_of_crowded``; with one its rows are hung on centres, each tried against all centres so far.
+    ``links_of_crowded``.  With one every row is hung on the most central row near it, and ``degree`` tells how many
+    rows are near that one, so a cell makes no more links than it has rows.
     """
     width = 8 * plan.length
 
@@ -239,7 +259,8 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
         crowded, stars = None, None
         for keys, sigs in _runs(batches, width):
             words = np.ascontiguousarray(sigs).view(np.uint64)
-            found: list[tuple[np.ndarray, np.ndarray | None]] = []
+            found: list[tuple] = []
+            near_first, near_second = [], []
             edges = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
             sizes = ends - starts
@@ -249,7 +270,14 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                 if not len(first):
                     break
                 first = first[_near(words[first], words[first + d], pivots, plan.radius)]
-                found.append((words[first], words[first + d]))
+                near_first.append(first), near_second.append(first + d)
+            if near_first:
+                first, second = np.concatenate(near_first), np.concatenate(near_second)
+                if plan.jaccard is None:
+                    found.append((words[first], words[second]))
+                else:
+                    row, centre, degree = _most_central(first, second, len(words))
+                    found.append((words[row], words[centre], degree))
             for s, e in zip(starts[sizes > _SMALL], ends[sizes > _SMALL]):
                 here = words[s:e]
                 if e - s > _CELL or keys[s] == crowded:
@@ -269,14 +297,15 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
             for s, e in zip(starts[sizes <= _SMALL], ends[sizes <= _SMALL]) if crowded is not None else ():
                 if keys[s] == crowded:
                     found.extend([(words[s:e], None)] if plan.jaccard is None else stars.add(words[s:e]))
-            for a, b in found:
+            for a, b, *degree in found:
                 if len(a):
                     left = pa.array([r.tobytes() for r in a], pa.binary())
                     right = pa.nulls(len(a), pa.binary()) if b is None else pa.array([r.tobytes() for r in b], pa.binary())
-                    yield pa.RecordBatch.from_arrays([left, right], ["a", "b"])
+                    degrees = pa.array(degree[0].astype(np.int32)) if degree else pa.nulls(len(a), pa.int32())
+                    yield pa.RecordBatch.from_arrays([left, right, degrees], ["a", "b", "degree"])
 
     ordered = cell_rows.repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "a binary, b binary")
+    return ordered.mapInArrow(run, "a binary, b binary, degree int")
 
 
 def links_of_crowded(sigs: DataFrame) -> DataFrame:
@@ -301,12 +330,9 @@ def links_of_crowded(sigs: DataFrame) -> DataFrame:
     return found.select(F.explode("all").alias("a"), "b").filter("a <> b").distinct()
 
 
-def linked(sigs: DataFrame, plan: SimHashPlan) -> DataFrame:
+def linked(sigs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints ``sig``, enough of them to join what belongs together."""
-    found = links_in_cells(cells(sigs, plan), plan).distinct()
-    if plan.jaccard is not None:
-        return found
-    found = checkpoint(found)
+    found = checkpoint(links_in_cells(cells(sigs, plan), plan).select("a", "b").distinct())
     crowded = found.filter("b IS NULL").select(F.col("a").alias("sig"))
     return found.filter("b IS NOT NULL").unionByName(links_of_crowded(crowded))
 
@@ -316,13 +342,16 @@ def _jaccard(a: str, b: str, n: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, plan: SimHashPlan) -> DataFrame:
-    """Pairs of text keys whose texts are similar enough; each text needed is fetched once."""
-    needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts, "text_key")
-    needed = needed.select(F.col("text_key").alias("_k"), F.col("doc_id").alias("_d"))
+def _bodies(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(text_key, text)`` of the texts ``(text_key, doc_id)``, each fetched once."""
+    needed = texts.select(F.col("text_key").alias("_k"), F.col("doc_id").alias("_d"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash(F.col("text")).alias("text_key"))
     found = own.join(needed, (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    bodies = checkpoint(found.select("text_key", "text").dropDuplicates(["text_key"]))
+    return checkpoint(found.select("text_key", "text").dropDuplicates(["text_key"]))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, plan: SimHashPlan) -> DataFrame:
+    """Pairs of text keys whose texts are similar enough."""
     left = bodies.select(F.col("text_key").alias("a"), F.col("text").alias("x"))
     right = bodies.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
 
@@ -335,6 +364,33 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, plan: SimHash
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
+def _similar_links(docs: DataFrame, texts: DataFrame, plan: SimHashPlan) -> DataFrame:
+    """``(a, b)``: links between distinct texts ``(text_key, sig, doc_id)``, verified by Jaccard similarity.
+
+    Every fingerprint is first tried with the most central one it was hung on, which settles large groups at the
+    cost of a pair per text.  Of all other candidates only those between what is still apart are tried.
+    """
+    heads = checkpoint(texts.groupBy("sig").agg(F.min("text_key").alias("head")))
+    raw = links_in_cells(cells(heads.select("sig"), plan), plan)
+    raw = checkpoint(raw.groupBy("a", "b").agg(F.max("degree").alias("degree")))
+    twins = texts.join(heads, "sig").filter("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    met = heads.join(raw.select(F.col("a").alias("sig")).union(raw.select("b")).distinct(), "sig")
+    named = met.select("sig", "head")
+    needed = named.select(F.col("head").alias("k")).union(twins.select("a")).union(twins.select("b")).distinct()
+    bodies = _bodies(docs, texts.join(needed, F.col("text_key") == F.col("k")))
+
+    def by_text(pairs: DataFrame) -> DataFrame:
+        x, y = named.toDF("a", "x"), named.toDF("b", "y")
+        return pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    best = raw.groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("b"))
+    first = checkpoint(_verified(by_text(best).unionByName(twins), bodies, plan))
+    roots = components(first)
+    place = checkpoint(named.join(roots, F.col("head") == F.col("node"), "left").select("sig", F.coalesce("root", "head").alias("root")))
+    apart = raw.join(place.toDF("a", "ra"), "a").join(place.toDF("b", "rb"), "b").filter("ra <> rb").select("a", "b")
+    return first.unionByName(_verified(by_text(apart), bodies, plan))
+
+
 def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     """``(doc_id, text_key, sig, component_id, node_id)`` per row of ``docs (doc_id, text)``.
 
@@ -351,13 +407,8 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
         node, links = "sig", linked(rows.select("sig").distinct(), plan)
     else:
         node = "text_key"
-        texts = rows.groupBy("text_key").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
-        heads = texts.groupBy("sig").agg(F.min("text_key").alias("head"))
-        pairs = linked(heads.select("sig"), plan)
-        pairs = pairs.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        twins = texts.join(heads, "sig").filter("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-        pairs = pairs.unionByName(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        links = _verified(docs, texts.select("text_key", "doc_id"), checkpoint(pairs.filter("a <> b").distinct()), plan)
+        texts = checkpoint(rows.groupBy("text_key").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")))
+        links = _similar_links(docs, texts, plan)
     roots = components(links)
     smallest = rows.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("own"))
     joined = roots.join(smallest, "node").groupBy("root").agg(F.min("own").alias("component_id"))

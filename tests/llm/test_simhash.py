@@ -109,10 +109,30 @@ def test_stars_link_everything_near():
         r[rng.integers(4)] ^= np.uint64(1) << rng.integers(0, 64, dtype=np.uint64)
     stars, hung = S._Stars(20), 0
     for at in range(0, len(rows), 40):
-        hung += sum(len(a) for a, _ in stars.add(rows[at:at + 40]))
+        hung += sum(len(a) for a, _, _ in stars.add(rows[at:at + 40]))
     assert hung == len(rows) - 3 and len(stars.centres) == 3
 
 
+def test_rows_hang_on_the_most_central():
+    row, centre, degree = S._most_central(np.array([0, 1, 1, 4]), np.array([1, 2, 3, 5]), 7)
+    assert dict(zip(row.tolist(), centre.tolist())) == {0: 1, 2: 1, 3: 1, 5: 4} and degree.tolist() == [3, 3, 3, 1]
+
+
+def test_large_group_around_one_text(spark, docs):
+    """Copies near one text but not near each other are one group; other texts stay."""
+    rng = random.Random(8)
+    base = words(1, 400).split()
+    rows = []
+    for n in range(600):
+        v = list(base)
+        for at in rng.sample(range(5, 395, 5), 8):
+            v[at] = f"e{n}x{at}"
+        rows.append((n, " ".join(v)))
+    rows += [(600, " ".join(base))] + [(1000 + n, words(50 + n, 200)) for n in range(100)]
+    kept = [r.doc_id for r in S.one_of_each_group(docs(rows).repartition(8)).collect()]
+    assert sum(k <= 600 for k in kept) <= 12 and sum(k >= 1000 for k in kept) == 100
+
+
 def test_odd_inputs(spark, odd, none):
     for plan in (S.EXACT, S.CORPUS):
         rows = S.near_duplicates(odd, plan).collect()
