@@ -14,18 +14,17 @@ from emberlog.llm.language import fit, identify
 from emberlog.llm.line_dedup import without_repeated_lines
 from emberlog.llm.mixing import mixed_documents
 from emberlog.llm.simhash import one_of_each_group
-from emberlog.session import scratch_dir, ship_package
+from emberlog.session import scratch_dir, tune_session
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _stage(run: Stage) -> Stage:
-    """The stage, with the package's code sent to the executors first."""
+    """The stage, after the library's settings are made and its code is sent to the executors."""
     @wraps(run)
     def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
-        return run(spark, docs, sf_dir)
+        return run(tune_session(spark), docs, sf_dir)
 
     return ready
 

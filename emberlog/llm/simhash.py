@@ -32,7 +32,7 @@ _SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
 # A cell of up to _SMALL fingerprints is compared pair by pair, up to _CELL as one matrix.
 _SMALL, _CELL = 32, 1024
-_BLOCK_PIVOTS, _FULL_PIVOTS = 12, 32
+_BLOCK_PIVOTS, _FULL_PIVOTS = 12, 16
 
 
 @dataclass(frozen=True)
