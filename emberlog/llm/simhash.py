@@ -32,6 +32,8 @@ _SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
 # A cell of up to _SMALL fingerprints is compared pair by pair, up to _CELL as one matrix.
 _SMALL, _CELL = 32, 1024
+# Rows of cells are compared this many at a time.
+_GATHERED = 1 << 14
 _BLOCK_PIVOTS, _FULL_PIVOTS = 12, 16
 
 
@@ -155,15 +157,24 @@ def cells(sigs: DataFrame, plan: SimHashPlan) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of sorted cells, cut so that no cell is split unless it has more than ``_CELL`` rows."""
     keys, sigs = np.empty(0, np.int64), np.empty((0, width), np.uint8)
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        parts = [_as_matrix(b.column("sig"), width) for b in waiting]
+        return np.concatenate([keys, *(b.column("cell").to_numpy() for b in waiting)]), np.concatenate([sigs, *parts])
+
     for batch in batches:
-        keys = np.concatenate([keys, batch.column("cell").to_numpy()])
-        sigs = np.concatenate([sigs, _as_matrix(batch.column("sig"), width)])
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < _GATHERED:
+            continue
+        keys, sigs = joined()
+        waiting.clear()
         last = int(np.searchsorted(keys, keys[-1]))
         if len(keys) - last > _CELL:
             last = len(keys)
         yield keys[:last], sigs[:last]
         keys, sigs = keys[last:], sigs[last:]
-    yield keys, sigs
+    yield joined()
 
 
 def _near(x: np.ndarray, y: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarray:
