@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from itertools import accumulate
+from typing import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,33 @@ def shingles_of(words: list[bytes], n: int) -> list[bytes]:
     return [joined[s : e - 1] for s, e in zip([0, *ends], ends[n - 1 :])]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, cut anew so that no key is split, of ``least`` rows or more."""
+    waiting, n, wanted = [], 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        n += batch.num_rows
+        if n < wanted:
+            continue
+        joined = pa.concat_batches(waiting)
+        differs = np.flatnonzero(group_starts(joined.column(key))[1:])
+        cut = int(differs[-1]) + 1 if len(differs) else 0
+        waiting, n = [joined.slice(cut)], joined.num_rows - cut
+        wanted = max(least, 2 * n)
+        if cut:
+            yield joined.slice(0, cut)
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def group_starts(keys: pa.Array) -> np.ndarray:
+    """Which rows have another key than the row before."""
+    codes = keys.dictionary_encode().indices.to_numpy()
+    return np.append(True, codes[1:] != codes[:-1])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected edges ``(a, b)``: the smallest node it can reach.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import checkpoint, components, shingles_of, text_hash, words_of
+from emberlog.llm.common import checkpoint, components, group_starts, shingles_of, text_hash, whole_groups, words_of
 
 BLOCK_BITS = 16
 _SEED = 42
@@ -128,30 +128,43 @@ def _full_pivots(width: int) -> np.ndarray:
     return np.random.default_rng(_SEED + 2).integers(0, 1 << 63, (_FULL_PIVOTS, width // 8), np.uint64) * np.uint64(2)
 
 
-def cells(sigs: DataFrame, plan: SimHashPlan) -> DataFrame:
-    """``(cell, sig)``: each fingerprint once per table, under the key of its block coordinates."""
+class _CellKeys:
+    """Keys of the cells of fingerprints, one per table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coordinates = _block_table()
+    def __init__(self, plan: SimHashPlan):
+        self.coordinates = _block_table()
         blocks = [b for table in plan.blocks for b in table]
-        weights = np.zeros((64 * plan.length, len(blocks)), np.float32)
+        self.weights = np.zeros((64 * plan.length, len(blocks)), np.float32)
         for j, block in enumerate(blocks):
-            weights[list(block), j] = 2.0 ** np.arange(len(block))
-        per_table = len(plan.blocks[0])
+            self.weights[list(block), j] = 2.0 ** np.arange(len(block))
+        self.tables, self.per_table = len(plan.blocks), len(plan.blocks[0])
+
+    def of(self, sigs: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(sigs, axis=1)
+        place = self.coordinates[(bits.astype(np.float32) @ self.weights).astype(np.int64)].reshape(len(sigs), -1, self.per_table)
+        key = np.arange(self.tables, dtype=np.uint64)[None, :] * np.uint64(_GOLDEN)
+        for i in range(self.per_table):
+            key = _spread(key ^ place[:, :, i])
+        return key.view(np.int64)
+
+
+def cells(sigs: DataFrame, plan: SimHashPlan, *carried: str) -> DataFrame:
+    """``(cell, sig, *carried)``: each row once per table, under the key of its fingerprint's block coordinates."""
+
+    names = ["sig", *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _CellKeys(plan)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                column = batch.column("sig").slice(at, 2048)
-                bits = np.unpackbits(_as_matrix(column, 8 * plan.length), axis=1)
-                place = coordinates[(bits.astype(np.float32) @ weights).astype(np.int64)].reshape(len(column), -1, per_table)
-                key = np.arange(len(plan.blocks), dtype=np.uint64)[None, :] * np.uint64(_GOLDEN)
-                for i in range(per_table):
-                    key = _spread(key ^ place[:, :, i])
-                rows = np.repeat(np.arange(len(column)), len(plan.blocks))
+                part = batch.slice(at, 2048)
+                key = keys.of(_as_matrix(part.column("sig"), 8 * plan.length))
+                rows = pa.array(np.repeat(np.arange(len(key)), key.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), column.take(pa.array(rows))], ["cell", "sig"]
+                    [pa.array(key.ravel()), *(part.column(c).take(rows) for c in names)], ["cell", *names]
                 )
 
-    return sigs.select("sig").mapInArrow(run, "cell bigint, sig binary")
+    return sigs.select(*names).mapInArrow(run, "cell bigint, " + ", ".join(f"{c} binary" for c in names))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,7 +274,8 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
 
     Cells arrive sorted and are streamed.  Without a Jaccard test a crowded cell is only marked, for
     ``links_of_crowded``.  With one every row is hung on the most central row near it, and ``degree`` tells how many
-    rows are near that one, so a cell makes no more links than it has rows.
+    rows are near that one, so a cell makes no more links than it has rows; rows that may be near others but are not
+    linked are given as ``(a, null)``, for ``pairs_apart``.
     """
     width = 8 * plan.length
 
@@ -289,25 +303,27 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                 else:
                     row, centre, degree = _most_central(first, second, len(words))
                     found.append((words[row], words[centre], degree))
+                    found.append((words[np.setdiff1d(np.union1d(first, second), np.union1d(row, centre))], None))
             for s, e in zip(starts[sizes > _SMALL], ends[sizes > _SMALL]):
                 here = words[s:e]
                 if e - s > _CELL or keys[s] == crowded:
                     if keys[s] != crowded:
                         crowded, stars = keys[s], _Stars(plan.radius)
-                    if plan.jaccard is None:
-                        found.append((here, None))
-                    else:
+                    found.append((here, None))
+                    if plan.jaccard is not None:
                         for at in range(0, len(here), _CELL):
                             found.extend(stars.add(here[at : at + _CELL]))
                 elif plan.jaccard is None:
                     child, parent = _spanning(here, plan.radius)
                     found.append((here[child], here[parent]))
                 else:
+                    found.append((here[(_distances(here, here) <= plan.radius).sum(axis=1) > 1], None))
                     found.extend(_Stars(plan.radius).add(here))
             # A crowded cell may end in a piece of a few rows, or of one.
             for s, e in zip(starts[sizes <= _SMALL], ends[sizes <= _SMALL]) if crowded is not None else ():
                 if keys[s] == crowded:
-                    found.extend([(words[s:e], None)] if plan.jaccard is None else stars.add(words[s:e]))
+                    found.append((words[s:e], None))
+                    found.extend(() if plan.jaccard is None else stars.add(words[s:e]))
             for a, b, *degree in found:
                 if len(a):
                     left = pa.array([r.tobytes() for r in a], pa.binary())
@@ -319,6 +335,65 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary, degree int")
 
 
+def _blocks_apart(words: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius that have different roots, at the cost of all rows times those not of the largest."""
+    counts = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(counts[1] == counts[2].argmax(), kind="stable")
+    others = len(order) - int(counts[2].max())
+    for at in range(0, others, _CELL):
+        x = order[at : min(at + _CELL, others)]
+        for to in range(at, len(order), _CELL):
+            y = order[to : to + _CELL]
+            near = (_distances(words[x], words[y]) <= radius) & (roots[x][:, None] != roots[y][None, :])
+            i, j = np.nonzero(near)
+            if to == at:
+                i, j = i[i < j], j[i < j]
+            yield x[i], y[j]
+
+
+def pairs_apart(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
+    """``(a, b)``: all pairs of ``(cell, sig, node, root)`` within the radius that share a cell and have different roots.
+
+    A pair is given once, by the first of the cells it shares.  Cells are sorted and streamed, one whole cell in memory.
+    """
+    width = 8 * plan.length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, tables = _full_pivots(width), _CellKeys(plan)
+        for batch in whole_groups(batches, "cell", _GATHERED):
+            keys, sigs = batch.column("cell").to_numpy(), _as_matrix(batch.column("sig"), width)
+            roots = batch.column("root").dictionary_encode().indices.to_numpy()
+            words = sigs.view(np.uint64)
+            starts = np.flatnonzero(group_starts(batch.column("cell")))
+            sizes = np.diff(np.append(starts, len(keys)))
+            mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+            small = np.repeat(mixed & (sizes <= _SMALL), sizes)
+
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for d in range(1, min(_SMALL, len(keys))):
+                    x = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d])
+                    if not len(x):
+                        break
+                    x = x[roots[x] != roots[x + d]]
+                    x = x[_near(words[x], words[x + d], pivots, plan.radius)]
+                    yield x, x + d
+                for s, n in zip(starts[mixed & (sizes > _SMALL)], sizes[mixed & (sizes > _SMALL)]):
+                    for x, y in _blocks_apart(words[s : s + n], roots[s : s + n], plan.radius):
+                        yield s + x, s + y
+
+            for left, right in found():
+                for at in range(0, len(left), _CELL):
+                    x, y = left[at : at + _CELL], right[at : at + _CELL]
+                    mine = tables.of(sigs[x])
+                    same = mine == tables.of(sigs[y])
+                    once = keys[x] == mine[np.arange(len(x)), same.argmax(axis=1)]
+                    x, y = pa.array(x[once]), pa.array(y[once])
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(x), batch.column("node").take(y)], ["a", "b"])
+
+    ordered = cell_rows.repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "a binary, b binary")
+
+
 def links_of_crowded(sigs: DataFrame) -> DataFrame:
     """Links at two bits or fewer between any of the fingerprints, whatever their number.
 
@@ -379,27 +454,25 @@ def _similar_links(docs: DataFrame, texts: DataFrame, plan: SimHashPlan) -> Data
     """``(a, b)``: links between distinct texts ``(text_key, sig, doc_id)``, verified by Jaccard similarity.
 
     Every fingerprint is first tried with the most central one it was hung on, which settles large groups at the
-    cost of a pair per text.  Of all other candidates only those between what is still apart are tried.
+    cost of a pair per text.  Then every text that may be near another goes back to its cells, and all pairs there
+    that are still apart are tried: a link that failed settles nothing.
     """
-    heads = checkpoint(texts.groupBy("sig").agg(F.min("text_key").alias("head")))
+    heads = checkpoint(texts.groupBy("sig").agg(F.min("text_key").alias("head"), F.count("*").alias("n")))
     raw = links_in_cells(cells(heads.select("sig"), plan), plan)
     raw = checkpoint(raw.groupBy("a", "b").agg(F.max("degree").alias("degree")))
-    twins = texts.join(heads, "sig").filter("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-    met = heads.join(raw.select(F.col("a").alias("sig")).union(raw.select("b")).distinct(), "sig")
-    named = met.select("sig", "head")
-    needed = named.select(F.col("head").alias("k")).union(twins.select("a")).union(twins.select("b")).distinct()
-    bodies = _bodies(docs, texts.join(needed, F.col("text_key") == F.col("k")))
-
-    def by_text(pairs: DataFrame) -> DataFrame:
-        x, y = named.toDF("a", "x"), named.toDF("b", "y")
-        return pairs.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    best = raw.groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("b"))
-    first = checkpoint(_verified(by_text(best).unionByName(twins), bodies, plan))
-    roots = components(first)
-    place = checkpoint(named.join(roots, F.col("head") == F.col("node"), "left").select("sig", F.coalesce("root", "head").alias("root")))
-    apart = raw.join(place.toDF("a", "ra"), "a").join(place.toDF("b", "rb"), "b").filter("ra <> rb").select("a", "b")
-    return first.unionByName(_verified(by_text(apart), bodies, plan))
+    near = raw.select(F.col("a").alias("sig")).union(raw.filter("b IS NOT NULL").select("b"))
+    met = near.union(heads.filter("n > 1").select("sig")).distinct()
+    nodes = checkpoint(texts.join(met, "sig").join(heads.select("sig", "head"), "sig"))
+    bodies = _bodies(docs, nodes)
+    named = nodes.filter("text_key = head").select("sig", "head")
+    twins = nodes.filter("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    best = raw.filter("b IS NOT NULL").groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("b"))
+    best = best.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    first = checkpoint(_verified(best.unionByName(twins), bodies, plan))
+    place = nodes.join(components(first).withColumnRenamed("node", "text_key"), "text_key", "left")
+    place = place.select("sig", F.col("text_key").alias("node"), F.coalesce("root", "text_key").alias("root"))
+    apart = checkpoint(pairs_apart(cells(checkpoint(place), plan, "node", "root"), plan))
+    return first.unionByName(_verified(apart, bodies, plan))
 
 
 def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
