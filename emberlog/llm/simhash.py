@@ -82,8 +82,13 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, plan: SimHashPlan = EXACT) -> bytes:
-    """SimHash of one text, most significant bit first; all zero for a text without words."""
+    """SimHash of one text, most significant bit first; all zero for a text without words.
+
+    Shingles count as often as they occur, or once where the Jaccard similarity of their sets is what matters.
+    """
     shingles = shingles_of(words_of(text), plan.shingle)
+    if plan.jaccard is not None:
+        shingles = list(set(shingles))
     counts = np.zeros(64 * plan.length, np.int64)
     for at in range(0, len(shingles), 1 << 14):
         part = shingles[at : at + (1 << 14)]

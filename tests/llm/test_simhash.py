@@ -190,3 +190,18 @@ def test_copies_inside_a_template_group(spark, docs):
     assert found >= 0.97 * len(pairs)
     want = classes(len(rows), lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
     assert sum(got[i] != want[i] for i in range(len(rows))) <= 0.03 * len(rows)
+
+
+def test_repeated_phrases(spark, docs):
+    """A phrase that is most of a text decides neither its fingerprint nor which texts it is compared with."""
+    phrase, rows, pairs = words(77, 5), [], []
+    for i in range(20):
+        tail = words(7000 + i, 60)
+        first = f"{phrase} " * 200 + tail
+        second = (f"{phrase} " * (200 if i % 2 else 2)) + tail.rsplit(" ", 1)[0] + " other"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [first, second]
+    assert all(jaccard(rows[a], rows[b]) >= 0.8 for a, b in pairs) and jaccard(rows[0], rows[2]) < 0.2
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs(list(enumerate(rows))), S.CORPUS).collect()}
+    print("pairs found", sum(got[a] == got[b] for a, b in pairs), "of", len(pairs))
+    assert [got[i] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
