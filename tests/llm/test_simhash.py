@@ -205,3 +205,23 @@ def test_repeated_phrases(spark, docs):
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs(list(enumerate(rows))), S.CORPUS).collect()}
     print("pairs found", sum(got[a] == got[b] for a, b in pairs), "of", len(pairs))
     assert [got[i] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
+
+
+def test_recall_by_length(spark, docs):
+    """Pairs at 0.8 or a little above, from texts of 8 words on: neither short nor long ones are lost."""
+    rows, pairs, within = [], {}, []
+    for n, new in ((8, 1), (12, 2), (16, 2), (20, 3), (40, 8), (120, 28)):
+        for i in range(100):
+            v = words(100_000 + 1000 * n + i, n)
+            w = v + " " + " ".join(f"more{i}x{j}" for j in range(new))
+            assert 0.8 <= jaccard(v, w) < 0.87
+            pairs.setdefault(n, []).append((len(rows), len(rows) + 1))
+            rows += [v, w]
+            x, y = (int.from_bytes(S.fingerprint(t, S.CORPUS), "big") for t in (v, w))
+            within.append((x ^ y).bit_count() <= S.CORPUS.radius)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs(list(enumerate(rows))), S.CORPUS).collect()}
+    found = {n: sum(got[a] == got[b] for a, b in some) for n, some in pairs.items()}
+    print("within the radius", sum(within), "of", len(within), "found of 100 by words", found)
+    assert sum(within) >= 0.998 * len(within)
+    assert min(found.values()) >= 90
+    assert len(set(got.values())) >= len(rows) // 2
