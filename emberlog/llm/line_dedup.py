@@ -82,8 +82,6 @@ def _streamed(lines: DataFrame) -> DataFrame:
             if here == head:
                 at_head = runs == 0
                 first_doc[at_head], first_null[at_head] = first[0], first[1]
-            elif here is not None:
-                yield _mark(here, first)
             if opening is None:
                 opening = head
                 yield _mark(head, (int(docs[0]), bool(nulls[0])))

@@ -67,3 +67,20 @@ def test_odd_inputs(spark, odd, none):
     texts = [(r.doc_id, r.text, r.n_chars) for r in kept.collect()]
     assert (8, "", 0) in texts and (1, None, None) in texts and texts.count((None, "no id at all here", 17)) == 2
     assert D.line_bitmaps(none).count() == 0 and D.without_repeated_lines(none).count() == 0
+
+
+def test_two_marks_per_task(spark, docs):
+    """Marks follow the tasks, however many Arrow batches a task reads."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        rows = [(i, f"line number {i} of many\nline number {i // 2} of few") for i in range(1500)]
+        order = ["hi", "lo", "last", "doc_id", "text_key", "pos"]
+        lines = D._line_rows(docs(rows), 10).repartitionByRange(4, *order).sortWithinPartitions(*order)
+        marks = D._streamed(lines).filter("kind = 2").count()
+        got = [(r._row.doc_id, D.kept_text(r._row.text, r.bitmap), r.n_dropped or 0) for r in D.with_bitmaps(docs(rows), D.line_bitmaps(docs(rows))).collect()]
+    finally:
+        spark.conf.set(size, before)
+    print("marks", marks)
+    assert sorted(got, key=str) == brute(rows) and marks <= 8
