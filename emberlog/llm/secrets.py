@@ -2,7 +2,7 @@
 
 Words and names are covered by few long tokens of a public vocabulary; random strings need a token for every
 one or two characters.  Strings of key characters with a low number of characters per token are reported, unless
-they are digests of a known length, numbers, or identifiers.
+they are digests of a known length, numbers, or identifiers in upper and lower case.
 """
 
 from __future__ import annotations
@@ -54,13 +54,15 @@ def _encoding(path: str):
 
 
 def is_known(text: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers: not secret, however they are tokenized."""
+    """Digests, UUIDs, numbers, runs of a character or two and identifiers in both cases: not secret, however they are tokenized."""
     if _HEX_ONLY.fullmatch(text) and len(text) in _DIGEST_LENGTHS or _UUID.fullmatch(text):
         return True
-    if sum(any(map(kind, text)) for kind in (str.isdigit, str.isupper, str.islower)) < 2:
+    upper, lower = any(map(str.isupper, text)), any(map(str.islower, text))
+    if not upper and not lower or len(set(text)) <= 2:
         return True
-    # Random letters change their kind all the time; names seldom do.
-    return len(text) >= _PART_CHARS * len(_PART.findall(text))
+    # Random letters of both cases change their kind all the time; names seldom do.  Of letters in one case only the
+    # tokens tell.
+    return upper and lower and len(text) >= _PART_CHARS * len(_PART.findall(text))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from emberlog.llm import secrets as S
 
@@ -36,3 +38,17 @@ def test_spans(spark, docs):
 def test_odd_inputs(spark, odd, none):
     assert S.find_secrets(odd).count() == odd.count() and S.find_secrets(odd).filter("size(spans) > 0").count() == 0
     assert S.find_secrets(none).count() == 0
+
+
+def test_random_keys_in_one_case(spark, docs):
+    """Random letters of one case and base32 are reported, words in one case are not."""
+    rng = random.Random(1)
+    lower, base32 = string.ascii_lowercase, string.ascii_uppercase + "234567"
+    keys = ["".join(rng.choice(abc) for _ in range(n)) for abc in (lower, lower.upper(), base32, base32.lower()) for n in (20, 40, 100) for _ in range(25)]
+    names = ["thequickbrownfoxjumpsoverthelazydog", "INTERNALSERVERERROREXCEPTION", "MAX_RETRY_COUNT_EXCEEDED_ERROR", "my_long_snake_case_identifier_2",
+             "getUserAccountNameFromRequestHeader", "/usr/local/lib/python3/site-packages", "0123456789" * 4, "-" * 40, "x" * 3000]
+    texts = [f"key {k} end" for k in keys] + [f"name {n} end" for n in names]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.find_secrets(docs(list(enumerate(texts)))).collect()}
+    found = sum(("dense", 4, 4 + len(k)) in got[i] for i, k in enumerate(keys))
+    print("keys found", found, "of", len(keys))
+    assert found >= 0.97 * len(keys) and not any(k == "dense" for i in range(len(keys), len(texts)) for k, _, _ in got[i])
