@@ -75,3 +75,26 @@ def test_odd_inputs(spark, odd, none):
     assert M.compare_with_next(odd).count() == odd.count() and M.compare_with_next(none).count() == 0
     assert M.similar_texts(odd).count() == odd.count() and M.similar_texts(none).count() == 0
     assert M.compare_with_next(odd.filter("doc_id = 7")).first().near_next == 1.0  # its own next
+
+
+def test_pairs_inside_a_boilerplate_group(spark, docs):
+    """Texts of twelve of sixteen paragraphs, each with one copy at 0.8 or more: no head of a bucket hides the copy."""
+    rng = random.Random(6)
+    pool, chosen, texts = [words(300 + i, 25).split() for i in range(16)], [], []
+    for _ in range(4000):
+        some = set(rng.sample(range(16), 12))
+        if all(len(some & c) <= 10 for c in chosen):
+            chosen.append(some)
+    for i, some in enumerate(chosen):
+        v = [w for p in sorted(some) for w in pool[p]]
+        texts.append(" ".join(v))
+        for at in rng.sample(range(5, 295, 6), 4):
+            v[at] = f"c{i}x{at}"
+        texts.append(" ".join(v))
+    n = len(chosen)
+    sets = [set(shingles_of(words_of(t), 5)) for t in texts]
+    alike = [(i, j) for i in range(2 * n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert alike == [(2 * i + 1, 2 * i) for i in range(n)]
+    got = {r.doc_id: r.class_id for r in M.similar_texts(docs(list(enumerate(texts)))).collect()}
+    print("pairs found", sum(got[i] == got[j] for i, j in alike), "of", n)
+    assert [got[i] for i in range(2 * n)] == [i - i % 2 for i in range(2 * n)]
