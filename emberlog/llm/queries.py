@@ -21,6 +21,9 @@ from emberlog.llm.quotes import reply_order
 from emberlog.llm.secrets import find_secrets
 from emberlog.llm.simhash import EXACT, near_duplicates
 from emberlog.llm.token_count import count_tokens
+from emberlog.llm.toxicity import fit as fit_toxicity
+from emberlog.llm.toxicity import held_out as label_held_out
+from emberlog.llm.toxicity import with_scores
 from emberlog.llm.url_rules import judge, rule_table
 
 # The rules of the url query.
@@ -183,6 +186,14 @@ SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out and from unlabelled text."""
+    docs = load(spark, sf_dir, "documents")
+    found = with_scores(docs.select("doc_id", "text"), fit_toxicity(docs, load(spark, sf_dir, "labels")))
+    doc_id = F.col("_row.doc_id")
+    return found.select(doc_id.alias("doc_id"), label_held_out(doc_id).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
@@ -194,6 +205,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_count": op8_token_count,
     "op9_minhash": op9_minhash,
     "op10_url_rules": op10_url_rules,
+    "op11_toxicity": op11_toxicity,
 }
 
 ORACLES: dict[str, str] = {
