@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import load
 from emberlog.llm.decontaminate import passages
+from emberlog.llm.infill import framed, infilled, with_digests
 from emberlog.llm.language import fit, held_out, identify
 from emberlog.llm.line_dedup import kept_text, line_bitmaps, with_bitmaps
 from emberlog.llm.minhash import compare_with_next
 from emberlog.llm.mixing import mix
+from emberlog.llm.prefix_trie import conversation_trie
 from emberlog.llm.quotes import reply_order
 from emberlog.llm.secrets import find_secrets
 from emberlog.llm.simhash import EXACT, near_duplicates
@@ -194,6 +196,62 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), label_held_out(doc_id).alias("held_out"), "score", "predicted")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with its members and what sharing it saves."""
+    return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+_OP12_SQL = """
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+  list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i))),
+turns AS (SELECT conv_id, k, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS n FROM (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS x
+  FROM conversations WHERE conv_id IS NOT NULL)),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+hashed AS (SELECT s.conv_id, n, conv_id - conv_id % 100 AS giver, xor(4294967295, list_reduce(
+  list_prepend(4294967295, list_transform(string_split(CAST(s.conv_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 6 AS h FROM sizes s, crc),
+convs AS (SELECT c.conv_id, c.giver, c.h, least(c.h, coalesce(g.n, 0)) AS m, least(c.h, coalesce(g.n, 0)) + greatest(c.n - c.h, 0) AS total
+  FROM hashed c LEFT JOIN sizes g ON g.conv_id = c.giver),
+rebuilt AS (SELECT c.conv_id, total, t.n AS d, k, x FROM convs c JOIN turns t ON t.conv_id = c.giver AND t.n <= m
+  UNION ALL SELECT c.conv_id, total, t.n - h + m, k, x FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.n > h),
+path AS (SELECT conv_id, total, d, x, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS p,
+  coalesce(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pp FROM rebuilt
+  UNION ALL SELECT conv_id, total, 0, 0, '', NULL FROM convs),
+nodes AS (SELECT d, p, min(pp) AS pp, min(conv_id) AS conv_id, count(*) AS n, max(x) AS x,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = d), '')) AS ends_sha256 FROM path GROUP BY d, p),
+kids AS (SELECT pp AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY pp),
+below AS (SELECT a.p, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((u.n - 1) * u.x) AS saved
+  FROM nodes u JOIN path a ON a.conv_id = u.conv_id AND a.d <= u.d LEFT JOIN kids k ON k.p = u.p GROUP BY a.p)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below b ON b.p = v.p LEFT JOIN kids k ON k.p = v.p LEFT JOIN nodes up ON up.p = v.pp
+"""
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle: cuts, and digests of the output and of the text rebuilt from it."""
+    found = with_digests(infilled(framed(load(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return found.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+_OP13_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+  CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM t),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
@@ -206,6 +264,8 @@ QUERIES: dict[str, Query] = {
     "op9_minhash": op9_minhash,
     "op10_url_rules": op10_url_rules,
     "op11_toxicity": op11_toxicity,
+    "op12_trie": op12_trie,
+    "op13_infill": op13_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -213,4 +273,6 @@ ORACLES: dict[str, str] = {
     "op6_quotes": _OP6_SQL,
     "op7_line_dedup": _OP7_SQL,
     "op10_url_rules": _OP10_SQL,
+    "op12_trie": _OP12_SQL,
+    "op13_infill": _OP13_SQL,
 }
