@@ -115,20 +115,23 @@ def top_errors(events: DataFrame, k: int = TOP, mode: str = EXACT) -> DataFrame:
     return (ordered.limit(k) if k > 0 else ordered).select(*GROUP_FIELDS)
 
 
-def report_groups(events: DataFrame, by: str | None = None) -> DataFrame:
+def report_groups(events: DataFrame, by: str | None = None, with_total: bool = False) -> DataFrame:
     """Events summed up per signature, all non-errors under one null signature.
 
     One pass over the events; everything a report holds follows from these rows, so they can be a stream's state.
+    ``with_total`` adds one row over all events (without ``by``), for which ``whole`` is true.
     """
     counts = [f"count_if(level = {lv.RANKS[n]}) AS {n}" for n in _NAMES]
     first = f"min(CASE WHEN level >= {lv.ERROR} THEN struct(source_ord, line, ts, message) END) AS first"
     # Only errors carry their message into the aggregation.
     errors_only = F.when(F.col("level") >= lv.ERROR, F.col("message"))
-    return (
-        with_signature(events.withColumn("message", errors_only))
-        .groupBy(*([by] if by else []), "signature")
-        .agg(*map(F.expr, ["count(*) AS n", *counts, "min(ts) AS first_ts", "max(ts) AS last_ts", first]))
-    )
+    signed = with_signature(events.withColumn("message", errors_only))
+    sums = [*map(F.expr, ["count(*) AS n", *counts, "min(ts) AS first_ts", "max(ts) AS last_ts", first])]
+    if with_total:
+        signed = signed.withColumn("whole", F.explode(F.array(F.lit(False), F.lit(True))))
+        signed = signed.withColumn("signature", F.when(~F.col("whole"), F.col("signature")))
+        return signed.groupBy("whole", "signature").agg(*sums)
+    return signed.groupBy(*([by] if by else []), "signature").agg(*sums)
 
 
 def _tallies(events: DataFrame, by: str | None) -> DataFrame:

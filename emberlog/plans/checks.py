@@ -28,10 +28,13 @@ from emberlog.plans import oracle as o
 from emberlog.session import scratch_dir
 from emberlog.sinks import events as ev_out
 from emberlog.sinks import reports as rep_out
+from emberlog.sinks.logs import write_logs
 from emberlog.sources.files import read_lines
 from emberlog.sources.lines import split_lines
 from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table, table_stream
+from emberlog.sources.tail import tail_lines
 from emberlog.streaming.admission import admission_stream
+from emberlog.streaming.fold import fold_stream
 from emberlog.streaming.watch import watch_events, watch_report
 
 NOW = datetime(2024, 12, 31)
@@ -697,6 +700,76 @@ def _watch_report(spark, sf_dir):
     return _report_rows(spark.read.parquet(path))
 
 
+def _file_name(source: str = "source") -> Column:
+    return F.element_at(F.split(source, "/"), -1)
+
+
+def _grown_tail(spark, lines, follow, **options) -> DataFrame:
+    """What ``follow`` makes of the lines of tailed files, over two runs of its query: files there in part, then whole.
+
+    The first half ends within a line.  The second run resumes where the first one was.
+    """
+    folder, out = scratch_dir(spark), scratch_dir(spark)
+    half = lines.groupBy("source").agg(F.floor(F.max("line") / 2).alias("_half"))
+    part = lines.join(half, "source").filter("line <= _half")
+    part = part.withColumn("text", F.when(F.col("line") == F.col("_half"), F.substring("text", 1, 3)).otherwise(F.col("text")))
+    for some, ends in ((part, False), (lines, True)):
+        write_logs(some, folder, last_newline=ends).write.format("noop").mode("overwrite").save()
+        found = follow(tail_lines(spark, [f"{folder}/*.log"], from_end=False, **options))
+        writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query("tail_lines", f"SELECT source, line, text FROM ({log_lines_sql()})")
+def _tail_lines(spark, sf_dir):
+    """Lines of files that grow between two runs, read in ranges of 64 KB."""
+    rows = _grown_tail(spark, log_lines(spark, sf_dir), lambda lines: lines, range_bytes=1 << 16)
+    return rows.select(_file_name().alias("source"), "line", "text")
+
+
+@query("tail_follow", f"""WITH l AS ({log_lines_sql()}) SELECT source, line, text FROM l
+  UNION ALL SELECT source, line, text FROM l WHERE source = 'app-0.log' AND line <= 5""")
+def _tail_follow(spark, sf_dir):
+    """Files that start, grow and shrink under one running query, which admits a megabyte at a time."""
+    folder, out = scratch_dir(spark), scratch_dir(spark)
+    lines = log_lines(spark, sf_dir)
+    steps = [lines.filter("source_ord < 4 AND line <= 1000"), lines, lines.filter("source_ord = 0 AND line <= 5")]
+    found = tail_lines(spark, [f"{folder}/app-?.log"], from_end=False, max_bytes=1 << 20)
+    running = None
+    for step in steps:
+        write_logs(step, folder).write.format("noop").mode("overwrite").save()
+        if running is None:
+            writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress")
+            running = writer.trigger(processingTime="0 seconds").start()
+        running.processAllAvailable()
+    running.stop()
+    return spark.read.schema(found.schema).parquet(out).select(_file_name().alias("source"), "line", "text")
+
+
+@query("fold_stream", f"""SELECT source, line, text FROM (SELECT *, max(line) OVER (PARTITION BY source) AS last
+  FROM ({fold_sql(_TRACE_SQL, 3)})) WHERE line < last""")
+def _fold_stream(spark, sf_dir):
+    """Events of files that grow; the last event of each file still waits for its next line."""
+    rows = _grown_tail(spark, trace_lines(spark, sf_dir), lambda lines: fold_stream(lines, 3, None, block_bits=8), range_bytes=1 << 16)
+    return rows.select(_file_name().alias("source"), "line", "text")
+
+
+@query("watch_report_tail", f"{_selected()}{report_cte(source='app-0.log')} SELECT {REPORT_ROWS} FROM rep")
+def _watch_report_tail(spark, sf_dir):
+    """Last report of a query that watches growing files."""
+    folder, out = scratch_dir(spark), scratch_dir(spark)
+    lines = log_lines(spark, sf_dir)
+    for some in (lines.filter("line <= 500"), lines):
+        write_logs(some, folder).write.format("noop").mode("overwrite").save()
+        tailed = tail_lines(spark, [f"{folder}/app-{i}.log" for i in range(SOURCES)], from_end=False)
+        watch_report(
+            watch_events(tailed, now=NOW), lambda report, number: report.write.mode("overwrite").parquet(out), out + "-progress",
+            sources=_sources(),
+        ).awaitTermination()
+    return _report_rows(spark.read.parquet(out))
+
+
 # --- sinks -----------------------------------------------------------------------------------------------
 
 _SPAN_JSON = "to_json({'first': " + o.rfc3339_sql("first_line") + ", 'last': " + o.rfc3339_sql("last_line") + \

@@ -1,102 +1,172 @@
 """Log files that grow: a stream of their lines.
 
-Spark's file stream reads each file once, so growth is followed by a small source of its own.  It emits
-byte ranges that hold whole lines, with the number of the first one; the ranges' bytes are read, split and
-decoded by the executors.  Offsets are one position and line count per file, so a stopped query resumes
-where it was.
+Spark's file stream reads each file once, so growth is followed by a small source of its own.  Its offsets are byte
+positions, one per file, taken from listings; the driver opens no file.  New bytes are cut into ranges of equal
+size without looking at them.  Executors count the line ends of each range, a running sum over these counts (one
+row per range) says which line a range begins with, and executors read the ranges' lines.  A line belongs to
+the range its end lies in, and is read from its beginning wherever that is.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import logging
+import os
 import zlib
+from fnmatch import fnmatchcase
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_RANGE_SCHEMA = "source_ord int, source string, first_line bigint, start bigint, stop bigint, gzip boolean"
-_RANGE_BYTES = 16 << 20
+_COUNT_SCHEMA = "source_ord int, source string, start bigint, stop bigint, lines bigint"
+_NUMBERED_SCHEMA = "source_ord int, source string, start bigint, stop bigint, floor bigint, first_line bigint"
+RANGE_BYTES = 16 << 20
 _PIECE_BYTES = 1 << 20
+_GZIP = b"\x1f\x8b"
 
 _log = logging.getLogger(__name__)
 
 
+def _is_local(path: str) -> bool:
+    return "://" not in path and not path.startswith("file:")
+
+
+def _file_system(path: str):
+    import pyarrow.fs as pafs
+
+    if _is_local(path) or path.startswith("file:"):
+        return pafs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+    return pafs.FileSystem.from_uri(path)
+
+
 def _open_file(path: str):
+    fs, plain = _file_system(path)
+    return fs.open_input_file(plain)
+
+
+def _listed(pattern: str) -> dict[str, int]:
+    """Size of every file a path or pattern names now."""
     import pyarrow.fs as pafs
 
-    if "://" in path and not path.startswith("file:"):
-        fs, path = pafs.FileSystem.from_uri(path)
+    if _is_local(pattern):
+        found = {}
+        for path in [pattern] if not glob.has_magic(pattern) else glob.glob(pattern, recursive=True):
+            try:
+                if os.path.isfile(path):
+                    found[path] = os.path.getsize(path)
+            except OSError:
+                continue
+        return found
+    fs, plain = _file_system(pattern)
+    prefix = pattern[: len(pattern) - len(plain)]
+    if not glob.has_magic(plain):
+        infos = [fs.get_file_info(plain)]
     else:
-        fs, path = pafs.LocalFileSystem(), path.removeprefix("file://")
-    return fs.open_input_file(path)
+        parts = plain.split("/")
+        fixed = next(i for i, p in enumerate(parts) if glob.has_magic(p))
+        selector = pafs.FileSelector("/".join(parts[:fixed]) or "/", allow_not_found=True, recursive=True)
+        infos = [i for i in fs.get_file_info(selector) if fnmatchcase(i.path, plain)]
+    return {prefix + i.path: i.size for i in infos if i.type == pafs.FileType.File}
 
 
-def _ranges(path: str, start: int, stop: int | None, line: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(start, stop, lines before, lines up to stop)`` of ranges that end after a newline, up to ``stop``."""
-    with _open_file(path) as file:
-        size = file.size() if stop is None else min(stop, file.size())
-        if size <= start:
-            return
-        file.seek(start)
-        at, begun, end, before, seen, here = start, start, start, line, line, line
-        while at < size:
-            piece = file.read(min(_PIECE_BYTES, size - at))
-            if not piece:
-                break
-            last = piece.rfind(b"\n")
-            if last >= 0:
-                seen = here + piece.count(b"\n")
-                here, end = seen, at + last + 1
-            at += len(piece)
-            if end - begun >= _RANGE_BYTES:
-                yield begun, end, before, seen
-                begun, before = end, seen
-        if end > begun:
-            yield begun, end, before, seen
+def fair_shares(pending: dict[str, int], budget: int) -> dict[str, int]:
+    """Bytes admitted per file: all of a small backlog, and of the others as much each as the budget leaves; at least a byte."""
+    shares, left = {}, budget
+    for i, (path, n) in enumerate(sorted(pending.items(), key=lambda f: (f[1], f[0]))):
+        shares[path] = min(n, max(left // (len(pending) - i), 1))
+        left -= shares[path]
+    return shares
+
 
+class _Range(InputPartition):
+    def __init__(self, source_ord: int, path: str, start: int, stop: int):
+        self.source_ord, self.path, self.start, self.stop = source_ord, path, start, stop
 
-class _RangeStream(SimpleDataSourceStreamReader):
-    def __init__(self, paths: list[str], from_end: bool):
-        self.paths, self.from_end = paths, from_end
+
+class _RangeStream(DataSourceStreamReader):
+    """Offsets are ``{path: bytes admitted so far}``.  A file smaller than its offset was cut short and begins anew."""
+
+    def __init__(self, patterns: list[str], from_end: bool, max_bytes: int | None, progress: str | None, range_bytes: int):
+        self.patterns, self.from_end, self.max_bytes = patterns, from_end, max_bytes
+        self.progress, self.range_bytes = progress, range_bytes
+        self.reached: dict | None = None
+
+    def _sizes(self) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for pattern in self.patterns:
+            for path, size in sorted(_listed(pattern).items()):
+                found.setdefault(path, size)
+        return found
+
+    def _place(self, path: str) -> int:
+        return next((i for i, p in enumerate(self.patterns) if p == path or fnmatchcase(path, p)), len(self.patterns))
 
     def initialOffset(self) -> dict:
-        out = {}
-        for path in self.paths:
-            try:
-                with _open_file(path) as file:
-                    gzip = file.read(2) == b"\x1f\x8b"
-                    out[path] = [file.size() if self.from_end and not gzip else 0, 0, gzip]
-            except OSError as e:
-                _log.warning("cannot open %s: %s", path, e)
-        return out
+        sizes = self._sizes()
+        for pattern in self.patterns:
+            if not glob.has_magic(pattern) and pattern not in sizes:
+                _log.warning("cannot open %s yet", pattern)
+        # A file compressed by name does not grow and is read from its beginning.
+        self.reached = {p: n if self.from_end and not p.endswith(".gz") else 0 for p, n in sizes.items()}
+        return self.reached
 
-    def _between(self, start: dict, stop: dict | None) -> tuple[list[tuple], dict]:
-        rows, reached = [], {}
-        for path, (position, line, gzip) in start.items():
-            limit = stop[path][0] if stop else None
-            if gzip:
-                # A compressed file does not grow: it is one range, read once.
-                with _open_file(path) as file:
-                    size = file.size()
-                if position == 0 and limit != 0:
-                    rows.append((self.paths.index(path), path, 1, 0, size, True))
-                reached[path] = [size, line, gzip]
-                continue
-            for begin, end, before, seen in _ranges(path, position, limit, line):
-                rows.append((self.paths.index(path), path, before + 1, begin, end, False))
-                position, line = end, seen
-            reached[path] = [position, line, gzip]
-        return rows, reached
+    def latestOffset(self) -> dict:
+        sizes = self._sizes()
+        before = self.reached if self.reached is not None else self._saved()
+        if before is None or self.max_bytes is None:
+            reached = sizes
+        else:
+            held = {p: before.get(p, 0) if before.get(p, 0) <= n else 0 for p, n in sizes.items()}
+            shares = fair_shares({p: n - held[p] for p, n in sizes.items() if n > held[p]}, self.max_bytes)
+            reached = {p: n if p.endswith(".gz") else held[p] + shares.get(p, 0) for p, n in sizes.items()}
+        if reached != before:
+            self._save(reached)
+        self.reached = reached
+        return reached
+
+    def _save(self, reached: dict) -> None:
+        if not self.progress:
+            return
+        fs, folder = _file_system(self.progress)
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/reached.tmp") as out:
+            out.write(json.dumps(reached).encode())
+        fs.move(f"{folder}/reached.tmp", f"{folder}/reached.json")
+
+    def _saved(self) -> dict | None:
+        """What was admitted before a restart, which is never less than what the query's own log holds."""
+        if not self.progress:
+            return None
+        fs, folder = _file_system(self.progress)
+        try:
+            with fs.open_input_stream(f"{folder}/reached.json") as file:
+                return json.loads(file.read())
+        except OSError:
+            return None
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, reached = self._between(start, None)
-        return iter(rows), reached
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out = []
+        for path, stop in end.items():
+            begin = start.get(path, 0)
+            begin = begin if begin <= stop else 0
+            if path.endswith(".gz"):
+                out += [_Range(self._place(path), path, 0, stop)] if begin == 0 and stop else []
+                continue
+            for at in range(begin, stop, self.range_bytes):
+                out.append(_Range(self._place(path), path, at, min(at + self.range_bytes, stop)))
+        return out
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._between(start, end)[0])
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        try:
+            lines = sum(piece.count(b"\n") for piece in _bytes_of(partition.path, partition.start, partition.stop))
+        except FileNotFoundError:
+            _log.warning("%s is gone", partition.path)
+            lines = 0
+        yield partition.source_ord, partition.path, partition.start, partition.stop, lines
 
 
 class TailSource(DataSource):
@@ -105,49 +175,116 @@ class TailSource(DataSource):
         return "emberlog_tail"
 
     def schema(self) -> str:
-        return _RANGE_SCHEMA
+        return _COUNT_SCHEMA
 
-    def simpleStreamReader(self, schema):
-        return _RangeStream(json.loads(self.options["paths"]), self.options["from_end"] == "true")
+    def streamReader(self, schema) -> _RangeStream:
+        o = json.loads(self.options["tail"])
+        return _RangeStream(o["paths"], o["from_end"], o["max_bytes"], o["progress"], o["range_bytes"])
 
 
-def _whole_lines(path: str, start: int, stop: int, gzip: bool) -> Iterator[list[bytes]]:
-    """Lines of a range in lists; what follows the last newline is left."""
-    decoder, rest = zlib.decompressobj(31), b""
+def _bytes_of(path: str, start: int, stop: int) -> Iterator[bytes]:
+    """Bytes of a range.  A compressed file is unpacked whole by the range it begins with; its other ranges are empty."""
     with _open_file(path) as file:
+        if file.read(2) == _GZIP:
+            if start == 0:
+                yield from _unpacked(file)
+            return
         file.seek(start)
         left = stop - start
         while left > 0 and (piece := file.read(min(_PIECE_BYTES, left))):
             left -= len(piece)
-            while piece:
-                data, piece = (decoder.decompress(piece), decoder.unused_data) if gzip else (piece, b"")
-                if gzip and decoder.eof:
-                    decoder = zlib.decompressobj(31)
-                *lines, rest = (rest + data).split(b"\n")
-                if lines:
-                    yield lines
+            yield piece
+
+
+def _unpacked(file) -> Iterator[bytes]:
+    file.seek(0)
+    decoder = zlib.decompressobj(31)
+    while piece := file.read(_PIECE_BYTES):
+        while piece:
+            yield decoder.decompress(piece)
+            piece = decoder.unused_data
+            if decoder.eof:
+                decoder = zlib.decompressobj(31)
+
+
+def _line_start(path: str, at: int, floor: int) -> int:
+    """Where the line that goes on at ``at`` begins, not before ``floor``."""
+    if at <= floor:
+        return at
+    with _open_file(path) as file:
+        if file.read(2) == _GZIP:
+            return at
+        while at > floor:
+            begin = max(floor, at - _PIECE_BYTES)
+            file.seek(begin)
+            last = file.read(at - begin).rfind(b"\n")
+            if last >= 0:
+                return begin + last + 1
+            at = begin
+    return floor
 
 
 def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            first = row.first_line
-            for some in _whole_lines(row.source, row.start, row.stop, row.gzip):
+            number, held = row.first_line, []
+            for piece in _bytes_of(row.source, _line_start(row.source, row.start, row.floor), row.stop):
+                first, newline, rest = piece.partition(b"\n")
+                held.append(first)
+                if not newline:
+                    continue
+                some = [b"".join(held), *rest.split(b"\n")]
+                held = [some.pop()]
                 texts = [t.removesuffix(b"\r").decode("utf-8", "replace") for t in some]
-                numbers = range(first, first + len(texts))
-                yield pd.DataFrame({"source_ord": row.source_ord, "source": row.source, "line": numbers, "text": texts})
-                first += len(texts)
+                yield pd.DataFrame({
+                    "source_ord": row.source_ord, "source": row.source, "line": range(number, number + len(texts)), "text": texts})
+                number += len(texts)
+
 
+class _Numbers(StatefulProcessor):
+    """State per file: where its bytes were first taken up, how far they went, and the lines so far."""
 
-def tail_lines(spark: SparkSession, paths: list[str], from_end: bool = True) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "floor bigint, stop bigint, lines bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ranges = pd.concat(list(rows))  # one row per range of bytes
+        ranges.columns = ["source_ord", "source", "start", "stop", "lines"]
+        held, out = self.at.get(), []
+        for r in ranges.sort_values("start").itertuples(index=False):
+            if held is None or r.start < held[1]:
+                held = (int(r.start), int(r.start), 0)
+            if r.lines:
+                out.append((r.source_ord, r.source, r.start, r.stop, held[0], held[2] + 1))
+            held = (held[0], int(r.stop), held[2] + int(r.lines))
+        self.at.update(held)
+        frame = pd.DataFrame(out, columns=["source_ord", "source", "start", "stop", "floor", "first_line"])
+        yield frame.astype({"source_ord": "int32", "source": "object"})
+
+    def close(self) -> None:
+        pass
+
+
+def tail_lines(
+    spark: SparkSession, paths: list[str], from_end: bool = True, max_bytes: int | None = None, progress: str | None = None,
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
     """Stream of lines ``(source_ord, source, line, text)`` appended to files, all files at once.
 
-    Starts at the end of each file, or at its beginning; a line is emitted once its newline is there, and
-    lines are numbered from where the tail starts.  A gzip file is read once from its beginning.  A file that
-    cannot be opened at the start is left out with a warning.
+    ``paths`` may be patterns; they are listed anew for every batch.  Files there at the start are followed from their end, or
+    from their beginning, and files that appear later from their beginning.  A line is emitted once its newline is there, and
+    lines are numbered from where the tail starts.  A file that shrinks is taken for a new one, numbered from 1.  A
+    gzip file is read once from its beginning and must be complete when it appears; where the tail starts at the
+    ends of files it is told by its name.  A path that names no file yet is waited for.
+
+    ``max_bytes`` bounds the new bytes of a batch, shared fairly over the files; give ``progress``, a folder of
+    the query's own, to bound the first batch after a restart as well.  A query that runs ``availableNow`` admits one such
+    share and ends.  A file renamed to another name that a pattern matches is a new file; one cut short and grown
+    beyond its old size between two listings is not noticed.
     """
+    options = {"paths": list(paths), "from_end": from_end, "max_bytes": max_bytes, "progress": progress, "range_bytes": range_bytes}
     spark.dataSource.register(TailSource)
-    ranges = spark.readStream.format("emberlog_tail").options(
-        paths=json.dumps(list(paths)), from_end=str(from_end).lower()).load()
-    return ranges.repartition("source", "start").mapInPandas(
+    ranges = spark.readStream.format("emberlog_tail").option("tail", json.dumps(options)).load()
+    numbered = ranges.groupBy("source_ord", "source").transformWithStateInPandas(_Numbers(), _NUMBERED_SCHEMA, "Append", "None")
+    return numbered.repartition("source", "start").mapInPandas(
         _read_ranges, "source_ord int, source string, line bigint, text string")

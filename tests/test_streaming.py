@@ -1,10 +1,12 @@
 import gzip
+import random
 import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from emberlog.operators.filters import LogFilter
+from emberlog.operators.fold import fold
 from emberlog.sources.tail import tail_lines
 from emberlog.streaming.admission import admission_stream
 from emberlog.streaming.fold import fold_stream
@@ -92,6 +94,48 @@ def test_watch_events_and_report(spark, tmp_path):
     assert (group.signature, group["count"], group.sample) == ("timeout <n>", 3, "timeout 1")
 
 
+def test_ticks_hand_out_changed_groups_only(spark, tmp_path):
+    a, reports, changes = tmp_path / "a.log", [], []
+    lines = tail_lines(spark, [str(a)], from_end=False)
+
+    def tick(text, **options):
+        append(a, text)
+        watch_report(
+            watch_events(lines, now=NOW), lambda r, n: reports.append(r.first()), str(tmp_path / "cp"), sources=["a"], k=2,
+            on_change=lambda g, n: changes.append({r.signature: r.n for r in g.filter("NOT whole").collect()}), **options
+        ).awaitTermination(120)
+        return [(g.signature, g["count"], g.sample) for g in reports[-1].top_errors]
+
+    assert tick("ERROR a one\nERROR a one\nERROR b\nERROR c\nINFO x\n") == [("a one", 2, "a one"), ("b", 1, "b")]
+    assert tick("ERROR c\nERROR c\n") == [("c", 3, "c"), ("a one", 2, "a one")]
+    assert tick("INFO y\n") == [("c", 3, "c"), ("a one", 2, "a one")]
+    assert tick("FATAL b\nERROR b\nERROR b\n") == [("b", 4, "b"), ("c", 3, "c")]
+    assert changes == [{"a one": 2, "b": 1, "c": 1, None: 1}, {"c": 3}, {None: 2}, {"b": 4}]
+    assert reports[-1].total_lines == 11 and reports[-1].levels == {"ERROR": 8, "FATAL": 1, "INFO": 2}
+
+
+def test_fold_stream_equals_fold_over_blocks_and_batches(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for source in range(3):
+        for line in range(1, 400):
+            if rng.random() < 0.95:
+                indent = rng.random() < (0.97 if 100 < line < 250 else 0.6)
+                rows.append((source, f"s{source}", line, None if rng.random() < 0.02 else (rng.choice(" \t") if indent else "") + f"t{line}"))
+    schema = "source_ord int, source string, line bigint, text string"
+    want = sorted((r.source, r.line, r.text) for r in fold(spark.createDataFrame(rows, schema), max_lines=4).collect())
+    last = {s: max(line for name, line, _ in want if name == s) for s in ("s0", "s1", "s2")}
+    path, out = str(tmp_path / "in"), []
+    (tmp_path / "in").mkdir()
+    stream = fold_stream(spark.readStream.schema(schema).parquet(path), 4, None, block_bits=4)
+    for low, high in ((0, 37), (37, 38), (38, 210), (210, 400)):
+        part = [r for r in rows if low <= r[2] < high]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(path)
+        out += Sink(stream, tmp_path / "cp").wait()
+    assert sorted((r.source, r.line, r.text) for r in out) == [w for w in want if w[1] < last[w[0]]]
+
+
 def test_fold_holds_the_last_event(spark, tmp_path):
     a = str(tmp_path / "a.log")
     append(a, "head\n one\n two\n three\nnext\n")
