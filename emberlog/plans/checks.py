@@ -700,6 +700,20 @@ def _watch_report(spark, sf_dir):
     return _report_rows(spark.read.parquet(path))
 
 
+@query("read_kinds", f"SELECT source, line, text FROM ({log_lines_sql()}) WHERE source_ord < 6")
+def _read_kinds(spark, sf_dir):
+    """Plain files, gzip files by name and by content alone, and files with a NUL byte, which are skipped."""
+    folder = scratch_dir(spark)
+    lines = log_lines(spark, sf_dir)
+    name = F.when(F.col("source_ord").isin(2, 3), F.concat("source", F.lit(".gz"))).otherwise(F.col("source"))
+    body = F.when((F.col("source_ord") >= 6) & (F.col("line") == 1), F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    for packed in (True, False):
+        some = lines.filter(F.col("source_ord").between(2, 5) == packed).withColumns({"source": name, "text": body})
+        write_logs(some, folder, gzip=packed).write.format("noop").mode("overwrite").save()
+    return read_lines(spark, f"{folder}/app-*").select(
+        F.regexp_replace(_file_name(), "[.]gz$", "").alias("source"), "line", "text")
+
+
 def _file_name(source: str = "source") -> Column:
     return F.element_at(F.split(source, "/"), -1)
 

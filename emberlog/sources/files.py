@@ -6,7 +6,6 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import islice
 from typing import Iterator
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.sources.lines import strip_return
 
 PROBE_BYTES = 8192
+_CHUNK_BYTES = 1 << 20
 # Bytes of a row besides its path, generously.
 _ROW_BYTES = 64
 LINES_SCHEMA = "source_ord int, source string, line bigint, text string"
@@ -111,32 +111,40 @@ def _read_head(uri: str) -> bytes:
 
 
 def _pieces(uri: str, gzip: bool) -> Iterator[bytes]:
-    """A file's bytes in pieces, decompressed if asked for; a gzip file may have several members."""
+    """A file's bytes in pieces of bounded size, decompressed if asked for; a gzip file may have several members."""
     decoder = zlib.decompressobj(31)
     with _open(uri) as stream:
-        while chunk := stream.read(1 << 20):
+        while chunk := stream.read(_CHUNK_BYTES):
             if not gzip:
                 yield chunk
                 continue
             while chunk:
-                yield decoder.decompress(chunk)
-                chunk = decoder.unused_data
+                yield decoder.decompress(chunk, _CHUNK_BYTES)
+                chunk = decoder.unconsumed_tail
                 if decoder.eof:
-                    decoder = zlib.decompressobj(31)
+                    chunk, decoder = decoder.unused_data, zlib.decompressobj(31)
+    if gzip:
+        yield decoder.flush()
 
 
-def _whole_lines(uri: str, gzip: bool) -> Iterator[str]:
-    rest = b""
+def _chunks(uri: str, gzip: bool) -> Iterator[tuple[int, str]]:
+    """Whole lines of a file, a megabyte and more at a time, with the number of the first."""
+    number, held, size = 1, [], 0
     for piece in _pieces(uri, gzip):
-        *whole, rest = (rest + piece).split(b"\n")
-        for line in whole:
-            yield line.removesuffix(b"\r").decode("utf-8", "replace")
-    if rest:
-        yield rest.removesuffix(b"\r").decode("utf-8", "replace")
+        held.append(piece)
+        size += len(piece)
+        if size < _CHUNK_BYTES or b"\n" not in piece:
+            continue
+        whole, _, rest = b"".join(held).rpartition(b"\n")
+        yield number, whole.decode("utf-8", "replace")
+        number += whole.count(b"\n") + 1
+        held, size = [rest], len(rest)
+    if last := b"".join(held):
+        yield number, last.removesuffix(b"\n").decode("utf-8", "replace")
 
 
 def _scan_text(spark: SparkSession, files: list[LogFile]) -> DataFrame:
-    """``(key, line, text)`` of plain files, and gzip files named ``.gz``.
+    """``(key, line, text)`` of plain files.
 
     A line's number is its place in its split plus the lines of the splits before.  The splits are counted
     by a scan that reads no columns, and only those counts are joined; the text is never shuffled.  Both
@@ -178,20 +186,24 @@ def _bytes(text: str) -> int:
     return int(number) * units.get(text[len(number):].lower(), 1)
 
 
-def _scan_whole(spark: SparkSession, files: dict[LogFile, bool]) -> DataFrame:
-    """``(key, line, text)`` of files whose name misleads about gzip (file -> is gzip), one task per file."""
+def _scan_chunked(spark: SparkSession, files: dict[LogFile, bool]) -> DataFrame:
+    """``(key, line, text)`` of gzip files and of others that Spark would open the wrong way (file -> is gzip).
+
+    A file is unpacked once, by one task, which numbers its lines and hands them on by the megabyte; from there on they
+    are spread over all tasks.
+    """
     rows = sorted({(f.key, f.uri, gzip) for f, gzip in files.items()})
     table = spark.createDataFrame(rows, "key string, uri string, gzip boolean").repartition(len(rows), "key")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, uri, gzip in zip(batch["key"], batch["uri"], batch["gzip"]):
-                numbered = enumerate(_whole_lines(uri, gzip), 1)
-                while some := list(islice(numbered, 10_000)):
-                    lines, texts = zip(*some)
-                    yield pd.DataFrame({"key": key, "line": lines, "text": texts})
+                for first, body in _chunks(uri, gzip):
+                    yield pd.DataFrame({"key": [key], "first": [first], "body": [body]})
 
-    return table.mapInPandas(read, "key string, line bigint, text string")
+    chunks = table.mapInPandas(read, "key string, first bigint, body string").repartition("key", "first")
+    lines = chunks.select("key", "first", F.posexplode(F.split("body", "\n")).alias("place", "text"))
+    return lines.select("key", (F.col("first") + F.col("place")).alias("line"), strip_return(F.col("text")).alias("text"))
 
 
 def read_lines(
@@ -204,7 +216,7 @@ def read_lines(
     first bytes where it is known that there are only plain files and files named ``.gz``.
     """
     files = resolve(spark, [paths] if isinstance(paths, str) else list(paths))
-    whole: dict[LogFile, bool] = {}
+    packed = {f: True for f in files if f.uri.endswith(".gz")}
     if probe_files and files:
         kinds = probe(spark, files)
         compressed = F.regexp_extract("uri", _CODEC_NAME, 0) != ""
@@ -212,9 +224,9 @@ def read_lines(
         odd = kinds.filter(F.col("binary") | (F.col("gzip") != F.endswith("uri", F.lit(".gz"))) | (~F.col("gzip") & compressed))
         odd = {r.uri: r for r in odd.collect()}
         files = [f for f in files if f.uri not in odd or not odd[f.uri].binary]
-        whole = {f: odd[f.uri].gzip for f in files if f.uri in odd}
-    plain = [f for f in files if f not in whole]
-    parts = ([_scan_text(spark, plain)] if plain else []) + ([_scan_whole(spark, whole)] if whole else [])
+        packed = {f: odd[f.uri].gzip if f.uri in odd else True for f in files if f.uri in odd or f in packed}
+    plain = [f for f in files if f not in packed]
+    parts = ([_scan_text(spark, plain)] if plain else []) + ([_scan_chunked(spark, packed)] if packed else [])
     if not parts:
         return spark.createDataFrame([], LINES_SCHEMA)
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -1,5 +1,8 @@
 import gzip
 
+from pyspark.sql import functions as F
+
+from emberlog.sources import files
 from emberlog.sources.files import read_lines, resolve
 from emberlog.sources.lines import split_lines
 
@@ -27,6 +30,38 @@ def test_kinds_of_files(spark, tmp_path):
     )
 
 
+def test_gzip_is_spread_after_unpacking(spark, tmp_path):
+    body = "".join(f"{i} {'x' * (i % 200)}\r\n" for i in range(1, 60_001))
+    for n in ("a.log.gz", "b.log"):
+        with gzip.open(tmp_path / n, "wt", newline="") as f:
+            f.write(body)
+        with gzip.open(tmp_path / n, "at", newline="") as f:
+            f.write("60001 " + "y" * 3_000_000 + "\n\n60003 end")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these shuffled files are tiny
+    try:
+        df = read_lines(spark, [f"{tmp_path}/a.log.gz", f"{tmp_path}/b.log"])
+        found = df.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for source in (0, 1):
+        mine = sorted((r.line, r.text) for r in found if r.source_ord == source)
+        assert [line for line, _ in mine] == list(range(1, 60_004))
+        assert all(t == f"{i} {'x' * (i % 200)}" for i, t in mine[:60_000])
+        assert len(mine[60_000][1]) == 3_000_006 and mine[60_001][1] == "" and mine[60_002][1] == "60003 end"
+    assert len({r.task for r in found}) > 1
+
+
+def test_highly_compressed_lines_come_in_bounded_pieces(tmp_path):
+    path = tmp_path / "z.gz"
+    with gzip.open(path, "wb") as f:
+        for _ in range(40):
+            f.write(b"0" * 999_999 + b"\n")
+    assert path.stat().st_size < 1 << 20
+    assert max(map(len, files._pieces(f"file:{path}", True))) <= 1 << 20
+    chunks = list(files._chunks(f"file:{path}", True))
+    assert len(chunks) > 15 and sum(text.count("\n") + 1 for _, text in chunks) == 40
+
+
 def test_arguments_in_order(spark, tmp_path):
     for n in "cab":
         (tmp_path / f"{n}.log").write_text(n)
