@@ -139,7 +139,10 @@ def mix(
         "_sum", F.sum("size").over(Window.partitionBy("_s", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("_in", F.col("_sum") <= F.col("_room"))
     rest = F.max(F.when(F.col("_in"), F.col("_sum")).otherwise(F.lit(0)))
-    gaps = edge.groupBy("_s").agg((F.first("_room") - rest).alias("_short"))
+    # One row per source again: sent to every task, or a hot source's untaken documents would all meet their gap in one.
+    gaps = checkpoint(edge.groupBy("_s").agg((F.first("_room") - rest).alias("_short")))
+    if gaps.count() <= _BROADCAST_SOURCES:
+        gaps = F.broadcast(gaps)
     settled = placed.filter("_state IS NULL OR _state <> 0").withColumn("_in", F.coalesce(F.col("_state") == 1, F.lit(False)))
     settled = checkpoint(settled.unionByName(edge.drop("_sum")).withColumn("_more", F.col("_in").cast("bigint")))
 

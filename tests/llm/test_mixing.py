@@ -60,6 +60,23 @@ def test_importance_tilts_the_draw(spark, docs):
     assert mean[40] == pytest.approx(2 * mean[20], rel=0.15)  # expected in proportion to importance
 
 
+def test_a_hot_source_is_never_shuffled_by_its_name(spark, docs):
+    """Nine rows in ten of one source: no exchange by source alone hands a task more than one row per source, task and bin."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, words(i, 1 + i % 40), "en", "hot" if i % 10 else f"s{i % 7}") for i in range(4000)]
+        out = M.mix(docs(rows), F.sqrt("size"))
+        taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        target = {r.source: r.target for r in out.select("source", "target").distinct().collect()}
+        assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        by_source = re.findall(r"Exchange hashpartitioning\(_s#\d+, \d+\).*", plan)
+        # The only join by source is the one with the last document, which names the document as well.
+        assert not re.search(r"SortMergeJoin \[_s#\d+\], \[_s#\d+\]", plan), by_source
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_odd_inputs(spark, odd, none):
     out = M.mix(odd).collect()
     assert len(out) == odd.count() and all(r.taken <= 2 * r.size for r in out)
