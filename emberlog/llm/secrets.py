@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from typing import Iterator
 
 import pyarrow as pa
@@ -88,9 +89,20 @@ def dense_spans(text: str, encoding, most: float = MAX_CHARS_PER_TOKEN) -> list[
 
 def spans_of(text: str, encoding, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, str, int]]:
     """All spans by start, then kind; dense strings that touch a base span add nothing and are left out."""
-    base = base_spans(text)
-    taken = [(s, e) for s, _, e in base]
-    more = [d for d in dense_spans(text, encoding, most) if not any(s < d[2] and d[0] < e for s, e in taken)]
+    base = sorted(base_spans(text))
+    starts, ends = [], []  # stretches that base spans cover, in order and apart
+    for start, _, end in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def touches(start: int, end: int) -> bool:
+        before = bisect_left(starts, end) - 1
+        return before >= 0 and ends[before] > start
+
+    more = [d for d in dense_spans(text, encoding, most) if not touches(d[0], d[2])]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from emberlog.llm import secrets as S
 
@@ -52,3 +53,22 @@ def test_random_keys_in_one_case(spark, docs):
     found = sum(("dense", 4, 4 + len(k)) in got[i] for i, k in enumerate(keys))
     print("keys found", found, "of", len(keys))
     assert found >= 0.97 * len(keys) and not any(k == "dense" for i in range(len(keys), len(texts)) for k, _, _ in got[i])
+
+
+def test_a_text_of_many_spans_is_swept_once(spark, docs):
+    """100,000 base spans and as many dense strings, some of which touch a base span."""
+    rng = random.Random(9)
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+    parts = [f"token={i:08d} {keys[i % 200]} {'deadbeef' * 3}x{keys[(i * 7) % 200]}" for i in range(50_000)]
+    text = "\n".join(parts)
+    start = time.time()
+    (row,) = S.find_secrets(docs([(1, text)])).collect()
+    assert time.time() - start < 60
+    got = [tuple(s) for s in row.spans]
+    assert [(s, k, e) for k, s, e in got if k != "dense"] == naive(text)
+    small = "\n".join(parts[:300])
+    base = naive(small)
+    encoding = S._encoding(__import__("public_tokenizers").path(S.RANKS))
+    want = [d for d in S.dense_spans(small, encoding) if not any(s < d[2] and d[0] < e for s, _, e in base)]
+    assert [x for x in S.spans_of(small, encoding) if x[1] == "dense"] == want and len(want) > 200
