@@ -34,12 +34,11 @@ def _normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(text), r"[\x20\x09-\x0D]+", " "))
 
 
-def _passages(lines: str) -> str:
-    """SQL: runs of lines with one level, ``array<struct<level, bodies>>``."""
-    return f"""aggregate({lines}, cast(array() AS array<struct<level: int, bodies: array<string>>>), (runs, x) ->
-        IF(size(runs) > 0 AND element_at(runs, -1).level = x.level,
-           concat(slice(runs, 1, size(runs) - 1), array(named_struct('level', x.level, 'bodies', concat(element_at(runs, -1).bodies, array(x.body))))),
-           concat(runs, array(named_struct('level', x.level, 'bodies', array(x.body))))))"""
+# SQL over ``lines``: where a line has another level than the one before, and the runs of lines from there on,
+# ``array<struct<level, bodies>>``.
+_STARTS = "filter(sequence(0, size(lines) - 1), i -> i = 0 OR lines[i].level <> get(lines, i - 1).level)"
+_PASSAGES = """transform(starts, (s, j) -> named_struct('level', lines[s].level,
+    'bodies', transform(slice(lines, s + 1, coalesce(get(starts, j + 1), size(lines)) - s), x -> x.body)))"""
 
 
 def _units(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,7 +64,8 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("bigint").alias("turn"),
         F.col("conv_id").alias("conv_id"), F.col("role").alias("role"), _parsed_lines(F.col("text")).alias("lines"))
     rows = rows.withColumn("conv", F.coalesce(F.concat(F.lit("="), "conv"), F.lit("")))
-    parts = rows.select("conv", "turn", F.expr(f"posexplode({_passages('lines')})").alias("place", "passage")).filter("turn IS NOT NULL")
+    rows = rows.withColumn("starts", F.expr(_STARTS))
+    parts = rows.filter("turn IS NOT NULL").select("conv", "turn", F.posexplode(F.expr(_PASSAGES)).alias("place", "passage"))
     quotes = parts.filter("passage.level > 0")
     originals = _units(parts.filter("passage.level = 0"), ["conv", "turn"])
     first = originals.groupBy("conv", "unit").agg(F.min("turn").alias("origin"))
@@ -87,7 +87,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
     known = links.join(up, ["conv", "turn"], "left").select(
         F.col("conv").alias("_c"), F.col("turn").alias("_t"), "parent", "thread", "depth", "n_linked")
     out = rows.join(known, (F.col("conv") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-    n_quotes = F.size(F.filter(F.expr(_passages("lines")), lambda p: p.level > 0)).cast("bigint")
+    n_quotes = F.expr("cast(size(filter(starts, s -> lines[s].level > 0)) AS bigint)")
     body = F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.raw), "\n")
     return out.select(
         "conv_id", "turn", "role", "parent", F.coalesce("thread", "turn").alias("thread"),

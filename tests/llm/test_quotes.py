@@ -1,3 +1,6 @@
+import re
+import time
+
 import duckdb
 import pytest
 
@@ -59,3 +62,16 @@ def test_odd_inputs(spark, talk):
     by = {(r.conv_id, r.turn): r for r in out}
     assert by[None, 1].parent == 0 and by[1, 3].parent == 2 and sum(r.turn == 2 for r in out) == 2
     assert reply_order(talk([])).count() == 0
+
+
+def test_a_very_long_message(talk):
+    """100,000 lines in runs of every length, most of them quoted."""
+    lines = [f"{'>' * (i // (1 + i % 7) % 3)} line {i}" for i in range(100_000)]
+    start = time.time()
+    got = {r.turn: r for r in reply_order(talk([(1, 0, "a", "line 5\nline 77777"), (1, 1, "b", "\n".join(lines))])).collect()}
+    assert time.time() - start < 60
+    levels = [len(re.match(">*", x)[0]) for x in lines]
+    runs = [n for i, n in enumerate(levels) if i == 0 or levels[i - 1] != n]
+    assert got[1].n_quotes == sum(n > 0 for n in runs)
+    assert got[1].body == "\n".join(x for x, n in zip(lines, levels) if n == 0)
+    assert got[1].n_linked == sum(levels[i] > 0 for i in (5, 77777))
