@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2
 _SEED = 20_240_229
-_BINS = 4096
+_BINS, _STRETCH = 4096, 64
 # A row of a source takes some hundred bytes; more sources than this are joined by a shuffle that splits hot ones.
 _BROADCAST_SOURCES = 100_000
 
@@ -125,11 +125,17 @@ def mix(
     sums = ranked.groupBy(key, "_bin").agg(
         F.sum(F.when(F.col("_rank").isNotNull(), F.col("size")).otherwise(F.lit(0))).alias("_words"),
         F.sum(F.col("size") * F.col("_sure")).alias("_certain"), F.first("target").alias("_target"))
+    # Bins are summed up in stretches first, so that a source is a window of a few rows on either level.
+    sums = sums.withColumn("_stretch", F.floor(F.col("_bin") / _STRETCH))
     whole = Window.partitionBy("_s")
-    upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.col("_target") - F.sum("_certain").over(whole)
-    bins = sums.withColumn("_gap", gap).withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
-    bins = bins.filter("_bin IS NOT NULL").withColumn("_state", F.expr(
+    upto = Window.unboundedPreceding, Window.currentRow
+    stretches = sums.groupBy("_s", "_stretch").agg(
+        F.sum("_words").alias("_all"), F.sum("_certain").alias("_certain"), F.first("_target").alias("_target"))
+    stretches = stretches.withColumn("_gap", F.col("_target") - F.sum("_certain").over(whole)).withColumn(
+        "_ahead", F.sum("_all").over(whole.orderBy("_stretch").rowsBetween(*upto)) - F.col("_all"))
+    bins = sums.join(stretches.select("_s", "_stretch", "_gap", "_ahead"), ["_s", "_stretch"])
+    within = Window.partitionBy("_s", "_stretch").orderBy("_bin").rowsBetween(*upto)
+    bins = bins.withColumn("_before", F.col("_ahead") + F.sum("_words").over(within) - F.col("_words")).withColumn("_state", F.expr(
         "CASE WHEN _before + _words <= _gap THEN 1 WHEN _before <= _gap THEN 0 ELSE -1 END"))
     bins = bins.select("_s", F.col("_bin").alias("_b"), "_state", (F.col("_gap") - F.col("_before")).alias("_room"))
 
