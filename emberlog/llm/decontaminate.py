@@ -34,10 +34,16 @@ def _gram(at: int, length: int) -> str:
     return "xxhash64(" + ", ".join(f"get(h, pos + {at + i})" for i in range(length)) + ")"
 
 
+def _digest(hashes: str, at: str, length: str) -> str:
+    """SQL: 128 bits of the ``length`` word hashes from place ``at`` on, which stand for the words."""
+    part = f"slice({hashes}, {at} + 1, {length})"
+    return f"struct(xxhash64({part}) AS a, xxhash64(1, {part}) AS b)"
+
+
 def _windows(texts: DataFrame, carried: list[str], span: int, k: int, marker: bool) -> DataFrame:
-    """``(…carried, w, pos, least, off)``: every window with its smallest gram and where that starts in it.
+    """``(…carried, w, h, pos, least, off)``: every window with its smallest gram and where that starts in it.
 
-    With ``marker`` each text has one more row, with position -1.
+    ``w`` are the text's words and ``h`` their hashes.  With ``marker`` each text has one more row, with position -1.
     """
     last = f"size(w) - {span}"
     places = f"sequence(-1, greatest({last}, -1))" if marker else f"IF({last} >= 0, sequence(0, {last}), array())"
@@ -47,7 +53,7 @@ def _windows(texts: DataFrame, carried: list[str], span: int, k: int, marker: bo
     names = [f"g{i}" for i in range(len(grams))]
     rows = rows.withColumn("least", F.least(*names) if len(names) > 1 else F.col(names[0]))
     off = F.coalesce(*[F.when(F.col(g) == F.col("least"), F.lit(i)) for i, g in reversed(list(enumerate(names)))])
-    return rows.select(*carried, "w", "pos", "least", off.alias("off"))
+    return rows.select(*carried, "w", "h", "pos", "least", off.alias("off"))
 
 
 def benchmark_fingerprints(items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -80,41 +86,52 @@ def passages(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     own = ["doc_id", "text_key"]
     rows = _windows(known, own, span, k, marker=True)
+    start = "greatest(lead - off, 0)"
     if size > BROADCAST_BYTES:
-        # The same probe in two steps: which fingerprints occur in any document at all, then those rows alone.
-        seen = rows.filter("least IS NOT NULL").select(F.col("least").alias("print")).distinct()
-        prints = prints.join(seen, "print", "left_semi")
+        # The same probe by a shuffle, of windows without the words around them: a digest tells whether words agree.
+        window = F.expr(f"IF(pos >= 0, {_digest('h', 'pos', str(span))}, NULL)")
+        rows = rows.select(*own, F.size("w").alias("n"), "pos", "least", "off", window.alias("window"))
+        prints = prints.withColumn("ch", F.expr("transform(context, x -> xxhash64(x))")).drop("context")
+        agree = f"window = {_digest('ch', start, str(span))}"
     else:
+        rows = rows.select("*", F.size("w").alias("n"))
         prints = F.broadcast(prints)
+        agree = f"slice(w, greatest(pos, 0) + 1, {span}) = slice(context, {start} + 1, {span})"
     probed = rows.join(prints, F.col("least") == F.col("print"), "left")
-    same = F.expr(f"lead >= off AND slice(w, greatest(pos, 0) + 1, {span}) = slice(context, greatest(lead - off, 0) + 1, {span})")
-    found = probed.filter(same | (F.col("pos") == -1)).select(
-        *own, F.when(F.col("pos") == -1, F.size("w")).alias("n"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"),
+    found = probed.filter(F.expr(f"pos = -1 OR lead >= off AND {agree}")).select(
+        *own, F.when(F.col("pos") == -1, F.col("n")).alias("n"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"),
         F.lit(span).alias("length"), F.when(F.col("pos") >= 0, F.col("item")).alias("item"))
-    for m in sorted(short):
-        found = found.unionByName(_short_hits(known, items.filter(F.size("w") == m), own, m))
+    if short:
+        found = found.unionByName(_short_hits(known, items.filter(F.size("w") < span), own, short))
 
     grouped = found.groupBy(*own).agg(
         F.count("n").alias("copies"), F.max("n").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "length")))).alias("hits"),
         F.array_sort(F.collect_set("item")).alias("items"))
-    merged = F.expr("""aggregate(hits, cast(array() AS array<struct<first: int, end: int>>), (s, x) ->
-        IF(size(s) > 0 AND element_at(s, -1).end >= x.pos,
-           concat(slice(s, 1, size(s) - 1), array(named_struct('first', element_at(s, -1).first, 'end', greatest(element_at(s, -1).end, x.pos + x.length)))),
-           concat(s, array(named_struct('first', x.pos, 'end', x.pos + x.length)))))""")
-    out = grouped.withColumn("spans", merged).withColumn(
-        "n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.first)"))
+    # Every word hit once, in order; a span begins and ends where the next word is not its neighbour.
+    covered = F.expr("array_sort(array_distinct(flatten(transform(hits, x -> sequence(x.pos, x.pos + x.length - 1)))))")
+    out = grouped.withColumn("covered", covered).withColumns({
+        "starts": F.expr("filter(covered, (p, i) -> i = 0 OR get(covered, i - 1) <> p - 1)"),
+        "ends": F.expr("filter(covered, (p, i) -> i = size(covered) - 1 OR get(covered, i + 1) <> p + 1)"),
+        "n_hit": F.expr("cast(size(covered) AS bigint)")})
+    out = out.withColumn("spans", F.expr("transform(starts, (p, i) -> named_struct('first', p, 'end', ends[i] + 1))"))
     rows = out.select("doc_id", "text_key", F.col("n_words").cast("bigint").alias("n_words"), "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.drop("col")
 
 
-def _short_hits(known: DataFrame, items: DataFrame, own: list[str], m: int) -> DataFrame:
-    """Occurrences of items of ``m`` words: every run of ``m`` document words is a window of its own."""
+def _short_hits(known: DataFrame, items: DataFrame, own: list[str], lengths: list[int]) -> DataFrame:
+    """Occurrences of items shorter than a window: runs of each of their lengths, all in one pass."""
+    n, sizes = len(lengths), F.array(*[F.lit(m) for m in sorted(lengths)])
+    # One generator for places and lengths: between two of them whole texts would be copied for every place.
     runs = known.withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).select(
-        *own, "w", "h", F.explode(F.expr(f"IF(size(w) >= {m}, sequence(0, size(w) - {m}), array())")).alias("pos"))
-    whole = items.withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).selectExpr("item", "w AS other", f"{_gram(0, m).replace('pos + ', '')} AS print")
-    hits = runs.withColumn("least", F.expr(_gram(0, m))).join(whole, F.expr(f"least = print AND slice(w, pos + 1, {m}) = other"))
-    return hits.select(*own, F.lit(None).cast("int").alias("n"), "pos", F.lit(m).alias("length"), "item")
+        *own, "h", F.explode(F.expr(f"IF(size(h) > 0, sequence(0, size(h) * {n} - 1), array())")).alias("at"))
+    runs = runs.withColumns({"pos": F.expr(f"at div {n}").cast("int"), "length": F.element_at(sizes, F.col("at") % n + 1)})
+    runs = runs.filter(F.col("pos") + F.col("length") <= F.size("h"))
+    runs = runs.select(*own, "pos", "length", F.expr(_digest("h", "pos", "length")).alias("run"))
+    whole = items.withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).select(
+        "item", F.size("h").alias("_m"), F.expr(_digest("h", "0", "size(h)")).alias("_run"))
+    hits = runs.join(whole, (F.col("run") == F.col("_run")) & (F.col("length") == F.col("_m")))
+    return hits.select(*own, F.lit(None).cast("int").alias("n"), "pos", "length", "item")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:

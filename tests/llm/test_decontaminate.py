@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from samples import words
 
 from emberlog.llm import decontaminate as D
 
@@ -79,3 +81,19 @@ def test_odd_inputs(spark, odd, none):
     clean = D.clean_documents(odd, items)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 2
     assert D.clean_documents(odd.select(F.expr("*")), items.limit(0)).count() == odd.count()
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+def test_a_very_long_text(spark, docs, monkeypatch, limit):
+    """200,000 words with a thousand passages of an item, and one copied whole."""
+    monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+    item = words(1, 300).split()
+    own = words(2, 100_000).split()
+    parts = [own[i * 100 : i * 100 + 100] + item[i % 200 : i % 200 + 12 + i % 9] for i in range(1000)]
+    text = " ".join(w for p in parts for w in p) + " " + " ".join(words(3, 80_000).split())
+    items = spark.createDataFrame([(1, " ".join(item)), (2, words(3, 80_000)), (3, " ".join(item[:4]))], "item_id bigint, text string")
+    start = time.time()
+    (row,) = D.passages(docs([(7, text)]), items).collect()
+    assert time.time() - start < 60
+    assert row.n_words == len(text.split()) and list(row["items"]) == ["1", "2", "3"]
+    assert row.n_hit == sum(len(p) - 100 for p in parts) + 80_000 and len(row.spans) >= 1000
