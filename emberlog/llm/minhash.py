@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ _SEED = 1
 _BASE = 0x100000001B3
 _EMPTY = np.uint16(0xFFFF)
 _CHUNK = 2048
+# Digests sampled per chunk where an id fills chunks by itself.
+_SAMPLED = 64
 
 
 def _functions(slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,51 +186,83 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _chunk_rows(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """Each row with the number of its chunk; chunks go down by id, rows without an id form the last one."""
+def _place(doc_id: int | None, key: bytes) -> tuple[bool, int, bytes]:
+    """Where a row stands: ids descending, rows without one last, ties by the text's digest."""
+    return (True, 0, key) if doc_id is None else (False, -doc_id, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            chunk = [len(bounds) + 1 if i is None else len(bounds) - bisect.bisect_right(bounds, i) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), *batch.columns], ["chunk", *batch.schema.names])
 
-    schema = "chunk int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema)
+def _bounds(known: DataFrame, chunks: int) -> list[tuple[bool, int, bytes]]:
+    """Places that cut the rows into about ``chunks`` chunks, in order; one that comes twice is a text that fills chunks alone.
+
+    Quantiles of the ids, from a sketch.  An id that is several of them, and rows without an id where there are many, are cut
+    further at quantiles of a sample of their texts' digests, some dozens per chunk.
+    """
+    total, nameless = known.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    steps = [i / chunks for i in range(1, chunks)]
+    # A quantile off by half a chunk does no harm: chunks need not be equal.
+    marks = Counter(int(q) for q in known.select("doc_id").approxQuantile("doc_id", steps, 1 / (4 * chunks))) if steps else Counter()
+    out = [_place(i, b"") for i in marks]
+    parts = {i: n for i, n in marks.items() if n > 1}
+    if nameless * chunks > total:
+        out.append(_place(None, b""))
+        parts[None] = nameless * chunks // total
+    if parts:
+        crowded = F.col("doc_id").isin([i for i in parts if i is not None]) | F.col("doc_id").isNull()
+        some = known.filter(crowded).select("doc_id", "key").sample(min(1.0, _SAMPLED * chunks / total), _SEED)
+        keys: dict[int | None, list[bytes]] = {}
+        for row in some.collect():
+            keys.setdefault(row.doc_id, []).append(bytes(row.key))
+        for doc_id, n in parts.items():
+            found = sorted(keys.get(doc_id, []))
+            out += [_place(doc_id, found[len(found) * j // n]) for j in range(1, n) if found]
+    return sorted(out)
+
+
+def _chunk(bounds: list[tuple[bool, int, bytes]]):
+    """The chunk of each row; rows of a text that fills several chunks are dealt over these in turn."""
+    def of(doc_id: pd.Series, key: pd.Series) -> pd.Series:
+        out = []
+        for i, k in zip(doc_id, key):
+            place = _place(None if pd.isna(i) else int(i), bytes(k))
+            low, high = bisect.bisect_left(bounds, place), bisect.bisect_right(bounds, place)
+            out.append(high if high - low < 2 else low + 1 + len(out) % (high - low))
+        return pd.Series(out, dtype="int32")
+
+    return F.pandas_udf(of, "int")(F.col("doc_id").cast("decimal(20,0)").cast("string"), F.col("key"))
 
 
 def compare_with_next(docs: DataFrame, slots: int = SLOTS, shingle: int = SHINGLE, chunks: int | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness, per row of ``docs (doc_id, text)``.
 
-    Rows stand in descending order of ``doc_id``, those without one last, ties by text; after the last comes the
-    first.  A row's edited text ends with the start of the next row's text.  Columns: ``doc_id, n_chars, edited_sha256,
+    Rows stand in descending order of ``doc_id``, those without one last, ties by the text's digest; after the last comes
+    the first.  A row's edited text ends with the start of the next row's text.  Columns: ``doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next``.  A null text is empty; a single row is its own next.
 
-    Ids are cut into chunks at quantiles, read from the id column alone.  Text is shuffled once, by chunk, and each
-    chunk is sorted and streamed with one text looked ahead; the first text of each chunk is sent to the chunk before
-    as well.  Only the quantiles and the first id of each chunk, a few numbers per chunk, come to the driver.
+    The order is cut into chunks at quantiles; an id or a text that fills several chunks is cut as well.  Text is shuffled
+    once, each chunk to a task of its own, and streamed in order with one text looked ahead.  The first text of each
+    chunk is sent to the chunk before as well.  Only the quantiles and the first id of each chunk come to the driver.
     """
     spark = docs.sparkSession
     chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = known.select("doc_id")
-    steps = [i / chunks for i in range(1, chunks)]
-    # A quantile off by half a chunk does no harm: chunks need not be equal.
-    bounds = sorted({int(q) for q in ids.approxQuantile("doc_id", steps, 1 / (4 * chunks))}) if steps else []
-    firsts = {r.chunk: r.first for r in _chunk_rows(ids, bounds).groupBy("chunk").agg(F.max("doc_id").alias("first")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), text_hash(text).alias("key"))
+    bounds = _bounds(known, chunks)
+    # Where no id is cut, digests decide no chunk, and the texts need not be read to find the first ids.
+    ids = known if any(key for _, _, key in bounds) else known.withColumn("key", F.lit(b""))
+    ids = ids.select("doc_id", "key").select("doc_id", _chunk(bounds).alias("chunk"))
+    firsts = {r.chunk: r.first for r in ids.groupBy("chunk").agg(F.max("doc_id").alias("first")).collect()}
     order = sorted(firsts)
     if not order:
         return spark.createDataFrame([], _COMPARED)
-    before = {chunk: order[i - 1] for i, chunk in enumerate(order)}
+    heads = spark.createDataFrame([(c, firsts[c], order[i - 1]) for i, c in enumerate(order)], "_chunk int, _first bigint, _to int")
 
-    rows = _chunk_rows(known, bounds)
-    heads = spark.createDataFrame([(c, firsts[c], before[c]) for c in order], "chunk int, _first bigint, _to int")
-    led = rows.join(F.broadcast(heads), "chunk")  # one row per chunk
-    is_first = F.col("doc_id").eqNullSafe(F.col("_first"))
-    sent = led.select(
-        F.inline(F.when(is_first, F.array(F.struct(F.col("chunk"), F.lit(0).alias("ahead")), F.struct(F.col("_to").alias("chunk"), F.lit(1).alias("ahead"))))
-                 .otherwise(F.array(F.struct(F.col("chunk"), F.lit(0).alias("ahead"))))),
-        "doc_id", "text")
+    placed = known.withColumn("chunk", _chunk(bounds))
+    first_ids = F.broadcast(heads.select("_first").distinct())  # one row per chunk, as below
+    leading = known.join(first_ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").withColumn("chunk", _chunk(bounds))
+    leading = leading.join(F.broadcast(heads), (F.col("chunk") == F.col("_chunk")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    ahead = leading.groupBy("_to").agg(F.min_by(F.struct("doc_id", "text"), "key").alias("_row"))
+    ahead = ahead.select(F.col("_to").alias("chunk"), F.lit(1).alias("ahead"), "_row.doc_id", "_row.text", F.lit(b"").alias("key"))
+    sent = placed.select("chunk", F.lit(0).alias("ahead"), "doc_id", "text", "key").unionByName(ahead)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(doc, text, sig, following, next_sig) -> tuple:
@@ -235,26 +271,23 @@ def compare_with_next(docs: DataFrame, slots: int = SLOTS, shingle: int = SHINGL
             return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), sig.astype(">u2").tobytes().hex(),
                     edit_sig.astype(">u2").tobytes().hex(), likeness(sig, edit_sig), likeness(sig, next_sig))
 
-        held, at, over = None, None, False
+        held, at = None, None
         for batch in batches:
             out = []
-            for chunk, ahead, doc, text in zip(*(batch.column(c) for c in ("chunk", "ahead", "doc_id", "text"))):
-                chunk, ahead, doc = chunk.as_py(), ahead.as_py(), doc.as_py()
+            for chunk, doc, text in zip(*(batch.column(c) for c in ("chunk", "doc_id", "text"))):
+                chunk, doc, text = chunk.as_py(), doc.as_py(), text.as_py()
                 if chunk != at:
-                    held, at, over = None, chunk, False
-                if over:
-                    continue  # of rows that tie for first of the next chunk, one counts
-                text = text.as_py()
+                    held, at = None, chunk
                 sig = signature(text, slots, shingle) if held is None or text != held[1] else held[2]
                 if held is not None:
                     out.append(compared(*held, text, sig))
-                held, over = (doc, text, sig), bool(ahead)
+                held = (doc, text, sig)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), _ARROW)], [f.split()[0] for f in _COMPARED.split(", ")])
 
-    ordered = sent.repartition(chunks, "chunk").sortWithinPartitions("chunk", "ahead", F.desc_nulls_last("doc_id"), "text")
-    return ordered.mapInArrow(run, _COMPARED)
+    ordered = sent.repartitionById(len(bounds) + 1, "chunk").sortWithinPartitions("chunk", "ahead", F.desc_nulls_last("doc_id"), "key")
+    return ordered.select("chunk", "doc_id", "text").mapInArrow(run, _COMPARED)
 
 
 _COMPARED = (

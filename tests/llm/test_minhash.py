@@ -35,7 +35,13 @@ def test_likeness_estimates_jaccard():
 def test_edited_texts(spark, docs, chunks):
     rows = [(i * 3, rng_text) for i, rng_text in enumerate([words(i, i * 7 % 60) for i in range(40)])]
     rows += [(1000, None), (1001, ""), (1002, "é🎉 ab"), (-5, "last of all"), (None, "b without id"), (None, "a without id"), (60, "b tie"), (60, "a tie")]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = by_hand(rows)
+    got = [tuple(r) for r in M.compare_with_next(docs(rows), chunks=chunks).collect()]
+    assert sorted(got, key=str) == want
+
+
+def by_hand(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).digest()))
     want = []
     for i, (doc, text) in enumerate(order):
         text, following = text or "", order[(i + 1) % len(order)][1] or ""
@@ -44,8 +50,20 @@ def test_edited_texts(spark, docs, chunks):
         sig = M.signature(text)
         want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), sig.astype(">u2").tobytes().hex(),
                      M.signature(edited).astype(">u2").tobytes().hex(), M.likeness(sig, M.signature(edited)), M.likeness(sig, M.signature(following))))
-    got = [tuple(r) for r in M.compare_with_next(docs(rows), chunks=chunks).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+def test_one_id_and_one_text_that_fill_chunks(spark, docs):
+    """A third of the rows have one id, a third have none, and half of either are one text."""
+    rows = [(i, words(i, 5)) for i in range(300)]
+    rows += [(150, "the same text" if i % 2 else words(i, 6)) for i in range(300)]
+    rows += [(None, "nameless" if i % 2 else words(i, 7)) for i in range(300)]
+    random.Random(1).shuffle(rows)
+    table = docs(rows)
+    got = M.compare_with_next(table, chunks=30)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == by_hand(rows)
+    sizes = [n for n in got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == 900 and max(sizes) <= 100 and len(sizes) >= 25
 
 
 def test_similar_texts_against_brute_force(spark, docs):
