@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
@@ -265,6 +265,14 @@ def report_rollup(reports: DataFrame) -> DataFrame:
     )
 
 
-def observe_progress(events: DataFrame, matched: Column, name: str = "progress") -> DataFrame:
-    """Count parsed and matched events while they pass through; read as the query's observed metrics."""
+def observe_progress(events: DataFrame, matched: Column, name: str | Observation = "progress") -> DataFrame:
+    """Count parsed and matched events while they pass through; read as the query's observed metrics.
+
+    With an ``Observation`` in place of a name the counts of one action can be had as rows.
+    """
     return events.observe(name, F.count("*").alias("parsed"), F.count_if(matched).alias("matched"))
+
+
+def progress_rows(spark: SparkSession, seen: Observation) -> DataFrame:
+    """``(parsed, matched)`` as observed by the action that has run; waits for it to end."""
+    return spark.createDataFrame([seen.get], "parsed bigint, matched bigint")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
@@ -637,6 +637,26 @@ def _cmd_errors(spark, sf_dir):
     return event_rows(commands.errors(log_lines(spark, sf_dir), n=25, now=NOW))
 
 
+@query("first_of_files", f"""{o.events_cte()} SELECT {EVENT_ROWS} FROM ev WHERE level >= 2
+  ORDER BY source_ord, ev.line LIMIT 25""")
+def _first_of_files(spark, sf_dir):
+    """The first errors of files, read in parts from 16 KB on until there are enough."""
+    folder = scratch_dir(spark)
+    write_logs(log_lines(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    found, read = commands.first_of_files(
+        spark, [f"{folder}/app-*.log"], flt.LogFilter(lv.ERROR), 25, now=NOW, first_bytes=1 << 14, range_bytes=1 << 12)
+    return event_rows(found.withColumn("source", _file_name()))
+
+
+@query("progress", f"{o.events_cte()} SELECT count(*) AS parsed, count(*) FILTER (WHERE level >= 2) AS matched FROM ev")
+def _progress(spark, sf_dir):
+    """What was observed while levels were counted."""
+    seen = Observation("progress")
+    counted = agg.level_counts(agg.observe_progress(events(spark, sf_dir), F.col("level") >= lv.ERROR, seen))
+    counted.write.format("noop").mode("overwrite").save()
+    return agg.progress_rows(spark, seen)
+
+
 @query("cmd_errors_fold", f"""{o.events_cte(fold_sql(_TRACE_SQL, 50))} SELECT {EVENT_ROWS} FROM ev WHERE level >= 2
 ORDER BY source_ord, ev.line LIMIT 25""")
 def _cmd_errors_fold(spark, sf_dir):

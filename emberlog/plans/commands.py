@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
@@ -13,6 +13,9 @@ from emberlog.operators import aggregate, paging
 from emberlog.operators.filters import LogFilter
 from emberlog.operators.fold import fold as fold_lines
 from emberlog.operators.parse import as_lines, parse_events
+from emberlog.session import scratch_dir
+from emberlog.sources.files import LINES_SCHEMA, resolve
+from emberlog.sources.waves import waves
 
 
 def events_of(
@@ -56,6 +59,32 @@ def grep(
     return paging.first_n(events_of(lines, only, **options), n)
 
 
+def first_of_files(
+    spark: SparkSession, paths: list[str], where: LogFilter = LogFilter(), n: int = paging.FIRST,
+    now: datetime | None = None, compat: bool = True, **options,
+) -> tuple[DataFrame, int]:
+    """The first ``n`` matching events of files, and the bytes read to find them.
+
+    Files are read in order, in parts that grow by four, until enough events match; what lies behind is never
+    opened.  ``n`` must be positive.  The events found in each part are written to the scratch folder, not collected.
+    ``options`` are those of ``waves``.
+    """
+    if n <= 0:
+        raise ValueError("to take all events, read the files whole")
+    out, found, read = scratch_dir(spark), 0, 0
+    schema = events_of(spark.createDataFrame([], LINES_SCHEMA), where, now=now, compat=compat).schema
+    parts = []
+    for lines, size in waves(spark, resolve(spark, paths), **options):
+        parts.append(f"{out}/{len(parts)}")
+        paging.first_n(events_of(lines, where, now=now, compat=compat), n - found).write.parquet(parts[-1])
+        found += spark.read.schema(schema).parquet(parts[-1]).count()
+        read += size
+        if found >= n:
+            break
+    events = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    return paging.first_n(events, n), read
+
+
 def page(
     lines: DataFrame, where: LogFilter = LogFilter(), offset: int | None = 0, limit: int | None = paging.PAGE,
     now: datetime | None = None, compat: bool = True,

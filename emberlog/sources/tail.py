@@ -13,7 +13,6 @@ import glob
 import json
 import logging
 import os
-import zlib
 from fnmatch import fnmatchcase
 from typing import Iterator
 
@@ -22,37 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from emberlog.sources.ranges import RANGE_BYTES, as_rows, bytes_of, file_system, is_local, lines_of
+
 _COUNT_SCHEMA = "source_ord int, source string, start bigint, stop bigint, lines bigint"
 _NUMBERED_SCHEMA = "source_ord int, source string, start bigint, stop bigint, floor bigint, first_line bigint"
-RANGE_BYTES = 16 << 20
-_PIECE_BYTES = 1 << 20
-_GZIP = b"\x1f\x8b"
 
 _log = logging.getLogger(__name__)
 
 
-def _is_local(path: str) -> bool:
-    return "://" not in path and not path.startswith("file:")
-
-
-def _file_system(path: str):
-    import pyarrow.fs as pafs
-
-    if _is_local(path) or path.startswith("file:"):
-        return pafs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
-    return pafs.FileSystem.from_uri(path)
-
-
-def _open_file(path: str):
-    fs, plain = _file_system(path)
-    return fs.open_input_file(plain)
-
-
 def _listed(pattern: str) -> dict[str, int]:
     """Size of every file a path or pattern names now."""
     import pyarrow.fs as pafs
 
-    if _is_local(pattern):
+    if is_local(pattern):
         found = {}
         for path in [pattern] if not glob.has_magic(pattern) else glob.glob(pattern, recursive=True):
             try:
@@ -61,7 +42,7 @@ def _listed(pattern: str) -> dict[str, int]:
             except OSError:
                 continue
         return found
-    fs, plain = _file_system(pattern)
+    fs, plain = file_system(pattern)
     prefix = pattern[: len(pattern) - len(plain)]
     if not glob.has_magic(plain):
         infos = [fs.get_file_info(plain)]
@@ -131,7 +112,7 @@ class _RangeStream(DataSourceStreamReader):
     def _save(self, reached: dict) -> None:
         if not self.progress:
             return
-        fs, folder = _file_system(self.progress)
+        fs, folder = file_system(self.progress)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/reached.tmp") as out:
             out.write(json.dumps(reached).encode())
@@ -141,7 +122,7 @@ class _RangeStream(DataSourceStreamReader):
         """What was admitted before a restart, which is never less than what the query's own log holds."""
         if not self.progress:
             return None
-        fs, folder = _file_system(self.progress)
+        fs, folder = file_system(self.progress)
         try:
             with fs.open_input_stream(f"{folder}/reached.json") as file:
                 return json.loads(file.read())
@@ -162,7 +143,7 @@ class _RangeStream(DataSourceStreamReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         try:
-            lines = sum(piece.count(b"\n") for piece in _bytes_of(partition.path, partition.start, partition.stop))
+            lines = sum(piece.count(b"\n") for piece in bytes_of(partition.path, partition.start, partition.stop))
         except FileNotFoundError:
             _log.warning("%s is gone", partition.path)
             lines = 0
@@ -182,63 +163,11 @@ class TailSource(DataSource):
         return _RangeStream(o["paths"], o["from_end"], o["max_bytes"], o["progress"], o["range_bytes"])
 
 
-def _bytes_of(path: str, start: int, stop: int) -> Iterator[bytes]:
-    """Bytes of a range.  A compressed file is unpacked whole by the range it begins with; its other ranges are empty."""
-    with _open_file(path) as file:
-        if file.read(2) == _GZIP:
-            if start == 0:
-                yield from _unpacked(file)
-            return
-        file.seek(start)
-        left = stop - start
-        while left > 0 and (piece := file.read(min(_PIECE_BYTES, left))):
-            left -= len(piece)
-            yield piece
-
-
-def _unpacked(file) -> Iterator[bytes]:
-    file.seek(0)
-    decoder = zlib.decompressobj(31)
-    while piece := file.read(_PIECE_BYTES):
-        while piece:
-            yield decoder.decompress(piece)
-            piece = decoder.unused_data
-            if decoder.eof:
-                decoder = zlib.decompressobj(31)
-
-
-def _line_start(path: str, at: int, floor: int) -> int:
-    """Where the line that goes on at ``at`` begins, not before ``floor``."""
-    if at <= floor:
-        return at
-    with _open_file(path) as file:
-        if file.read(2) == _GZIP:
-            return at
-        while at > floor:
-            begin = max(floor, at - _PIECE_BYTES)
-            file.seek(begin)
-            last = file.read(at - begin).rfind(b"\n")
-            if last >= 0:
-                return begin + last + 1
-            at = begin
-    return floor
-
-
 def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            number, held = row.first_line, []
-            for piece in _bytes_of(row.source, _line_start(row.source, row.start, row.floor), row.stop):
-                first, newline, rest = piece.partition(b"\n")
-                held.append(first)
-                if not newline:
-                    continue
-                some = [b"".join(held), *rest.split(b"\n")]
-                held = [some.pop()]
-                texts = [t.removesuffix(b"\r").decode("utf-8", "replace") for t in some]
-                yield pd.DataFrame({
-                    "source_ord": row.source_ord, "source": row.source, "line": range(number, number + len(texts)), "text": texts})
-                number += len(texts)
+            found = lines_of(row.source, row.start, row.stop, row.floor, row.first_line)
+            yield from as_rows(row.source_ord, row.source, found)
 
 
 class _Numbers(StatefulProcessor):

@@ -1,11 +1,16 @@
 import gzip
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from emberlog.operators.filters import LogFilter
+from emberlog.plans.commands import first_of_files
 from emberlog.sources import files
 from emberlog.sources.files import read_lines, resolve
 from emberlog.sources.lines import split_lines
 
+NOW = datetime(2026, 12, 31)
+
 
 def got(df):
     return sorted((r.source_ord, r.source.rsplit("/", 1)[-1], r.line, r.text) for r in df.collect())
@@ -95,3 +100,34 @@ def test_lines_of_texts(spark):
     assert sorted((r.id, r.line, r.text) for r in split_lines(df).collect()) == [(1, 1, "a"), (1, 2, "b"), (3, 1, ""), (4, 1, "x")]
     raw = sorted((r.id, r.line, r.text) for r in split_lines(df, raw=True).collect())
     assert raw == [(1, 1, "a\r"), (1, 2, "b"), (1, 3, ""), (2, 1, ""), (3, 1, ""), (3, 2, ""), (4, 1, "x")]
+
+
+def test_the_first_events_read_a_few_ranges(spark, tmp_path):
+    """Ten errors of 40 MB of files are found in the first 64 KB; more are sought in parts that grow."""
+    for name in ("a.log", "b.log"):
+        with open(tmp_path / name, "w") as f:
+            for i in range(1, 400_001):
+                f.write(f"{'ERROR' if i % 20 == 0 else 'INFO'} line {i} {'x' * 30}\n")
+    paths, errors = [f"{tmp_path}/*.log"], LogFilter(level=2)
+    options = {"first_bytes": 1 << 16, "range_bytes": 1 << 14}
+    found, read = first_of_files(spark, paths, errors, 10, now=NOW, **options)
+    assert [r.line for r in found.collect()] == list(range(20, 201, 20)) and read == 1 << 16
+    found, read = first_of_files(spark, paths, errors, 25_000, now=NOW, first_bytes=1 << 21)
+    rows = found.collect()
+    assert [(r.source_ord, r.line) for r in rows] == [(0, i) for i in range(20, 400_001, 20)] + [(1, i) for i in range(20, 100_001, 20)]
+    assert read == (1 << 21) * 21 or read == sum(f.stat().st_size for f in tmp_path.iterdir())
+
+
+def test_first_events_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"ERROR nul\0\n" * 100)
+    with gzip.open(tmp_path / "b.log", "wb") as f:
+        f.write(b"".join(b"ERROR packed %d\r\n" % i for i in range(5000)) + b"ERROR open end")
+    (tmp_path / "c.log").write_text("")
+    (tmp_path / "d.log").write_bytes(b"ERROR " + b"y" * 5000 + b"\nERROR last")
+    paths = [f"{tmp_path}/*.log", f"{tmp_path}/none", f"{tmp_path}/d.log"]
+    found, read = first_of_files(spark, paths, LogFilter(level=2), 6000, now=NOW, first_bytes=100, range_bytes=40)
+    rows = [(r.source.rsplit("/", 1)[-1], r.line, len(r.raw)) for r in found.collect()]
+    packed = [("b.log", i + 1, len(f"ERROR packed {i}")) for i in range(5000)] + [("b.log", 5001, 14)]
+    assert rows == packed + [("d.log", 1, 5006), ("d.log", 2, 10)] * 2
+    none, read = first_of_files(spark, [f"{tmp_path}/none"], n=3)
+    assert none.count() == 0 and read == 0

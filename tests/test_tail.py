@@ -5,6 +5,7 @@ import random
 import pytest
 from test_streaming import Sink, append, keys
 
+from emberlog.sources import ranges as R
 from emberlog.sources import tail as T
 from emberlog.sources.tail import tail_lines
 
@@ -19,7 +20,7 @@ def ranges(r, start, end):
 
 def test_the_driver_opens_no_file(tmp_path, monkeypatch):
     append(tmp_path / "a.log", "x" * 25)
-    monkeypatch.setattr(T, "_open_file", lambda path: pytest.fail("opened"))
+    monkeypatch.setattr(R, "open_file", lambda path: pytest.fail("opened"))
     r = reader([tmp_path / "*.log"])
     start = r.initialOffset()
     assert list(start.values()) == [0]
