@@ -3,11 +3,23 @@
 Only what decides whether a line matches is carried over; group names and greediness are not needed for
 that and are dropped.  Constructs RE2 does not have (lookaround, backreferences, possessive repeats) raise
 ``ValueError``, so a bad pattern fails before any job runs.
+
+Java tries alternatives one after the other, which can take time exponential in the line.  ``backtracks`` tells patterns
+for which that may be; these are matched by RE2 itself, in Arrow batches, in time linear in the line.  Strings that every
+match holds (``required_strings``) are looked for first.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
@@ -48,6 +60,9 @@ _SCRIPTS = frozenset("""
     Tirhuta Ugaritic Vai Wancho Warang_Citi Yezidi Yi Zanabazar_Square
 """.split())
 _MOST_REPEATS = 1000
+# Open repeats outside of each other: with two the time is quadratic at worst where the second fails.
+_OPEN_REPEATS = 2
+_SHORTEST = 2
 
 
 class _Reader:
@@ -251,3 +266,106 @@ def to_java(pattern: str) -> str:
     if len(scopes) > 1:
         raise _bad(pattern, "missing )")
     return out
+
+
+@dataclass
+class _Group:
+    """What the reader of a group has seen: repeats or alternatives in it, and literal runs of its branches."""
+
+    nested: bool = False
+    branches: list[list[str]] = field(default_factory=lambda: [[]])
+    run: str = ""
+
+    def close(self) -> None:
+        if len(self.run) >= _SHORTEST:
+            self.branches[-1].append(self.run)
+        self.run = ""
+
+
+def _survey(pattern: str) -> tuple[bool, list[list[str]]]:
+    """Whether matching may backtrack without bound, and the strings each top branch needs; of a pattern ``to_java`` takes."""
+    r, groups, open_repeats, risky, folded = _Reader(pattern), [_Group()], 0, False, False
+    last: str | _Group | None = None  # what a repeat would apply to: a character, a group, or neither
+    while not r.done():
+        here = groups[-1]
+        repeat = r.match(_REPEAT) if last is not None else None
+        if last is not None and (repeat or r.text[r.at] in "*+?"):
+            mark = repeat[0] if repeat else r.take()
+            low = int(repeat[1]) if repeat else int(mark == "+")
+            many = mark in ("*", "+") or bool(repeat) and (repeat[2] == "" or int(repeat[2] or low) > 1)
+            if r.rest("?"):
+                r.take()
+            if isinstance(last, str) and last and here.run:
+                here.run = here.run if low else here.run[:-1]
+            here.close()
+            here.nested = True
+            open_repeats += mark in ("*", "+") or bool(repeat) and repeat[2] == ""
+            risky = risky or many and isinstance(last, _Group) and last.nested
+            last = None
+            continue
+        char, last = r.take(), ""
+        if char == "\\" and r.rest("Q"):
+            end = r.text.find("\\E", r.at)
+            body = r.take((end if end >= 0 else len(r.text)) - r.at)[1:]
+            r.take(2)
+            here.run, last = here.run + body, body[-1:]
+        elif char == "\\":
+            escaped = r.text[r.at]
+            _escape(r, in_class=False)
+            if escaped.isascii() and not escaped.isalnum():
+                here.run, last = here.run + escaped, escaped
+            else:
+                here.close()
+        elif char == "[":
+            _char_class(r)
+            here.close()
+        elif char == "(":
+            here.close()
+            r.at -= 1
+            group = r.match(_GROUP)
+            if group is None:
+                r.at += 1
+            folded = folded or "i" in (group[2] or "" if group else "")
+            if group is None or group[3] != ")":
+                groups.append(_Group())
+            last = None
+        elif char == ")":
+            here.close()
+            last = groups.pop()
+            groups[-1].nested = groups[-1].nested or last.nested
+        elif char == "|":
+            here.close()
+            here.branches.append([])
+            here.nested = True
+            last = None
+        elif char in "^$.":
+            here.close()
+        else:
+            here.run, last = here.run + char, char
+    groups[0].close()
+    strings = groups[0].branches
+    return risky or open_repeats > _OPEN_REPEATS, strings if all(strings) and not folded else []
+
+
+def backtracks(pattern: str) -> bool:
+    """Whether Java may take more than quadratic time: a repeat around repeats or alternatives, or many open repeats."""
+    return _survey(pattern)[0]
+
+
+def required_strings(pattern: str) -> list[list[str]]:
+    """For each top alternative strings that all of its matches hold; empty where nothing is known."""
+    return _survey(pattern)[1]
+
+
+def found_in(text: Column, pattern: str) -> Column:
+    """Whether the pattern (RE2 syntax) is found in a text; ``ValueError`` for a bad one."""
+    java = to_java(pattern)
+    if backtracks(pattern):
+        def linear(texts: pa.Array) -> pa.Array:
+            return pc.match_substring_regex(texts, pattern)
+
+        found = F.arrow_udf(linear, "boolean")(text)
+    else:
+        found = text.rlike(java)
+    needs = [reduce(and_, [text.contains(s) for s in branch]) for branch in required_strings(pattern)]
+    return reduce(or_, needs) & found if needs else found

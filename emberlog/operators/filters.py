@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
 from emberlog.functions.clock import parse_duration, parse_rfc3339
-from emberlog.functions.patterns import to_java
+from emberlog.functions.patterns import found_in, to_java
 from emberlog.functions.timestamps import now_column
 from emberlog.operators import paging
 
@@ -24,7 +24,7 @@ def min_level(minimum: int) -> Column:
 
 def raw_matches(pattern: str) -> Column:
     """The pattern (RE2 syntax) is found anywhere in the whole line."""
-    return F.col("raw").rlike(to_java(pattern))
+    return found_in(F.col("raw"), pattern)
 
 
 def since(moment: datetime | Column) -> Column:

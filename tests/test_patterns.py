@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions.clock import parse_duration, parse_rfc3339, percent
-from emberlog.functions.patterns import to_java
-from emberlog.operators.filters import LogFilter
+from emberlog.functions.patterns import backtracks, found_in, required_strings, to_java
+from emberlog.operators.filters import LogFilter, raw_matches
 
 TEXTS = [
     "", "abc", "ABC def", "é1", "a1 b2", "line\n", "line\nnext", "x\x0by", "tab\tx", "a]b[c", "x&&y", "50%", "été", "a_b-c",
@@ -33,6 +33,39 @@ def test_patterns_match_like_re2(spark):
             assert row[f"p{n}"] == want, (TEXTS[row.i], pattern, to_java(pattern))
 
 
+HARD = [
+    "(a+)+b", "(a|a)*b", "(a*)*$", "(?:x+x+)+y", "(a{1,5}){2,}b", "((ab)+c?)+d", ".*a.*b.*c", "(?i)(t|T)*x", "(é|.)+z", r"(\w+\s?)+$", "(a|b)+$",
+]
+EASY = {
+    "timeout": [["timeout"]], "a+b": [], "timeout|refused": [["timeout"], ["refused"]], "(?i)timeout": [], "time(out)?": [["time"]],
+    r"err: \d+ of [ab]c": [["err: ", " of "]], r"\[pid\] x*yz": [["[pid] ", "yz"]], "abc|.": [], r"\Qa.b\E+c": [["a.b"]], "ab{0,2}cd": [["cd"]],
+    "abc?d": [["ab"]], "(?P<n>xy)zz": [["zz"]], "héé+": [["héé"]],
+}
+
+
+def test_what_patterns_need_and_which_backtrack():
+    assert all(backtracks(p) for p in HARD)
+    assert not any(backtracks(p) for p in EASY)
+    assert {p: required_strings(p) for p in EASY} == EASY
+
+
+def test_found_in_agrees_with_re2_whatever_the_way(spark):
+    con = duckdb.connect()
+    texts = TEXTS + ["timeout refused", "err: 5 of bc", "a.bbb c a.bc", "[pid] yz", "aaaaab", "xxxy", "T" * 40 + "x", "acd abbcd", None]
+    patterns = PATTERNS + HARD + list(EASY)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for row in frame.select("i", *[found_in(F.col("t"), p).alias(f"p{n}") for n, p in enumerate(patterns)]).collect():
+        for n, pattern in enumerate(patterns):
+            want = con.execute("SELECT regexp_matches(?, ?)", [texts[row.i], pattern]).fetchone()[0]
+            assert row[f"p{n}"] == want, (texts[row.i], pattern)
+
+
+def test_a_pattern_that_backtracks_ends(spark):
+    frame = spark.createDataFrame([("a" * 500_000,), ("a" * 500_000 + "b",)], "raw string")
+    for pattern in ("(a+)+b", "(a|a)*b$", "(a*)*b"):
+        assert frame.filter(raw_matches(pattern)).count() == 1
+
+
 @pytest.mark.parametrize("pattern", BAD)
 def test_patterns_re2_does_not_have(pattern):
     with pytest.raises(ValueError):
