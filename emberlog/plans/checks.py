@@ -941,6 +941,29 @@ def _admission_stream(spark, sf_dir):
     return spark.read.schema(decided.schema).parquet(path).select("event_id", "user_id", "admitted")
 
 
+_LATENESS = timedelta(days=1)
+
+
+@query("admission_late", f"""{ADMISSION_SQL} SELECT event_id, user_id, admitted FROM a
+WHERE t < (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - {_LATENESS // timedelta(microseconds=1)}""")
+def _admission_late(spark, sf_dir):
+    """Events up to a day out of order, in six batches; those the watermark has passed have the decisions of the batch form."""
+    path = scratch_dir(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(_LATENESS // timedelta(seconds=1)))
+    arrival = F.unix_timestamp("ts") + delay
+    ends = events.agg(F.min(arrival).alias("_low"), F.max(arrival).alias("_high"))
+    batch = F.floor((arrival - F.col("_low")) * 6 / (F.col("_high") - F.col("_low") + 1))
+    arrived = events.crossJoin(F.broadcast(ends)).withColumn("batch", batch)  # one row
+    for n in range(6):
+        arrived.filter(F.col("batch") == n).select(*events.columns).coalesce(1).write.mode("append").parquet(path + "-in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path + "-in")
+    decided = admission_stream(stream, "user_id", "ts", _LIMIT, _WINDOW, ["event_id"], lateness=_LATENESS)
+    writer = decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decided.schema).parquet(path).select("event_id", "user_id", "admitted")
+
+
 @query("active_keys", f"""{ADMISSION_SQL} SELECT user_id, strftime(make_timestamp(max(t)), '%Y-%m-%d %H:%M:%S.%f') AS last_admitted
 FROM a WHERE admitted GROUP BY user_id HAVING max(t) > epoch_us(TIMESTAMP '2024-01-30 00:00:00') - 36000000000""")
 def _active_keys(spark, sf_dir):

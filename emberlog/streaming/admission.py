@@ -8,6 +8,7 @@ from datetime import timedelta
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,13 +43,97 @@ class _Gate(StatefulProcessor):
         pass
 
 
+class _OrderedGate(StatefulProcessor):
+    """State per key: its events that the watermark has not passed, in frames as they came, and the admitted times.
+
+    A timer of event time stands at the key's earliest waiting event; when the watermark passes it, all events before the
+    watermark are decided in order.  A key without waiting events keeps a timer for the end of its last window, which
+    ends its state.
+    """
+
+    def __init__(self, columns: list[str], ts: str, limit: int, window: int, order: list[str]):
+        self.columns, self.ts, self.order, self.limit, self.window = columns, ts, order, limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getValueState("recent", "times array<bigint>")
+        self.waiting = handle.getListState("waiting", "frame binary")
+
+    def _times(self, frame: pd.DataFrame) -> pd.Series:
+        return frame[self.ts].astype("datetime64[us]").astype("int64")
+
+    def _keep(self, frame: pd.DataFrame) -> None:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+
+    def _wake_at(self, moment: int, fired: int | None = None) -> None:
+        """One timer per key, at the earliest moment asked for, in microseconds; the one that just fired does not count."""
+        ms, held = moment // 1000, [t for t in self.handle.listTimers() if t != fired]
+        if any(t <= ms for t in held):
+            return
+        for t in held:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(ms, 0))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame.columns = self.columns  # computed columns arrive without their names
+            self._keep(frame)
+            self._wake_at(int(self._times(frame).min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, fired = timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs()
+        held = self.recent.get()
+        recent = deque(held[0] if held else [])
+        frames = [pa.ipc.open_stream(bytes(f[0])).read_pandas() for f in self.waiting.get()]
+        self.waiting.clear()
+        if frames:
+            frame = pd.concat(frames)
+            frame["_at"] = self._times(frame)
+            late = frame["_at"] >= passed
+            if late.any():
+                rest = frame[late]
+                self._keep(rest.drop(columns="_at"))
+                self._wake_at(int(rest["_at"].min()), fired)
+            ready = frame[~late].sort_values(["_at", *self.order])
+            admitted = []
+            for at in ready["_at"]:
+                while recent and recent[0] <= at - self.window:
+                    recent.popleft()
+                admitted.append(len(recent) < self.limit)
+                if admitted[-1]:
+                    recent.append(int(at))
+            if len(ready):
+                yield ready.drop(columns="_at").assign(admitted=admitted)
+        # Later events come at the watermark or after it.
+        while recent and recent[0] <= passed - self.window:
+            recent.popleft()
+        if recent:
+            self.recent.update((list(recent),))
+            self._wake_at(recent[-1] + self.window + 1000, fired)
+        else:
+            self.recent.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def admission_stream(
     events: DataFrame, key: str, ts: str, limit: int, window: timedelta, tie_break: list[str],
-    idle_ttl: timedelta | None = None,
+    idle_ttl: timedelta | None = None, lateness: timedelta | None = None,
 ) -> DataFrame:
     """As ``admission``, over events that arrive in order; a key's state ends after ``idle_ttl`` without an event.
 
-    The time to live runs by the clock, so it must not be shorter than the window, or a key's events would be
+    With ``lateness`` events may arrive in any order up to so much behind the latest one.  They wait until the
+    watermark has passed them and get the decisions that ``admission`` makes; a key's state ends with its last window.
+    Events that come later still are dropped by the watermark, and the last events of a stream wait for later ones.
+    ``ts`` must not be null then.
+
+    Without it a key's events are decided as they come.  The time to live runs by the clock, so it must not be shorter than the window, or a key's events would be
     forgotten while they count.  A stream that runs on needs one; without it keys are kept for ever, which suits a
     stream that ends, as one with a time to live never does (``availableNow`` waits for its timers).
     """
@@ -57,6 +142,10 @@ def admission_stream(
     micros = window // timedelta(microseconds=1)
     ttl_ms = None if idle_ttl is None else idle_ttl // timedelta(milliseconds=1)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    if lateness is not None:
+        ordered = _OrderedGate(events.columns, ts, limit, micros, tie_break)
+        late = events.withWatermark(ts, f"{lateness // timedelta(milliseconds=1)} milliseconds")
+        return late.groupBy(key).transformWithStateInPandas(ordered, f"{fields}, admitted boolean", "Append", "EventTime")
     gate = _Gate(events.columns, ts, limit, micros, tie_break, ttl_ms)
     return events.groupBy(key).transformWithStateInPandas(
         gate, f"{fields}, admitted boolean", "Update", "ProcessingTime" if ttl_ms else "None")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from emberlog.operators.admission import admission
 from emberlog.operators.filters import LogFilter
 from emberlog.operators.fold import fold
 from emberlog.sources.tail import tail_lines
@@ -165,3 +166,27 @@ def test_admission_over_batches(spark, tmp_path):
     add([("a", 12, 4), ("b", 9, 5)])
     second = {r.event: r.admitted for r in Sink(stream, tmp_path / "cp", "update").wait()}
     assert first == {1: True, 2: True, 3: False} and second == {4: True, 5: False}
+
+
+def test_late_events_are_decided_in_order_and_idle_keys_end(spark, tmp_path):
+    rng, path, rows = random.Random(8), str(tmp_path / "in"), []
+    schema = "key string, ts timestamp, event bigint, name string"
+    times = sorted(rng.randrange(3_000) for _ in range(400))
+    events = [(f"k{rng.randrange(4)}" if t < 1_500 else "last", t, i, None if i % 9 == 0 else f"n{i}") for i, t in enumerate(times)]
+    arriving = sorted(events, key=lambda e: e[1] + rng.random() * 99)
+    (tmp_path / "in").mkdir()
+    stream = admission_stream(
+        spark.readStream.schema(schema).parquet(path), "key", "ts", 2, timedelta(seconds=60), ["event"], lateness=timedelta(seconds=100))
+    for n in range(0, 400, 80):
+        part = spark.createDataFrame(arriving[n : n + 80], "key string, at bigint, event bigint, name string")
+        part.select("key", F.timestamp_seconds("at").alias("ts"), "event", "name").repartition(3).write.mode("append").parquet(path)
+        sink = Sink(stream, tmp_path / "cp")
+        rows += sink.wait()
+    whole = spark.createDataFrame(events, "key string, at bigint, event bigint, name string")
+    whole = whole.select("key", F.timestamp_seconds("at").alias("ts"), "event", "name")
+    want = {r.event: r.admitted for r in admission(whole, "key", "ts", 2, timedelta(seconds=60), ["event"]).collect()}
+    passed = max(t for _, t, _, _ in events) - 100
+    assert {r.event: r.admitted for r in rows} == {e: want[e] for _, t, e, _ in events if t < passed}
+    assert {(r.event, r.name) for r in rows} == {(e, name) for _, t, e, name in events if t < passed}
+    held = sink.query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert 0 < held <= 4  # of five keys only the last one holds times, a frame and a timer
