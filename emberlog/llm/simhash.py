@@ -15,8 +15,9 @@ the Jaccard similarity of the texts' shingles.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
+from math import ceil, log1p
 from typing import Iterator
 
 import numpy as np
@@ -53,13 +54,21 @@ class SimHashPlan:
     block_bits: int = BLOCK_BITS
     blocks: tuple = field(init=False)
 
+    @property
+    def coordinates(self) -> int:
+        """Bytes of coordinates that a row of a cell carries: distances up to 64 fit one byte each."""
+        return _FULL_PIVOTS if self.length == 1 else 0
+
     def __post_init__(self):
         if not self.tables and self.radius > 2:
             raise ValueError("fixed blocks find pairs up to radius 2 only")
         bits = 64 * self.length
         if self.tables:
             rng = np.random.default_rng(_SEED)
-            chosen = [(tuple(int(b) for b in rng.choice(bits, self.block_bits, replace=False)),) for _ in range(self.tables)]
+            drawn = [rng.choice(bits, self.block_bits, replace=False) for _ in range(self.tables)]
+            # A block longer than the pivots' table is looked up in parts.
+            parts = -(-self.block_bits // BLOCK_BITS)
+            chosen = [tuple(tuple(int(b) for b in part) for part in np.array_split(block, parts)) for block in drawn]
         else:
             fixed = [tuple(range(i, i + BLOCK_BITS)) for i in range(0, bits, BLOCK_BITS)]
             chosen = list(combinations(fixed, len(fixed) - self.radius))
@@ -71,9 +80,28 @@ EXACT = SimHashPlan()
 # Five-word shingles and a Jaccard similarity of 0.8, where about 39 of 256 bits differ, 48 in texts of eight and nine
 # words.  The radius only spares unlike texts (128 bits) the test: 72 is nearly four standard deviations above 48.  A
 # pair shares one of the 64 cells with a probability of about 0.99, of 0.97 where 48 bits differ.
+_ALIKE_BITS = 39 / 256
 CORPUS = SimHashPlan(shingle=5, length=4, radius=72, tables=64, jaccard=0.8, block_bits=14)
 
 
+# A cell holds this many texts on average at most.
+_TEXTS_A_CELL = 1024
+
+
+def plan_for(texts: int, plan: SimHashPlan = CORPUS) -> SimHashPlan:
+    """The plan with blocks as long as the number of texts asks for, and as many tables as keep its recall.
+
+    A longer block is shared less often by texts that are alike, which more tables make up for: with ``p`` the
+    probability to share one block, ``(1 - p) ** tables`` stays what it is for ``plan``.
+    """
+    bits = max(plan.block_bits, (max(texts, 1) // _TEXTS_A_CELL).bit_length())
+    if not plan.tables or bits == plan.block_bits:
+        return plan
+    share = [(1 - _ALIKE_BITS) ** n for n in (plan.block_bits, bits)]
+    tables = ceil(plan.tables * log1p(-share[0]) / log1p(-share[1]))
+    return replace(plan, block_bits=bits, tables=tables)
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     """Mix 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -155,19 +183,28 @@ class _CellKeys:
 
 
 def cells(sigs: DataFrame, plan: SimHashPlan, *carried: str) -> DataFrame:
-    """``(cell, sig, *carried)``: each row once per table, under the key of its fingerprint's block coordinates."""
+    """``(cell, sig, *carried)``: each row once per table, under the key of its fingerprint's block coordinates.
+
+    Short fingerprints are followed by their coordinates, which are so computed once for all cells they are in.
+    """
 
     names = ["sig", *carried]
+    width, coordinates = 8 * plan.length, plan.coordinates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _CellKeys(plan)
+        keys, pivots = _CellKeys(plan), _full_pivots(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                key = keys.of(_as_matrix(part.column("sig"), 8 * plan.length))
+                sigs = _as_matrix(part.column("sig"), width)
+                key = keys.of(sigs)
                 rows = pa.array(np.repeat(np.arange(len(key)), key.shape[1]))
+                first = part.column("sig")
+                if coordinates:
+                    table = pivot_table(sigs.view(np.uint64), pivots).astype(np.uint8)
+                    first = pa.array([r.tobytes() for r in np.concatenate([sigs, table], axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel()), *(part.column(c).take(rows) for c in names)], ["cell", *names]
+                    [pa.array(key.ravel()), first.take(rows), *(part.column(c).take(rows) for c in carried)], ["cell", *names]
                 )
 
     return sigs.select(*names).mapInArrow(run, "cell bigint, " + ", ".join(f"{c} binary" for c in names))
@@ -196,31 +233,56 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.nd
     yield joined()
 
 
-def _near(x: np.ndarray, y: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs of rows are within the radius: coordinates first, bits of what is left."""
-    keep = np.ones(len(x), bool)
-    for pivot in pivots:
+def pivot_table(words: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to all full pivots, one row each: their coordinates."""
+    return np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+
+
+def not_discarded(table: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs may be within the radius: no coordinate differs by more."""
+    keep = np.ones(len(first), bool)
+    for at in range(0, table.shape[1], 4):
         left = np.flatnonzero(keep)
-        if not len(left):
-            return keep
-        a = np.bitwise_count(x[left] ^ pivot).sum(axis=1, dtype=np.int16)
-        b = np.bitwise_count(y[left] ^ pivot).sum(axis=1, dtype=np.int16)
-        keep[left] = np.abs(a - b) <= radius
+        keep[left] = (np.abs(table[first[left], at : at + 4] - table[second[left], at : at + 4]) <= radius).all(axis=1)
+    return keep
+
+
+def _near(words: np.ndarray, table: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows are within the radius: coordinates look it up first, the bits of the survivors verify it."""
+    keep = not_discarded(table, first, second, radius)
     left = np.flatnonzero(keep)
-    keep[left] = np.bitwise_count(x[left] ^ y[left]).sum(axis=1, dtype=np.int16) <= radius
+    keep[left] = np.bitwise_count(words[first[left]] ^ words[second[left]]).sum(axis=1, dtype=np.int16) <= radius
     return keep
 
 
+def _near_in_cell(words: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one cell within the radius: candidates share a window of the first coordinate."""
+    order = np.argsort(table[:, 0], kind="stable")
+    along = table[order, 0]
+    ends = np.searchsorted(along, along + radius, side="right")
+    found = []
+    for at in range(0, len(order), 64):
+        n = ends[at : at + 64] - np.arange(at, min(at + 64, len(order))) - 1
+        first = np.repeat(np.arange(at, at + len(n)), n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = order[first], order[second]
+        hit = _near(words, table, x, y, radius)
+        found.append((x[hit], y[hit]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(x[:, None, i] ^ y[None, :, i]).astype(np.int16) for i in range(x.shape[1]))
 
 
-def _spanning(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(words: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join all rows within the radius of each other into their components."""
-    near = _distances(words, words) <= radius
+    first, second = _near_in_cell(words, table, radius)
     label = np.arange(len(words))
     while True:
-        lower = np.where(near, label[None, :], len(words)).min(axis=1)
+        lower = label.copy()
+        np.minimum.at(lower, first, label[second])
+        np.minimum.at(lower, second, label[first])
         if (lower == label).all():
             break
         label = lower
@@ -283,13 +345,14 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
     rows are near that one, so a cell makes no more links than it has rows; rows that may be near others but are not
     linked are given as ``(a, null)``, for ``pairs_apart``.
     """
-    width = 8 * plan.length
+    width, coordinates = 8 * plan.length, plan.coordinates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = _full_pivots(width)
         crowded, stars = None, None
-        for keys, sigs in _runs(batches, width):
-            words = np.ascontiguousarray(sigs).view(np.uint64)
+        for keys, sigs in _runs(batches, width + coordinates):
+            words = np.ascontiguousarray(sigs[:, :width]).view(np.uint64)
+            table = sigs[:, width:].astype(np.int16) if coordinates else pivot_table(words, pivots)
             found: list[tuple] = []
             near_first, near_second = [], []
             edges = np.flatnonzero(np.diff(keys)) + 1
@@ -300,7 +363,7 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                 first = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d]) if len(keys) > d else []
                 if not len(first):
                     break
-                first = first[_near(words[first], words[first + d], pivots, plan.radius)]
+                first = first[_near(words, table, first, first + d, plan.radius)]
                 near_first.append(first), near_second.append(first + d)
             if near_first:
                 first, second = np.concatenate(near_first), np.concatenate(near_second)
@@ -320,7 +383,7 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                         for at in range(0, len(here), _CELL):
                             found.extend(stars.add(here[at : at + _CELL]))
                 elif plan.jaccard is None:
-                    child, parent = _spanning(here, plan.radius)
+                    child, parent = _spanning(here, table[s:e], plan.radius)
                     found.append((here[child], here[parent]))
                 else:
                     found.append((here[(_distances(here, here) <= plan.radius).sum(axis=1) > 1], None))
@@ -370,6 +433,7 @@ def pairs_apart(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
             keys, sigs = batch.column("cell").to_numpy(), _as_matrix(batch.column("sig"), width)
             roots = batch.column("root").dictionary_encode().indices.to_numpy()
             words = sigs.view(np.uint64)
+            table = pivot_table(words, pivots)
             starts = np.flatnonzero(group_starts(batch.column("cell")))
             sizes = np.diff(np.append(starts, len(keys)))
             mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
@@ -381,7 +445,7 @@ def pairs_apart(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                     if not len(x):
                         break
                     x = x[roots[x] != roots[x + d]]
-                    x = x[_near(words[x], words[x + d], pivots, plan.radius)]
+                    x = x[_near(words, table, x, x + d, plan.radius)]
                     yield x, x + d
                 for s, n in zip(starts[mixed & (sizes > _SMALL)], sizes[mixed & (sizes > _SMALL)]):
                     for x, y in _blocks_apart(words[s : s + n], roots[s : s + n], plan.radius):
@@ -498,7 +562,7 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     else:
         node = "text_key"
         texts = checkpoint(rows.groupBy("text_key").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")))
-        links = _similar_links(docs, texts, plan)
+        links = _similar_links(docs, texts, plan_for(texts.count(), plan))
     roots = components(links)
     smallest = rows.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("own"))
     joined = roots.join(smallest, "node").groupBy("root").agg(F.min("own").alias("component_id"))

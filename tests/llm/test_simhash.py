@@ -225,3 +225,33 @@ def test_recall_by_length(spark, docs):
     assert sum(within) >= 0.998 * len(within)
     assert min(found.values()) >= 90
     assert len(set(got.values())) >= len(rows) // 2
+
+
+def test_coordinates_discard_and_the_rest_is_verified():
+    """Random and near fingerprints: no near pair is discarded, and of the others nearly all are."""
+    rng = np.random.default_rng(11)
+    words = rng.integers(0, 1 << 63, (500, 1), np.uint64) * np.uint64(2)
+    for i in range(0, 500, 5):
+        words[i + 1] = words[i] ^ np.uint64(1 << int(rng.integers(64)))
+        words[i + 2] = words[i + 1] ^ np.uint64(1 << int(rng.integers(64)))
+    table = S.pivot_table(words, S._full_pivots(8))
+    first, second = np.triu_indices(500, 1)
+    near = np.bitwise_count(words[first] ^ words[second]).sum(axis=1) <= 2
+    kept = S.not_discarded(table, first, second, 2)
+    assert not (near & ~kept).any() and near.sum() >= 300
+    print("pairs", len(near), "near", near.sum(), "not discarded", kept.sum())
+    assert (kept & ~near).sum() < 0.001 * len(near)
+    x, y = S._near_in_cell(words, table, 2)
+    assert {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())} == set(zip(first[near].tolist(), second[near].tolist()))
+
+
+def test_blocks_grow_with_the_texts(spark, docs):
+    assert S.plan_for(10_000_000) == S.CORPUS
+    for texts, bits in ((10**8, 17), (10**9, 20), (10**11, 27)):
+        plan = S.plan_for(texts)
+        missed = [(1 - (1 - 39 / 256) ** p.block_bits) ** p.tables for p in (plan, S.CORPUS)]
+        assert plan.block_bits == bits and texts / 2**bits <= S._TEXTS_A_CELL and missed[0] <= missed[1]
+    base = words(1, 300).split()
+    rows = [(i, " ".join(base[: 300 - i])) for i in range(10)] + [(i, words(i, 200)) for i in range(10, 40)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs(rows), S.plan_for(10**8)).collect()}
+    assert got == {i: 0 if i < 10 else i for i in range(40)}
