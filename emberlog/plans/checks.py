@@ -480,6 +480,14 @@ def _error_groups(spark, sf_dir):
     return agg.error_groups(events(spark, sf_dir)).select("signature", "count", ts_text("last_seen"))
 
 
+@query("ranked_groups", f"""{o.events_cte()}{o.groups_cte()} SELECT row_number() OVER (ORDER BY "count" DESC, signature) AS rank,
+  signature, "count", {o.ts_text('last_seen')} AS last_seen FROM grp""")
+def _ranked_groups(spark, sf_dir):
+    """All groups in order, as the table that stands beside a report without a limit."""
+    _, groups = agg.report_and_groups(events(spark, sf_dir))
+    return groups.select("rank", "signature", "count", ts_text("last_seen"))
+
+
 @query("group_first_last", f"{o.events_cte()}{o.groups_cte(by='source')} SELECT source, {_GROUP_ROWS} FROM grp")
 def _group_first_last(spark, sf_dir):
     groups = agg.error_groups(events(spark, sf_dir), by=["source"])

@@ -191,6 +191,19 @@ def test_event_files(spark, lines, tmp_path):
     assert ev_out.event_text(df.filter("line = 1")).first().text == '2026-07-08 10:12:33 ERROR a:1 say "hi" <x>'
 
 
+def test_all_groups_stand_beside_the_report(spark):
+    df = events(spark, [(i, 2, f"alpha {'x' * (i % 40)} beta") for i in range(1000)] + [(1000, 0, "fine")])
+    report, groups = agg.report_and_groups(df)
+    (row,) = report.collect()
+    assert row.total_lines == 1001 and row.top_errors == []
+    ranked = groups.orderBy("rank").collect()
+    assert [r.rank for r in ranked] == list(range(1, 41))
+    assert [tuple(r)[1:] for r in ranked] == [tuple(r) for r in agg.top_errors(df, 0).collect()]
+    first = agg.ranked_groups(df, agg.FIRST_K).orderBy("rank").collect()
+    assert [len(r.sample) for r in first] == sorted(len(r.sample) for r in first)
+    assert agg.ranked_groups(df.filter("false")).count() == 0
+
+
 def test_report_never_sorts_lines(spark, sample):
     """Below the first exchange of a report's aggregation there is no sort, and what is hashed has fixed-width buffers."""
     df = events(spark, [(i, i % 5 - 1, f"m{i} failed") for i in range(50)])
