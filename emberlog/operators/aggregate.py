@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels as lv
 from emberlog.functions.clock import percent
 from emberlog.functions.normalize import with_signature
-from emberlog.session import scratch_dir
+from emberlog.operators.blocks import with_rank
 
 TOP = 10
 EXACT, FIRST_K = "exact", "first_k"
@@ -119,20 +119,10 @@ def top_errors(events: DataFrame, k: int = TOP, mode: str = EXACT) -> DataFrame:
 def ranked_groups(events: DataFrame, mode: str = EXACT) -> DataFrame:
     """All error groups with their ``rank`` from 1 in the order of ``top_errors``: the table beside a report that holds none.
 
-    Groups are sorted by ranges and written once to the scratch folder; a group's rank is its place in its range after
-    those before, of which there is one row each.  No number of groups meets in one row or task.
+    No number of groups meets in one row or task.
     """
-    spark, path = events.sparkSession, scratch_dir(events.sparkSession)
     order = ["arrival"] if mode == FIRST_K else [F.desc("count"), "signature"]
-    ordered = error_groups(events).orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    ordered.write.parquet(path)
-    # The number of the range is above bit 33, the place in it below.
-    groups = spark.read.schema(ordered.schema).parquet(path).withColumns({
-        "_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)})
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = groups.groupBy("_range").agg(F.count("*").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return groups.join(before, "_range").select((F.col("_before") + F.col("_place") + 1).alias("rank"), *GROUP_FIELDS)
+    return with_rank(error_groups(events), order).select("rank", *GROUP_FIELDS)
 
 
 def report_and_groups(

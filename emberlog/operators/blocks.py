@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.session import scratch_dir
+
 BLOCK_BITS = 16
 SUPER_BITS = 12
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
@@ -75,3 +77,21 @@ def with_base(counts: DataFrame, across_sources: bool = False) -> DataFrame:
         *SOURCE_KEYS, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset")
     )
     return out.join(offsets, SOURCE_KEYS).withColumn("base", F.col("base") + F.col("_offset")).select(*out.columns)
+
+
+def with_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """The rows with their rank from 1 in an order, which must not leave ties.
+
+    Rows are sorted by ranges and written once to the scratch folder; a rank is the place in a range after those before,
+    of which there is one row each.
+    """
+    path = scratch_dir(df.sparkSession)
+    ordered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    # The number of the range is above bit 33, the place in it below.
+    rows = df.sparkSession.read.schema(ordered.schema).parquet(path).withColumns({
+        "_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, "_range").select((F.col("_before") + F.col("_place") + 1).alias(name), *df.columns)

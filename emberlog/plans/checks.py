@@ -31,6 +31,7 @@ from emberlog.sinks import reports as rep_out
 from emberlog.sinks.logs import write_logs
 from emberlog.sources.files import read_lines
 from emberlog.sources.lines import split_lines
+from emberlog.sources.many import read_many
 from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table, table_stream
 from emberlog.sources.tail import tail_lines
 from emberlog.streaming.admission import admission_stream
@@ -728,6 +729,20 @@ def _watch_report(spark, sf_dir):
     return _report_rows(spark.read.parquet(path))
 
 
+@query("read_many", f"SELECT source, line, text FROM ({log_lines_sql()}) WHERE source_ord < 6")
+def _read_many(spark, sf_dir):
+    """Files in folders of their own, some packed, two binary: listed, probed and read by tasks."""
+    folder = scratch_dir(spark)
+    lines = log_lines(spark, sf_dir)
+    body = F.when((F.col("source_ord") >= 6) & (F.col("line") == 1), F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    for packed in (True, False):
+        for half in (0, 1):
+            some = lines.filter(F.col("source_ord").between(2, 5) == packed).filter(F.col("source_ord") % 2 == half).withColumn("text", body)
+            write_logs(some, f"{folder}/host-{half}", gzip=packed).write.format("noop").mode("overwrite").save()
+    found = read_many(spark, [f"{folder}/host-{i % 2}/app-{i}.*" for i in range(4)] + [f"{folder}/*/app-[4567].log"], range_bytes=1 << 16)
+    return found.select(_file_name().alias("source"), "line", "text")
+
+
 @query("read_kinds", f"SELECT source, line, text FROM ({log_lines_sql()}) WHERE source_ord < 6")
 def _read_kinds(spark, sf_dir):
     """Plain files, gzip files by name and by content alone, and files with a NUL byte, which are skipped."""

@@ -23,16 +23,19 @@ def _is_binary(uri: str) -> bool:
     return head[:2] != b"\x1f\x8b" and b"\0" in head
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges with the number of line ends in ``lines``; null for ranges of binary files."""
     for batch in batches:
         lines = [
             None if _is_binary(r.uri) else sum(piece.count(b"\n") for piece in bytes_of(r.uri, r.start, r.stop))
             for r in batch.itertuples(index=False)
         ]
-        yield pd.DataFrame({"source_ord": batch["source_ord"], "start": batch["start"], "lines": pd.Series(lines, dtype="Int64")})
+        kept = batch[["source_ord", "source", "uri", "start", "stop", "last"]]
+        yield kept.assign(lines=pd.Series(lines, dtype="Int64", index=batch.index))
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of ranges whose first one has the ``number``."""
     for batch in batches:
         for r in batch.itertuples(index=False):
             last = r.last or is_gzip(r.uri)  # the first range of a gzip file has all of its lines
@@ -61,7 +64,7 @@ def waves(
             if stop == file.size:
                 todo, at = todo[1:], 0
         ranges = spark.createDataFrame(part, _RANGES).repartition(len(part), "source_ord", "start")
-        counted = ranges.mapInPandas(_count, "source_ord int, start bigint, lines bigint").collect()
+        counted = ranges.mapInPandas(count_lines, f"{_RANGES}, lines bigint").select("source_ord", "start", "lines").collect()
         lines = {(r.source_ord, r.start): r.lines for r in counted}
         numbered = []
         for source_ord, source, uri, start, stop, last in part:
@@ -71,5 +74,5 @@ def waves(
                 number += n
         size = sum(stop - start for _, _, _, start, stop, _ in part)
         rows = spark.createDataFrame(numbered, f"{_RANGES}, number bigint")
-        yield rows.repartition(max(len(numbered), 1), "source_ord", "start").mapInPandas(_read, LINES_SCHEMA), size
+        yield rows.repartition(max(len(numbered), 1), "source_ord", "start").mapInPandas(read_numbered, LINES_SCHEMA), size
         budget *= GROWTH

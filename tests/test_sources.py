@@ -7,6 +7,7 @@ from emberlog.operators.filters import LogFilter
 from emberlog.plans.commands import first_of_files
 from emberlog.sources import files
 from emberlog.sources.files import read_lines, resolve
+from emberlog.sources.many import list_files, read_many
 from emberlog.sources.lines import split_lines
 
 NOW = datetime(2026, 12, 31)
@@ -131,3 +132,24 @@ def test_first_events_of_odd_files(spark, tmp_path):
     assert rows == packed + [("d.log", 1, 5006), ("d.log", 2, 10)] * 2
     none, read = first_of_files(spark, [f"{tmp_path}/none"], n=3)
     assert none.count() == 0 and read == 0
+
+
+def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for d in range(6):
+        (tmp_path / f"d{d}" / "logs").mkdir(parents=True)
+        for n in range(20):
+            (tmp_path / f"d{d}" / "logs" / f"f{n:02}.log").write_text(f"{d} {n} a\n{d} {n} b" + "\n" * (n % 2))
+    (tmp_path / "d0" / "logs" / "f00.log").write_bytes(b"nul\0\n")
+    (tmp_path / "d0" / "logs" / "sub.log").mkdir()
+    with gzip.open(tmp_path / "d1" / "logs" / "f01.log", "wb") as f:
+        f.write(b"packed\r\nend")
+    patterns = [f"{tmp_path}/d3/logs/f07.log", f"{tmp_path}/d[^3]/logs/f0?.log", f"{tmp_path}/none", f"{tmp_path}/*/none/*", f"{tmp_path}/d3/*/*.log"]
+    listed = [(r.arg, r.path) for r in list_files(spark, patterns).collect()]
+    assert len(listed) == len(set(listed)) == 1 + 50 + 20 and {a for a, _ in listed} == {0, 1, 4}
+
+    def dense(rows):
+        place = {o: i for i, o in enumerate(sorted({r[0] for r in rows}))}
+        return [(place[r[0]], *r[1:]) for r in rows]
+
+    assert dense(got(read_many(spark, patterns, range_bytes=5))) == dense(got(read_lines(spark, patterns)))
+    assert got(read_many(spark, f"{tmp_path}/nothing/*.log")) == []
