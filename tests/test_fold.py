@@ -10,7 +10,7 @@ CASES = [
     (["  indented first line"], 50, [(1, "  indented first line")]),
     (["error start", "  frame1", "  frame2", "  frame3", "  frame4"], 2,
      [(1, "error start|  frame1|  frame2"), (4, "  frame3|  frame4")]),
-    (["panic: runtime error", "\tgoroutine 1 [running]:"], 50, [(1, "panic: runtime error|\tgoroutine 1 [running]:")]),
+    (["lock order broken", "\theld by worker 1"], 50, [(1, "lock order broken|\theld by worker 1")]),
     (["  lead", " c", "head", " 1", " 2", " 3", " 4", "", "\tx"], 2,
      [(1, "  lead| c"), (3, "head| 1| 2"), (6, " 3| 4"), (8, "|\tx")]),
 ]

@@ -100,7 +100,7 @@ NORMALIZED = {
     "error code 0xdeadbeef occurred": "error code <hex> occurred",
     "req-abc12345: timeout": "<req>: timeout",
     "commit " + "0123456789abcdef" * 4: "commit <hash>",
-    "connection timeout after 30s on host 10.0.0.1": "connection timeout after 30s on host <ip>",
+    "replica lag of 30s on node 10.0.0.1": "replica lag of 30s on node <ip>",
     "req_abc123 f": "req_abc123 f",
     "from ::1 x": "from ::<n> x",
     "2001:db8::1": "<n>:db8<ip>",
