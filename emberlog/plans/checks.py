@@ -33,7 +33,7 @@ from emberlog.sources.files import read_lines
 from emberlog.sources.lines import split_lines
 from emberlog.sources.many import read_many
 from emberlog.sources.tables import SOURCES, log_lines, log_lines_sql, log_lines_stream, table, table_stream
-from emberlog.sources.tail import tail_lines
+from emberlog.sources.tail import sized_for, tail_lines
 from emberlog.streaming.admission import admission_stream
 from emberlog.streaming.fold import fold_stream
 from emberlog.streaming.watch import watch_events, watch_report
@@ -792,13 +792,15 @@ def _tail_follow(spark, sf_dir):
     folder, out = scratch_dir(spark), scratch_dir(spark)
     lines = log_lines(spark, sf_dir)
     steps = [lines.filter("source_ord < 4 AND line <= 1000"), lines, lines.filter("source_ord = 0 AND line <= 5")]
-    found = tail_lines(spark, [f"{folder}/app-?.log"], from_end=False, max_bytes=1 << 20)
+    share = 1 << 20
+    found = tail_lines(spark, [f"{folder}/app-?.log"], from_end=False, max_bytes=share)
     running = None
     for step in steps:
         write_logs(step, folder).write.format("noop").mode("overwrite").save()
         if running is None:
             writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress")
-            running = writer.trigger(processingTime="0 seconds").start()
+            with sized_for(spark, share):
+                running = writer.trigger(processingTime="0 seconds").start()
         running.processAllAvailable()
     running.stop()
     return spark.read.schema(found.schema).parquet(out).select(_file_name().alias("source"), "line", "text")

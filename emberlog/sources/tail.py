@@ -13,6 +13,7 @@ import glob
 import json
 import logging
 import os
+from contextlib import contextmanager
 from fnmatch import fnmatchcase
 from typing import Iterator
 
@@ -194,6 +195,22 @@ class _Numbers(StatefulProcessor):
         pass
 
 
+@contextmanager
+def sized_for(spark: SparkSession, max_bytes: int, range_bytes: int = RANGE_BYTES) -> Iterator[int]:
+    """A stream started inside shuffles and keeps its state in as many partitions as a batch has full ranges.
+
+    Never more than the session's number.  Every partition of the state is committed in every batch, empty or not, and takes
+    longer than the lines of a small batch do.  A query that goes on from a checkpoint keeps the number it began with.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    n = max(1, min(int(before), -(-max_bytes // range_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def tail_lines(
     spark: SparkSession, paths: list[str], from_end: bool = True, max_bytes: int | None = None, progress: str | None = None,
     range_bytes: int = RANGE_BYTES,
@@ -208,7 +225,7 @@ def tail_lines(
 
     ``max_bytes`` bounds the new bytes of a batch, shared fairly over the files; give ``progress``, a folder of
     the query's own, to bound the first batch after a restart as well.  A query that runs ``availableNow`` admits one such
-    share and ends.  A file renamed to another name that a pattern matches is a new file; one cut short and grown
+    share and ends.  Start a query of small batches within ``sized_for``.  A file renamed to another name that a pattern matches is a new file; one cut short and grown
     beyond its old size between two listings is not noticed.
     """
     options = {"paths": list(paths), "from_end": from_end, "max_bytes": max_bytes, "progress": progress, "range_bytes": range_bytes}

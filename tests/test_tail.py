@@ -7,7 +7,7 @@ from test_streaming import Sink, append, keys
 
 from emberlog.sources import ranges as R
 from emberlog.sources import tail as T
-from emberlog.sources.tail import tail_lines
+from emberlog.sources.tail import sized_for, tail_lines
 
 
 def reader(paths, from_end=False, max_bytes=None, progress=None, range_bytes=10):
@@ -133,3 +133,22 @@ def test_many_ranges_are_read_by_many_tasks(spark, tmp_path):
     query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sum(tasks[0]) == 20_000 and max(tasks[0]) < 15_000 and len([n for n in tasks[0] if n]) > 2
+
+
+def test_small_batches_keep_few_partitions_of_state(spark, tmp_path):
+    append(tmp_path / "a.log", "one\ntwo\n")
+    append(tmp_path / "b.log", "three\n")
+    df = tail_lines(spark, [f"{tmp_path}/*.log"], from_end=False, max_bytes=50)
+    with sized_for(spark, 50) as n:
+        sink = Sink(df, tmp_path / "cp", processingTime="0 seconds")
+    try:
+        sink.query.processAllAvailable()
+        state = [p["stateOperators"][0]["numShufflePartitions"] for p in sink.query.recentProgress]
+    finally:
+        sink.query.stop()
+    assert n == 1 and set(state) == {1} and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert keys(sink.rows) == [("a.log", 1, "one"), ("a.log", 2, "two"), ("b.log", 1, "three")]
+    with sized_for(spark, 10 * R.RANGE_BYTES) as n:
+        assert n == 4
+    with sized_for(spark, 2 * R.RANGE_BYTES + 1) as n:
+        assert n == 3
