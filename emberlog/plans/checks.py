@@ -981,7 +981,7 @@ def _admission_late(spark, sf_dir):
     batch = F.floor((arrival - F.col("_low")) * 6 / (F.col("_high") - F.col("_low") + 1))
     arrived = events.crossJoin(F.broadcast(ends)).withColumn("batch", batch)  # one row
     for n in range(6):
-        arrived.filter(F.col("batch") == n).select(*events.columns).coalesce(1).write.mode("append").parquet(path + "-in")
+        arrived.filter(F.col("batch") == n).select(*events.columns).repartition(1).write.mode("append").parquet(path + "-in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path + "-in")
     decided = admission_stream(stream, "user_id", "ts", _LIMIT, _WINDOW, ["event_id"], lateness=_LATENESS)
     writer = decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-progress")

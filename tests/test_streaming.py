@@ -190,3 +190,22 @@ def test_late_events_are_decided_in_order_and_idle_keys_end(spark, tmp_path):
     assert {(r.event, r.name) for r in rows} == {(e, name) for _, t, e, name in events if t < passed}
     held = sink.query.lastProgress["stateOperators"][0]["numRowsTotal"]
     assert 0 < held <= 4  # of five keys only the last one holds times, a frame and a timer
+
+
+def test_many_late_keys_share_states_and_whole_numbers_stay_exact(spark, tmp_path):
+    """More keys than groups, some events without a key, and numbers that no double can tell apart, some null."""
+    path, big = str(tmp_path / "in"), 9007199254740993
+    events = [(None if i % 10 == 0 else big + i % 1_500, 1 + i // 20, big + i, None if i % 7 == 0 else big - i) for i in range(6_000)]
+    schema = "key bigint, at bigint, event bigint, n bigint"
+    whole = spark.createDataFrame(events, schema).select("key", F.timestamp_seconds("at").alias("ts"), "event", "n").cache()
+    for low, high in ((1, 200), (200, 301)):
+        whole.filter(F.unix_timestamp("ts").between(low, high - 1)).repartition(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    decided = admission_stream(stream, "key", "ts", 2, timedelta(seconds=150), ["event"], lateness=timedelta(seconds=10), groups=8)
+    assert decided.columns == [*whole.columns, "admitted"]
+    sink = Sink(decided, tmp_path / "cp")
+    rows = sink.wait()
+    want = admission(whole, "key", "ts", 2, timedelta(seconds=150), ["event"]).filter(F.unix_timestamp("ts") < 290).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, want)) and len(want) == 5_780
+    # Nine groups, each with its times, waiting frames and a timer.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in sink.query.recentProgress) <= 9 * 4
