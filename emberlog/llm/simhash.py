@@ -15,6 +15,7 @@ the Jaccard similarity of the texts' shingles.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 from math import ceil, log1p
@@ -33,9 +34,11 @@ _SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
 # A cell of up to _SMALL fingerprints is compared pair by pair, up to _CELL as one matrix.
 _SMALL, _CELL = 32, 1024
-# Rows of cells are compared this many at a time.
-_GATHERED = 1 << 14
+# Rows of cells are compared this many at a time, and so many pairs of them at once.
+_GATHERED, _PAIRS = 1 << 14, 1 << 16
 _BLOCK_PIVOTS, _FULL_PIVOTS = 12, 16
+# Shingles of texts that a task keeps while it compares pairs.
+_KEPT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -147,7 +150,12 @@ def fingerprints(docs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
 
 
 def _as_matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    """Rows of one width, none of them null, as they lie in the array."""
+    if not len(column):
+        return np.empty((0, width), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = int(ends[column.offset]), int(ends[column.offset + len(column)])
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:last].reshape(-1, width)
 
 
 def _block_table() -> np.ndarray:
@@ -272,7 +280,28 @@ def _near_in_cell(words: np.ndarray, table: np.ndarray, radius: int) -> tuple[np
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(x[:, None, i] ^ y[None, :, i]).astype(np.int16) for i in range(x.shape[1]))
+    """Distances of every row of ``x`` to every row of ``y``, or of each of a stack of ``x`` to its ``y``."""
+    out = np.zeros((*x.shape[:-1], y.shape[-2]), np.int16)
+    for i in range(x.shape[-1]):
+        a, b = np.ascontiguousarray(x[..., i]), np.ascontiguousarray(y[..., i])
+        out += np.bitwise_count(a[..., :, None] ^ b[..., None, :])
+    return out
+
+
+def _near_in_cells(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius of rows in one cell.  Cells of one size are compared side by side, each pair once."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for n in np.unique(sizes[sizes > 1]):
+        alike = starts[sizes == n]
+        step = max(1, _PAIRS // (n * n))
+        for at in range(0, len(alike), step):
+            rows = alike[at : at + step, None] + np.arange(n)
+            here = words[rows]
+            hit = np.flatnonzero(_distances(here, here) <= radius)
+            cell, x, y = hit // (n * n), hit // n % n, hit % n
+            once = x < y
+            found.append((rows[cell[once], x[once]], rows[cell[once], y[once]]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _spanning(words: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,19 +351,27 @@ class _Stars:
                 np.add.at(self.degrees, at + best[hit], 1)
                 yield words[hit], centres[best[hit]], self.degrees[at + best[hit]]
                 words = words[~hit]
-        while len(words):
-            d = _distances(words, words)
-            near = d <= self.radius
-            centre = int((np.where(near, self.radius + 1 - d, 0).sum(axis=1)).argmax())
-            mine = near[centre].copy()
+        if not len(words):
+            return
+        # Rows are compared once; what goes with a centre is taken off the weights of those that stay.
+        weight = np.maximum(self.radius + 1 - _distances(words, words), 0)
+        total, left = weight.sum(axis=1, dtype=np.int64), np.ones(len(words), bool)
+        new, degrees = [], []
+        while left.any():
+            centre = int(np.where(left, total, -1).argmax())
+            if total[centre] == self.radius + 1:  # no row that is left is near another
+                break
+            mine = left & (weight[centre] > 0)
+            left &= ~mine
+            total -= weight[:, mine].sum(axis=1, dtype=np.int64)
             mine[centre] = False
             n = int(mine.sum())
             yield words[mine], np.broadcast_to(words[centre], (n, words.shape[1])), np.full(n, n)
-            new = words[centre : centre + 1]
-            self.centres = new if self.centres is None else np.concatenate([self.centres, new])
-            self.degrees = np.append(self.degrees, n)
-            mine[centre] = True
-            words = words[~mine]
+            new.append(centre), degrees.append(n)
+        lone = np.flatnonzero(left)
+        new = words[np.concatenate([np.array(new, np.int64), lone])]
+        self.centres = new if self.centres is None else np.concatenate([self.centres, new])
+        self.degrees = np.concatenate([self.degrees, np.array(degrees, np.int64), np.zeros(len(lone), np.int64)])
 
 
 def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
@@ -352,27 +389,29 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
         crowded, stars = None, None
         for keys, sigs in _runs(batches, width + coordinates):
             words = np.ascontiguousarray(sigs[:, :width]).view(np.uint64)
-            table = sigs[:, width:].astype(np.int16) if coordinates else pivot_table(words, pivots)
             found: list[tuple] = []
-            near_first, near_second = [], []
             edges = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
             sizes = ends - starts
-            small = np.repeat(sizes <= _SMALL, sizes)
-            for d in range(1, _SMALL):
-                first = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d]) if len(keys) > d else []
-                if not len(first):
-                    break
-                first = first[_near(words, table, first, first + d, plan.radius)]
-                near_first.append(first), near_second.append(first + d)
-            if near_first:
-                first, second = np.concatenate(near_first), np.concatenate(near_second)
-                if plan.jaccard is None:
-                    found.append((words[first], words[second]))
-                else:
-                    row, centre, degree = _most_central(first, second, len(words))
-                    found.append((words[row], words[centre], degree))
-                    found.append((words[np.setdiff1d(np.union1d(first, second), np.union1d(row, centre))], None))
+            if plan.jaccard is None:
+                table = sigs[:, width:].astype(np.int16) if coordinates else pivot_table(words, pivots)
+                small = np.repeat(sizes <= _SMALL, sizes)
+                for d in range(1, _SMALL):
+                    first = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d]) if len(keys) > d else []
+                    if not len(first):
+                        break
+                    first = first[_near(words, table, first, first + d, plan.radius)]
+                    found.append((words[first], words[first + d]))
+            else:
+                # No difference of coordinates is above a radius as wide as this: the bits alone decide.
+                whole = sizes <= _CELL
+                first, second = _near_in_cells(words, starts[whole], sizes[whole], plan.radius)
+                in_small = np.repeat(sizes <= _SMALL, sizes)
+                few = in_small[first]
+                row, centre, degree = _most_central(first[few], second[few], len(words))
+                found.append((words[row], words[centre], degree))
+                met = np.union1d(first, second)
+                found.append((words[np.setdiff1d(met[in_small[met]], np.union1d(row, centre))], None))
             for s, e in zip(starts[sizes > _SMALL], ends[sizes > _SMALL]):
                 here = words[s:e]
                 if e - s > _CELL or keys[s] == crowded:
@@ -386,7 +425,9 @@ def links_in_cells(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
                     child, parent = _spanning(here, table[s:e], plan.radius)
                     found.append((here[child], here[parent]))
                 else:
-                    found.append((here[(_distances(here, here) <= plan.radius).sum(axis=1) > 1], None))
+                    # Rows that are near none can neither hang nor be hung on.
+                    here = words[met[np.searchsorted(met, s) : np.searchsorted(met, e)]]
+                    found.append((here, None))
                     found.extend(_Stars(plan.radius).add(here))
             # A crowded cell may end in a piece of a few rows, or of one.
             for s, e in zip(starts[sizes <= _SMALL], ends[sizes <= _SMALL]) if crowded is not None else ():
@@ -428,25 +469,20 @@ def pairs_apart(cell_rows: DataFrame, plan: SimHashPlan) -> DataFrame:
     width = 8 * plan.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, tables = _full_pivots(width), _CellKeys(plan)
+        tables = _CellKeys(plan)
         for batch in whole_groups(batches, "cell", _GATHERED):
             keys, sigs = batch.column("cell").to_numpy(), _as_matrix(batch.column("sig"), width)
             roots = batch.column("root").dictionary_encode().indices.to_numpy()
             words = sigs.view(np.uint64)
-            table = pivot_table(words, pivots)
             starts = np.flatnonzero(group_starts(batch.column("cell")))
             sizes = np.diff(np.append(starts, len(keys)))
             mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
-            small = np.repeat(mixed & (sizes <= _SMALL), sizes)
+            small = mixed & (sizes <= _SMALL)
 
             def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for d in range(1, min(_SMALL, len(keys))):
-                    x = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d])
-                    if not len(x):
-                        break
-                    x = x[roots[x] != roots[x + d]]
-                    x = x[_near(words, table, x, x + d, plan.radius)]
-                    yield x, x + d
+                x, y = _near_in_cells(words, starts[small], sizes[small], plan.radius)
+                apart = roots[x] != roots[y]
+                yield x[apart], y[apart]
                 for s, n in zip(starts[mixed & (sizes > _SMALL)], sizes[mixed & (sizes > _SMALL)]):
                     for x, y in _blocks_apart(words[s : s + n], roots[s : s + n], plan.radius):
                         yield s + x, s + y
@@ -493,9 +529,27 @@ def linked(sigs: DataFrame, plan: SimHashPlan = EXACT) -> DataFrame:
     return found.filter("b IS NOT NULL").unionByName(links_of_crowded(crowded))
 
 
-def _jaccard(a: str, b: str, n: int) -> float:
-    x, y = set(shingles_of(words_of(a), n)), set(shingles_of(words_of(b), n))
-    return len(x & y) / len(x | y) if x or y else 1.0
+def _jaccard(x: frozenset, y: frozenset) -> float:
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+class _ShingleSets:
+    """Shingle sets of texts; those used last are kept, up to ``_KEPT`` shingles, as a text is in many pairs."""
+
+    def __init__(self, n: int):
+        self.n, self.size, self.sets = n, 0, OrderedDict()
+
+    def of(self, key: bytes, text: pa.StringScalar) -> frozenset:
+        if key in self.sets:
+            self.sets.move_to_end(key)
+        else:
+            self.sets[key] = frozenset(shingles_of(words_of(text.as_py()), self.n))
+            self.size += len(self.sets[key])
+        found = self.sets[key]
+        while self.size > _KEPT and len(self.sets) > 2:
+            self.size -= len(self.sets.popitem(last=False)[1])
+        return found
 
 
 def _bodies(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -512,9 +566,13 @@ def _verified(pairs: DataFrame, bodies: DataFrame, plan: SimHashPlan) -> DataFra
     right = bodies.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _ShingleSets(plan.shingle)
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [_jaccard(p.as_py(), q.as_py(), plan.shingle) >= plan.jaccard for p, q in zip(x, y)]
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = [
+                _jaccard(sets.of(i, p), sets.of(j, q)) >= plan.jaccard
+                for i, j, p, q in zip(a, b, batch.column("x"), batch.column("y"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from samples import words
 from pyspark.sql import functions as F
@@ -255,3 +256,61 @@ def test_blocks_grow_with_the_texts(spark, docs):
     rows = [(i, " ".join(base[: 300 - i])) for i in range(10)] + [(i, words(i, 200)) for i in range(10, 40)]
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs(rows), S.plan_for(10**8)).collect()}
     assert got == {i: 0 if i < 10 else i for i in range(40)}
+
+
+def greedy(words, radius):
+    """Centres with the rows near them, the heaviest first, found anew among what is left every time."""
+    left, out = list(range(len(words))), []
+    while left:
+        d = np.bitwise_count(words[left][:, None] ^ words[left][None, :]).sum(axis=2, dtype=np.int16)
+        centre = int(np.where(d <= radius, radius + 1 - d, 0).sum(axis=1).argmax())
+        mine = {left[i] for i in np.flatnonzero(d[centre] <= radius)}
+        out.append((left[centre], sorted(mine - {left[centre]})))
+        left = [i for i in left if i not in mine]
+    return out
+
+
+def crowd(groups, unlike, seed):
+    """Fingerprints of 256 bits: groups of five that differ in some bits, and others at random; mixed."""
+    rng = np.random.default_rng(seed)
+    rows = [rng.bytes(32) for _ in range(unlike)]
+    for _ in range(groups):
+        base = np.frombuffer(rng.bytes(32), np.uint8)
+        rows += [(base ^ np.packbits(rng.random(256) < 0.12)).tobytes() for _ in range(5)]
+    return np.frombuffer(b"".join(rows[i] for i in rng.permutation(len(rows))), np.uint64).reshape(-1, 4)
+
+
+def test_centres_of_a_cell_are_found_in_one_comparison(monkeypatch):
+    """Rows that are near none used to be compared with all that were left, each in turn."""
+    words = crowd(groups=20, unlike=300, seed=3)
+    compared, plain = [], S._distances
+    monkeypatch.setattr(S, "_distances", lambda x, y: compared.append(len(x) * len(y)) or plain(x, y))
+    stars = S._Stars(72)
+    got = [(a.tobytes(), b[0].tobytes(), n.tolist()) for a, b, n in stars.add(words) if len(a)]
+    want = greedy(words, 72)
+    assert sum(compared) <= len(words) ** 2
+    assert got == [(words[m].tobytes(), words[c].tobytes(), [len(m)] * len(m)) for c, m in want if m]
+    assert stars.centres.tolist() == [words[c].tolist() for c, _ in want]
+    assert stars.degrees.tolist() == [len(m) for _, m in want]
+
+
+def test_pairs_of_cells_side_by_side():
+    words = np.concatenate([crowd(3, 5, seed) for seed in range(4)] + [crowd(2, 40, 9), crowd(0, 1, 10)])
+    sizes = np.array([20, 20, 20, 20, 50, 1])
+    starts = np.cumsum(sizes) - sizes
+    x, y = S._near_in_cells(words, starts, sizes, 72)
+    d = np.bitwise_count(words[:, None] ^ words[None, :]).sum(axis=2, dtype=np.int16)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    want = {(i, j) for i in range(len(words)) for j in range(i) if cell[i] == cell[j] and d[i, j] <= 72}
+    pairs = list(zip(y.tolist(), x.tolist()))
+    assert set(pairs) == want and len(pairs) == len(want) >= 100
+
+
+def test_shingle_sets_are_kept_up_to_a_number_of_shingles(monkeypatch):
+    monkeypatch.setattr(S, "_KEPT", 1000)
+    sets = S._ShingleSets(5)
+    texts = [words(i, 300) for i in range(20)]
+    for i in [0, 1, 0, 2, *range(20), 0]:
+        assert sets.of(b"%d" % i, pa.scalar(texts[i])) == set(shingles_of(words_of(texts[i]), 5))
+        assert sum(map(len, sets.sets.values())) == sets.size <= 1000
+    assert S._jaccard(frozenset(), frozenset()) == 1.0 and S._jaccard(frozenset("ab"), frozenset("bc")) == 1 / 3
