@@ -44,5 +44,8 @@ def write_logs(lines: DataFrame, folder: str, last_newline: bool = True, gzip: b
         if out:
             yield finish()
 
-    ordered = lines.select(F.col("source").cast("string").alias("source"), "line", "text").repartition("source")
+    lines = lines.select(F.col("source").cast("string").alias("source"), "line", "text")
+    # Dealt by a hash of the source: where lines come from a join by source, repartition("source") is left out of the plan
+    # as done already, and the adaptive execution may then read that join's shuffle by writer, a source in many tasks.
+    ordered = lines.repartition(F.xxhash64("source"))
     return ordered.sortWithinPartitions("source", "line").select("source", "text").mapInArrow(write, _WRITTEN)

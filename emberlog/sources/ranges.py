@@ -13,6 +13,8 @@ import pandas as pd
 
 RANGE_BYTES = 16 << 20
 _PIECE_BYTES = 1 << 20
+# The beginning of a line is looked for in as many bytes before, then in ever more.
+_BACK_BYTES = 1 << 12
 _GZIP = b"\x1f\x8b"
 
 
@@ -71,13 +73,14 @@ def line_start(path: str, at: int, floor: int) -> int:
     with open_file(path) as file:
         if file.read(2) == _GZIP:
             return at
+        step = _BACK_BYTES
         while at > floor:
-            begin = max(floor, at - _PIECE_BYTES)
+            begin = max(floor, at - step)
             file.seek(begin)
             last = file.read(at - begin).rfind(b"\n")
             if last >= 0:
                 return begin + last + 1
-            at = begin
+            at, step = begin, min(2 * step, _PIECE_BYTES)
     return floor
 
 

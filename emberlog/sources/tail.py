@@ -27,6 +27,9 @@ from emberlog.sources.ranges import RANGE_BYTES, as_rows, bytes_of, file_system,
 _COUNT_SCHEMA = "source_ord int, source string, start bigint, stop bigint, lines bigint"
 _NUMBERED_SCHEMA = "source_ord int, source string, start bigint, stop bigint, floor bigint, first_line bigint"
 
+# Up to so many ranges each have a task; beyond it a task takes so many small ones at most.
+_FEW_RANGES, _MOST_RANGES = 64, 1024
+
 _log = logging.getLogger(__name__)
 
 
@@ -68,6 +71,32 @@ class _Range(InputPartition):
     def __init__(self, source_ord: int, path: str, start: int, stop: int):
         self.source_ord, self.path, self.start, self.stop = source_ord, path, start, stop
 
+    @property
+    def ranges(self) -> list[_Range]:
+        return [self]
+
+
+class _Ranges(InputPartition):
+    """Ranges that one task counts, one after the other."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
+def _in_tasks(ranges: list[_Range]) -> list[InputPartition]:
+    """A task for each range; where there are many, small ones share a task, which has as many bytes as a large one at most."""
+    if len(ranges) <= _FEW_RANGES:
+        return ranges
+    shared, held = [], RANGE_BYTES
+    for r in ranges:
+        size = max(r.stop - r.start, 1)
+        if held + size > RANGE_BYTES or len(shared[-1]) == _MOST_RANGES:
+            shared.append([])
+            held = 0
+        shared[-1].append(r)
+        held += size
+    return [_Ranges(some) for some in shared]
+
 
 class _RangeStream(DataSourceStreamReader):
     """Offsets are ``{path: bytes admitted so far}``.  A file smaller than its offset was cut short and begins anew."""
@@ -140,15 +169,16 @@ class _RangeStream(DataSourceStreamReader):
                 continue
             for at in range(begin, stop, self.range_bytes):
                 out.append(_Range(self._place(path), path, at, min(at + self.range_bytes, stop)))
-        return out
+        return _in_tasks(out)
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        try:
-            lines = sum(piece.count(b"\n") for piece in bytes_of(partition.path, partition.start, partition.stop))
-        except FileNotFoundError:
-            _log.warning("%s is gone", partition.path)
-            lines = 0
-        yield partition.source_ord, partition.path, partition.start, partition.stop, lines
+    def read(self, partition: _Range | _Ranges) -> Iterator[tuple]:
+        for r in partition.ranges:
+            try:
+                lines = sum(piece.count(b"\n") for piece in bytes_of(r.path, r.start, r.stop))
+            except FileNotFoundError:
+                _log.warning("%s is gone", r.path)
+                lines = 0
+            yield r.source_ord, r.path, r.start, r.stop, lines
 
 
 class TailSource(DataSource):

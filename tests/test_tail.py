@@ -3,8 +3,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_streaming import Sink, append, keys
 
+from emberlog.sinks.logs import write_logs
 from emberlog.sources import ranges as R
 from emberlog.sources import tail as T
 from emberlog.sources.tail import sized_for, tail_lines
@@ -152,3 +154,53 @@ def test_small_batches_keep_few_partitions_of_state(spark, tmp_path):
         assert n == 4
     with sized_for(spark, 2 * R.RANGE_BYTES + 1) as n:
         assert n == 3
+
+
+def test_a_source_is_written_by_one_task_after_a_join(spark, tmp_path):
+    """A join by source with a small table: its shuffle must not be read by writer, which cut a source into tasks."""
+    lines = spark.range(0, 40_000, 1, 8).selectExpr("concat('app-', id % 40, '.log') source", "id div 40 + 1 line", "concat('line ', id) text")
+    half = spark.createDataFrame([(f"app-{i}.log", 500) for i in range(40)], "source string, half bigint")
+    # As with tables of which it is not known before they are read that one is small, and lines that fill several tasks.
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "100k", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        wrote = write_logs(lines.join(half, "source").filter("line <= half"), str(tmp_path / "logs")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v) if v is not None else spark.conf.unset(f"spark.sql.{k}")
+    assert sorted((r.source, r.lines) for r in wrote) == sorted((f"app-{i}.log", 500) for i in range(40))
+    for i in range(40):
+        found = (tmp_path / "logs" / f"app-{i}.log").read_text().splitlines()
+        assert found == [f"line {40 * n + i}" for n in range(500)]
+
+
+def test_many_small_ranges_share_a_task(spark, tmp_path):
+    append(tmp_path / "a.log", "".join(f"line {i}\n" for i in range(3000)))
+    append(tmp_path / "b.log", "x\n")
+    r = reader([tmp_path / "*.log"], range_bytes=100)
+    tasks = r.partitions(r.initialOffset(), r.latestOffset())
+    each = [x for t in tasks for x in t.ranges]
+    size = os.path.getsize(tmp_path / "a.log")
+    assert len(tasks) == 1 and len(each) == -(-size // 100) + 1
+    assert [(x.start, x.stop) for x in each[:2]] == [(0, 100), (100, 200)]
+    counted = list(r.read(tasks[0]))
+    assert len(counted) == len(each) and sum(c[-1] for c in counted) == 3001
+    large = [T._Range(0, "a", i * R.RANGE_BYTES, (i + 1) * R.RANGE_BYTES) for i in range(T._FEW_RANGES + 6)]
+    assert [t.ranges for t in T._in_tasks(large)] == [[x] for x in large]
+    assert T._in_tasks(each[: T._FEW_RANGES]) == each[: T._FEW_RANGES]
+    df = tail_lines(spark, [f"{tmp_path}/*.log"], from_end=False, range_bytes=100)
+    rows = Sink(df, tmp_path / "cp").wait()
+    assert keys(rows) == sorted([("a.log", i + 1, f"line {i}") for i in range(3000)] + [("b.log", 1, "x")])
+
+
+def test_the_beginning_of_a_line_is_near_its_end_or_far(tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "_BACK_BYTES", 4)
+    monkeypatch.setattr(R, "_PIECE_BYTES", 16)
+    data = b"one\n" + b"x" * 200 + b"\nlast"
+    (tmp_path / "a.log").write_bytes(data)
+    path = str(tmp_path / "a.log")
+    for at in range(1, len(data) + 1):
+        for floor in (0, 2, 50):
+            assert R.line_start(path, at, floor) == (at if at <= floor else max(floor, data.rfind(b"\n", 0, at) + 1))
